@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("media",)
+MODULES = ("media", "mixing", "sharding")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
