@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("media", "mixing", "sharding")
+MODULES = ("media", "mixing", "neardup", "sharding")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
