@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "media", "mixing", "neardup", "sharding")
+MODULES = ("decontaminate", "language", "media", "mixing", "neardup", "sharding")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
