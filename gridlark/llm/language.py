@@ -26,7 +26,7 @@ from gridlark.llm.common import SLICE_BYTES, slices
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 GRAM = 4
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 1000
 SMOOTHING = 0.05
 ROUNDS = 12
 PENALTY = 8.0
