@@ -19,11 +19,9 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("_near"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("_was"), F.least("component", "_near").alias("component"))
-        step = ws.table(step)
         to = step.select(F.col("node").alias("_to"), F.col("component").alias("_next"))
         new = ws.table(step.join(to, F.col("component") == F.col("_to"), "left").select("node", "_was", F.least("component", "_next").alias("component")))
         moved = new.where("component <> _was").limit(1).count()
-        ws.drop(step)
         ws.drop(labels)
         labels = new.select("node", "component")
         if not moved:

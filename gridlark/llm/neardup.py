@@ -7,10 +7,13 @@ two sketches estimates similarity with the concentration of independent minima.
 similarity 0.8 meets in no band with probability 5e-8.
 
 Verification: documents with equal sets are one class, and classes that share a band's values are candidates.
-All pairs of a bucket are never made. In each wave a bucket's smallest remaining members are its pivots; every
-other member is compared with them on full sets, links merge components, the pivots leave the bucket, and a
-bucket whose members all lie in one component is done. Waves double the pivots and go on until no bucket is
-left, so that every pair that shares a band is either compared or known to be connected.
+All pairs of a bucket are never made. First each bucket's most central member (the one with the most company over
+all bands) is compared with the others on full sets, and links merge components; a bucket whose members lie in
+one component is done. For what is left, tokens that only one class has give bounds: with s shared tokens of a
+class, a pair's similarity is at most m / (|x| + |y| - m), m the lesser s. Members that no other can reach leave.
+Then, wave by wave, the members outside a bucket's largest component are its pivots, up to PIVOTS of them; every
+member in another component within the bound is compared with them, and the pivots leave. Waves go on until
+no bucket is left, so every pair that shares a band is compared, connected already, or proven too far apart.
 
 Sets hold 52-bit hashes of the shingles (of three hundred words: chance of a false match in a pair about 1e-10).
 Null or wordless texts have the empty set and stay alone. Rows with one doc_id are one document; a null doc_id
@@ -31,6 +34,7 @@ BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
 SIMILARITY = 80  # percent
+PIVOTS = 256
 _U = np.uint64
 
 
@@ -138,7 +142,7 @@ def near_duplicates(ws: Workspace, docs: DataFrame, k: int = 5, percent: int = S
     same = ["n_shingles", "set_a", "set_b"]
     reps = some.join(classes.withColumn("doc_id", F.col("rep")), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id", *same])
     keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1").select("key")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = ws.table(keyed.join(shared, "key"))
     labels = None
     if members.limit(1).count():
@@ -153,38 +157,73 @@ def near_duplicates(ws: Workspace, docs: DataFrame, k: int = 5, percent: int = S
 
 
 def _waves(ws: Workspace, docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """node, component of the classes that are linked; None if there is no link."""
+    """node, component of the classes that are linked; None if there is no link. members: key, n, rep, size."""
     nodes = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = ws.table(full_sets(docs.join(nodes, "doc_id", "left_semi"), k)).dropDuplicates()
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
-    edges, labels, pivots = None, None, 1
-    members = members.withColumn("comp", F.col("rep"))
-    while True:
-        first = _smallest(members, pivots).join(members.select("key", F.col("rep").alias("p"), F.col("comp").alias("p_comp"), F.col("size").alias("p_size")), ["key", "p"])
-        first = ws.table(first)
-        pairs = members.join(first, "key").where("rep > p and comp <> p_comp")
-        pairs = pairs.where(f"least(size, p_size) * 100 >= greatest(size, p_size) * {percent}")
-        pairs = ws.table(pairs.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct())
-        found = ws.table(verified(pairs.join(left, "a").join(right, "b"), percent))
-        edges = found if edges is None else edges.union(found)
+    sets = ws.table(full_sets(docs.join(nodes, "doc_id", "left_semi"), k).dropDuplicates())
+    central = members.groupBy("rep").agg(F.sum("n").alias("company"))
+    first = members.join(central, "rep").groupBy("key").agg(F.max(F.struct("company", "rep", "size")).alias("p"))
+    first = first.select("key", F.col("p.rep").alias("p"), F.col("p.size").alias("p_size"))
+    pairs = members.join(first, "key").where(f"rep <> p and least(size, p_size) * 100 >= greatest(size, p_size) * {percent}")
+    edges = _linked(ws, pairs, sets, percent)
+    labels = components(ws, edges) if edges.limit(1).count() else None
+    members = _open(ws, members.select("key", "rep", "size"), labels)
+    shared = None
+    while members.limit(1).count():
+        if shared is None:
+            shared = _shared_tokens(sets.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+            members = members.join(shared, "rep", "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
+            least = members.groupBy("key").agg(F.min("size").alias("least"))
+            # even against the smallest partner that could hold all shared tokens
+            reach = f"shared * 100 >= {percent} * (size + greatest(least, shared) - shared)"
+            members = _open(ws, members.join(least, "key").where(reach).select("key", "rep", "size", "shared"), labels)
+            continue
+        most = members.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"))
+        minor = members.join(most, "key").where("comp <> major").select("key", *[F.col(c).alias(f"p_{c}") for c in ("rep", "size", "shared", "comp")])
+        minor = minor.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("p_rep"))).where(F.col("_r") <= PIVOTS).drop("_r")
+        minor = ws.table(minor)
+        m = "least(shared, p_shared)"
+        near = f"comp <> p_comp and 100 * {m} >= {percent} * (size + p_size - {m})"
+        found = _linked(ws, members.join(minor, "key").where(near).select("key", F.col("p_rep").alias("p"), "rep"), sets, percent)
         if found.limit(1).count():
+            edges = ws.table(edges.union(found))
             labels = components(ws, edges)
-        rest = members.join(first.select("key", F.col("p").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "size")
-        if labels is not None:
-            rest = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-        else:
-            rest = rest.withColumn("comp", F.col("rep"))
-        open_keys = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        members = ws.table(rest.join(open_keys, "key"))
-        if not members.limit(1).count():
-            return labels
-        pivots *= 4
-
-
-def _smallest(members: DataFrame, n: int) -> DataFrame:
-    """key, p: the n smallest members of each bucket. Spark limits each group before the shuffle as well."""
-    ranked = members.select("key", F.col("rep").alias("p"), F.row_number().over(Window.partitionBy("key").orderBy("rep")).alias("_r"))
-    return ranked.where(F.col("_r") <= n).select("key", "p")
+        rest = members.join(minor.select("key", F.col("p_rep").alias("rep")), ["key", "rep"], "left_anti")
+        members = _open(ws, rest.select("key", "rep", "size", "shared"), labels)
+    return labels
+
+
+def _linked(ws: Workspace, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs (p, rep) whose full sets are similar enough."""
+    once = pairs.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
+    return ws.table(verified(once.join(left, "a").join(right, "b"), percent))
+
+
+def _open(ws: Workspace, members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members with their component, of the buckets that hold more than one component."""
+    if labels is None:
+        named = members.withColumn("comp", F.col("rep"))
+    else:
+        named = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return ws.table(named.join(keys, "key"))
+
+
+def _shared_tokens(sets: DataFrame) -> DataFrame:
+    """rep, shared: how many of a class's tokens some other class of these has too."""
+    kind = dict(sets.dtypes)["doc_id"]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                number = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(number)), pa.array(np.concatenate(tokens))], ["rep", "token"])
+
+    rows = sets.select("doc_id", "tokens").mapInArrow(run, f"rep {kind}, token long")
+    alone = rows.groupBy("token").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.count("*").alias("n")).where("rep <> other").select("token")
+    return rows.join(alone, "token").groupBy("rep").agg(F.count("*").alias("shared"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

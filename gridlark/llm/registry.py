@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "language", "media", "mixing", "neardup", "sharding", "toxicity")
+MODULES = ("decontaminate", "language", "media", "mixing", "neardup", "secrets", "sharding", "toxicity")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -58,3 +58,16 @@ def repeats(docs: list[tuple[int, str | None]], n: int) -> dict[int, tuple[int,
         left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         out[d] = (len(b), sum(gone), spans, hashlib.sha256(left).hexdigest())
     return out
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_secrets(text: str | None) -> tuple[int, int, int, str]:
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    n = [sum(1 for f in found if f[1] == k) for k in range(3)]
+    joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
+    return (*n, hashlib.sha256(joined.encode()).hexdigest())
