@@ -1,12 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives, other texts are unlabelled. A linear model over log counts of
-lower-cased words and of their beginnings of 4 to 8 bytes, hashed to 2^18 places, is trained in numpy on the non-negative risk
+Confirmed toxic texts are the positives, a sample of all texts is unlabelled. A linear model over log counts of
+lower-cased words and of their beginnings of 4 to 8 bytes, hashed to 2^18 places of which the PLACES most telling
+and the COMMON most frequent are kept, is trained in numpy on the non-negative risk
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with the logistic loss: where the corrected negative risk
 falls below zero, the step goes against its gradient, as published. The class prior is the share of toxic rows
 among the labels learned from. Weights shrink by a soft threshold, so that words without evidence weigh nothing.
 
-The fit uses at most POSITIVES toxic and UNLABELLED other whole texts, those with the least hash of their id;
+The fit uses at most POSITIVES toxic and UNLABELLED whole texts, those with the least hash of their id;
 every document is scored. Scores lie in 0 .. 1; 0.7 is the threshold. Null and empty texts get the score of no
 words. Null labels teach nothing; of repeated labels the highest counts; without positives all scores are 0.
 """
@@ -19,13 +20,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import NOT_ALNUM, Spans, byte_values, mix, slices, words
+from gridlark.llm.common import NOT_ALNUM, Spans, Workspace, byte_values, mix, slices, words
 from gridlark.llm.language import fold
 
 BITS = 18
 BEGINNINGS = (4, 5, 6, 7, 8)
-POSITIVES = 6000
-UNLABELLED = 12000
+POSITIVES = 3000
+UNLABELLED = 9000
+PLACES = 4096
+COMMON = 600
+LEAST = 4  # positives with a telling place
+EVIDENCE = 15.0  # of a telling place, as chi-squared
 STEPS = 250
 RATE = 0.05
 SHRINK = 1e-3
@@ -54,20 +59,8 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 class Rows:
     """A sparse matrix of some documents."""
 
-    def __init__(self, texts: list[str | None]):
-        parts, base = [], 0
-        for i, j, data, at in slices(pc.utf8_lower(pa.array(texts, pa.string()))):
-            row, place, value = features(data, at)
-            parts.append((row + i, place, value))
-            base = j
-        self.n = base
-        self.row, self.place, self.value = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(3))
-
-    def keep(self, places: np.ndarray) -> None:
-        """Drop all features but these."""
-        at = np.minimum(np.searchsorted(places, self.place), max(len(places) - 1, 0))
-        there = places[at] == self.place if len(places) else np.zeros(len(self.place), bool)
-        self.row, self.place, self.value = self.row[there], at[there], self.value[there]
+    def __init__(self, n: int, row: np.ndarray, place: np.ndarray, value: np.ndarray):
+        self.n, self.row, self.place, self.value = n, row, place, value
 
     def dot(self, w: np.ndarray, b: float) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.place], self.n) + b
@@ -90,13 +83,8 @@ def risk_gradient(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndar
     return sp * prior / len(fp), -su / len(fu)
 
 
-def train(positive: Rows, unlabelled: Rows, prior: float, steps: int = STEPS, rate: float = RATE, shrink: float = SHRINK) -> tuple[np.ndarray, float]:
+def train(positive: Rows, unlabelled: Rows, size: int, prior: float, steps: int = STEPS, rate: float = RATE, shrink: float = SHRINK) -> tuple[np.ndarray, float]:
     """Weights and bias: Adam steps with soft thresholds, then slope and bias alone, which undo the shrinkage."""
-    seen, count = np.unique(positive.place, return_counts=True)
-    places = seen[count >= 2]  # a feature of one positive proves nothing
-    size = len(places)
-    positive.keep(places)
-    unlabelled.keep(places)
     w, b = np.zeros(size), np.log(prior / (1 - prior))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
@@ -115,33 +103,96 @@ def train(positive: Rows, unlabelled: Rows, prior: float, steps: int = STEPS, ra
         g = np.array([gp @ fp + gu @ fu, gp.sum() + gu.sum()])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         slope, b = np.array([slope, b]) - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-    out = np.zeros(1 << BITS)
-    out[places] = slope * w
-    return out, float(b)
+    return slope * w, float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
-    """A model from docs (doc_id, text) and labels (doc_id, toxic), rows held out already left away."""
+def frequencies(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """In how many positives and in how many unlabelled texts each place occurs; sample: (text, positive)."""
+
+    def run(batches):
+        for batch in batches:
+            positive = batch.column(1).to_numpy(zero_copy_only=False)
+            total = np.zeros((2, 1 << BITS), np.int64)
+            for i, j, data, at in slices(pc.utf8_lower(batch.column(0).cast(pa.string()))):
+                row, place, _ = features(data, at)
+                for c in (0, 1):
+                    total[c] += np.bincount(place[positive[i:j][row] == c], minlength=1 << BITS)
+            there = np.flatnonzero(total.sum(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[1][there]), pa.array(total[0][there])], ["place", "p", "u"])
+
+    rows = sample.select("text", F.col("positive").cast("int")).mapInArrow(run, "place long, p long, u long")
+    found = rows.groupBy("place").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toPandas()
+    p, u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    p[found["place"]], u[found["place"]] = found["p"], found["u"]
+    return p, u
+
+
+def matrix(sample: DataFrame, places: np.ndarray) -> list[Rows]:
+    """Unlabelled and positive rows over the chosen places alone."""
+    sent = sample.sparkSession.sparkContext.broadcast(places)
+
+    def run(batches):
+        places = sent.value
+        for batch in batches:
+            positive = batch.column(1).to_numpy(zero_copy_only=False)
+            for i, j, data, at in slices(pc.utf8_lower(batch.column(0).cast(pa.string()))):
+                row, place, value = features(data, at)
+                where = np.minimum(np.searchsorted(places, place), len(places) - 1)
+                kept = places[where] == place
+                cut = np.searchsorted(row[kept], np.arange(j - i + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(positive[i:j]), pa.ListArray.from_arrays(pa.array(cut), pa.array(where[kept].astype(np.int32))), pa.ListArray.from_arrays(pa.array(cut), pa.array(value[kept]))], ["positive", "place", "value"])
+
+    table = sample.select("text", F.col("positive").cast("int")).mapInArrow(run, "positive int, place array<int>, value array<float>").toArrow()
+    out = []
+    for c in (0, 1):
+        own = table.filter(pc.equal(table["positive"], c)).combine_chunks()
+        n = own.num_rows
+        length = np.asarray(pc.list_value_length(own["place"]))
+        out.append(Rows(n, np.repeat(np.arange(n), length), np.asarray(pc.list_flatten(own["place"])), np.asarray(pc.list_flatten(own["value"]))))
+    return out
+
+
+def learn(ws: Workspace, docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Places, weights and bias from docs (doc_id, text) and labels (doc_id, toxic), rows held out already left away."""
     toxic = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = toxic.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
     if not counts["p"] or counts["p"] == counts["n"]:
         return None
     least = [F.xxhash64("doc_id"), F.col("doc_id")]
     # ids first, so that only the chosen texts are read back; both lists are bounded by the parameters
-    positive = toxic.where("toxic = 1").orderBy(*least).limit(POSITIVES).select("doc_id")
-    other = docs.select("doc_id").join(toxic.where("toxic = 1"), "doc_id", "left_anti").orderBy(*least).limit(UNLABELLED).select("doc_id")
-    texts = lambda ids: [r["text"] for r in docs.join(F.broadcast(ids), "doc_id").select("text").toLocalIterator()]
-    return train(Rows(texts(positive)), Rows(texts(other)), counts["p"] / counts["n"])
+    positive = toxic.where("toxic = 1").orderBy(*least).limit(POSITIVES).select("doc_id", F.lit(True).alias("positive"))
+    # the unlabelled come from all documents, so that positives are among them at the rate of the prior
+    other = docs.select("doc_id").distinct().orderBy(*least).limit(UNLABELLED).select("doc_id", F.lit(False).alias("positive"))
+    sample = ws.table(docs.join(F.broadcast(positive.union(other)), "doc_id").select("text", "positive"))
+    sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
+    if len(sizes) < 2:
+        return None
+    p, u = frequencies(sample)
+    # places far more frequent in positives than chance allows, and the most frequent ones, which stand for
+    # language and length
+    odds = np.log((p + 0.5) / (sizes[True] + 1)) - np.log((u + 0.5) / (sizes[False] + 1))
+    due = (u + 0.5) * sizes[True] / sizes[False]
+    telling = np.flatnonzero((p >= LEAST) & (odds > 1) & ((p - due) ** 2 / due > EVIDENCE))
+    telling = telling[np.argsort(-(p * odds)[telling], kind="stable")[:PLACES]]
+    common = np.argsort(-u, kind="stable")[:COMMON]
+    places = np.unique(np.concatenate([telling, common[u[common] > 0]]))
+    if not len(places):
+        return None
+    unlabelled, positives = matrix(sample, places)
+    return places, *train(positives, unlabelled, len(places), counts["p"] / counts["n"])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None) -> DataFrame:
     """docs and score; the columns must include text."""
     names, kinds = docs.columns, docs.dtypes
     column = names.index("text")
-    sent = docs.sparkSession.sparkContext.broadcast(None if model is None else (model[0].astype(np.float32), model[1]))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = sent.value
+        if model is not None:
+            weights = np.zeros(1 << BITS, np.float32)
+            weights[model[0]] = model[1]
         for batch in batches:
             out = []
             for i, j, data, at in slices(pc.utf8_lower(batch.column(column).cast(pa.string()))):
@@ -149,7 +200,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
                     out.append(np.zeros(j - i))
                     continue
                 row, place, value = features(data, at)
-                out.append(sigmoid(np.bincount(row, value * model[0][place], j - i) + model[1]))
+                out.append(sigmoid(np.bincount(row, value * weights[place], j - i) + model[2]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], [*names, "score"])
 
     return docs.mapInArrow(run, ", ".join([*[f"`{c}` {t}" for c, t in kinds], "score double"]))
@@ -159,7 +210,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     open_rows = fold(F.col("doc_id"), 3) != 1
-    model = learn(docs.where(open_rows), labels.where(open_rows).select("doc_id", "toxic"))
+    model = learn(Workspace(spark, "toxicity"), docs.where(open_rows), labels.where(open_rows).select("doc_id", "toxic"))
     found = score(docs, model)
     return found.select("doc_id", (~open_rows).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
