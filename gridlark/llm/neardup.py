@@ -9,9 +9,10 @@ similarity 0.8 meets in no band with probability 5e-8.
 Verification: documents with equal sets are one class, and classes that share a band's values are candidates.
 All pairs of a bucket are never made. First each bucket's most central member (the one with the most company over
 all bands) is compared with the others on full sets, and links merge components; a bucket whose members lie in
-one component is done. For what is left, tokens that only one class has give bounds: with s shared tokens of a
-class, a pair's similarity is at most m / (|x| + |y| - m), m the lesser s. Members that no other can reach leave.
-Then, wave by wave, the members outside a bucket's largest component are its pivots, up to PIVOTS of them; every
+one component is done. For what is left, a pair's common tokens m are bounded, and with them its similarity
+m / (|x| + |y| - m): m is at most the lesser number of tokens that other classes have too, and at most the lesser
+number of tokens common with the bucket's central member plus the lesser number of shared tokens outside it. Members
+that no other can reach leave. Then, wave by wave, the members outside a bucket's largest component are its pivots, up to PIVOTS of them; every
 member in another component within the bound is compared with them, and the pivots leave. Waves go on until
 no bucket is left, so every pair that shares a band is compared, connected already, or proven too far apart.
 
@@ -113,23 +114,23 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, tokens binary")
 
 
-def verified(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, tokens_a, tokens_b) those whose sets are similar enough."""
+def compared(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, tokens_a, tokens_b): a, b, common tokens, and whether the sets are similar enough."""
     kind = dict(pairs.dtypes)["a"]
 
     def run(batches):
         for batch in batches:
-            good = []
+            shared, good = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")  # two sorted runs are merged
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
+                shared.append(common)
                 good.append(100 * common >= percent * (len(both) - common))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(good, pa.bool_())], ["a", "b", "common", "linked"])
 
-    return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, f"a {kind}, b {kind}, common long, linked boolean")
 
 
 def near_duplicates(ws: Workspace, docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> DataFrame:
@@ -146,7 +147,7 @@ def near_duplicates(ws: Workspace, docs: DataFrame, k: int = 5, percent: int = S
     members = ws.table(keyed.join(shared, "key"))
     labels = None
     if members.limit(1).count():
-        labels = _waves(ws, docs, members, k, percent)
+        labels = _waves(ws, docs, members, reps.select(F.col("doc_id").alias("rep"), "bands"), k, percent)
     out = flat.join(classes, same, "left")
     if labels is not None:
         out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -156,7 +157,7 @@ def near_duplicates(ws: Workspace, docs: DataFrame, k: int = 5, percent: int = S
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _waves(ws: Workspace, docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame | None:
+def _waves(ws: Workspace, docs: DataFrame, members: DataFrame, bands: DataFrame, k: int, percent: int) -> DataFrame | None:
     """node, component of the classes that are linked; None if there is no link. members: key, n, rep, size."""
     nodes = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = ws.table(full_sets(docs.join(nodes, "doc_id", "left_semi"), k).dropDuplicates())
@@ -164,39 +165,54 @@ def _waves(ws: Workspace, docs: DataFrame, members: DataFrame, k: int, percent:
     first = members.join(central, "rep").groupBy("key").agg(F.max(F.struct("company", "rep", "size")).alias("p"))
     first = first.select("key", F.col("p.rep").alias("p"), F.col("p.size").alias("p_size"))
     pairs = members.join(first, "key").where(f"rep <> p and least(size, p_size) * 100 >= greatest(size, p_size) * {percent}")
-    edges = _linked(ws, pairs, sets, percent)
+    scored = _compare(ws, pairs, sets, percent)
+    edges = scored.where("linked").select("a", "b")
     labels = components(ws, edges) if edges.limit(1).count() else None
     members = _open(ws, members.select("key", "rep", "size"), labels)
-    shared = None
+    if not members.limit(1).count():
+        return labels
+    members = _bounded(ws, members, first, scored, sets, bands, percent, labels)
     while members.limit(1).count():
-        if shared is None:
-            shared = _shared_tokens(sets.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-            members = members.join(shared, "rep", "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
-            least = members.groupBy("key").agg(F.min("size").alias("least"))
-            # even against the smallest partner that could hold all shared tokens
-            reach = f"shared * 100 >= {percent} * (size + greatest(least, shared) - shared)"
-            members = _open(ws, members.join(least, "key").where(reach).select("key", "rep", "size", "shared"), labels)
-            continue
         most = members.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"))
-        minor = members.join(most, "key").where("comp <> major").select("key", *[F.col(c).alias(f"p_{c}") for c in ("rep", "size", "shared", "comp")])
+        minor = members.join(most, "key").where("comp <> major").select("key", *[F.col(c).alias(f"p_{c}") for c in members.columns if c != "key"])
         minor = minor.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("p_rep"))).where(F.col("_r") <= PIVOTS).drop("_r")
         minor = ws.table(minor)
-        m = "least(shared, p_shared)"
+        m = "least(shared, p_shared, least(inside, p_inside) + least(outside, p_outside))"
         near = f"comp <> p_comp and 100 * {m} >= {percent} * (size + p_size - {m})"
-        found = _linked(ws, members.join(minor, "key").where(near).select("key", F.col("p_rep").alias("p"), "rep"), sets, percent)
+        # a pair that meets in several buckets is made in the first of them
+        once = "get(array_intersect(bands, p_bands), 0) = key"
+        pairs = members.join(minor, "key").where(f"{near} and {once}").select(F.col("p_rep").alias("p"), "rep")
+        found = _compare(ws, pairs, sets, percent).where("linked").select("a", "b")
         if found.limit(1).count():
-            edges = ws.table(edges.union(found))
+            edges = edges.union(found)
             labels = components(ws, edges)
         rest = members.join(minor.select("key", F.col("p_rep").alias("rep")), ["key", "rep"], "left_anti")
-        members = _open(ws, rest.select("key", "rep", "size", "shared"), labels)
+        members = _open(ws, rest.drop("comp"), labels)
     return labels
 
 
-def _linked(ws: Workspace, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs (p, rep) whose full sets are similar enough."""
+def _bounded(ws: Workspace, members: DataFrame, first: DataFrame, scored: DataFrame, sets: DataFrame, bands: DataFrame, percent: int, labels: DataFrame | None) -> DataFrame:
+    """Members with what bounds their common tokens with others, without those that no other can reach."""
+    left = members.select(F.col("rep").alias("doc_id")).distinct()
+    members = members.join(_shared_tokens(sets.join(left, "doc_id", "left_semi")), "rep", "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
+    members = members.join(first, "key").withColumns({"a": F.least("p", "rep"), "b": F.greatest("p", "rep")})
+    members = members.join(scored.select("a", "b", "common"), ["a", "b"], "left")
+    # not compared for their sizes: nothing is known about the central member
+    inside = F.when(F.col("rep") == F.col("p"), F.col("shared")).otherwise(F.coalesce("common", "shared"))
+    outside = F.when(F.col("rep") == F.col("p"), F.lit(0).cast("long")).otherwise(F.coalesce(F.col("shared") - F.col("common"), F.col("shared")))
+    members = members.select("key", "rep", "size", "shared", inside.alias("inside"), outside.alias("outside"))
+    least = members.groupBy("key").agg(F.min("size").alias("least"))
+    # even against the smallest partner that could hold all shared tokens
+    reach = f"shared * 100 >= {percent} * (size + greatest(least, shared) - shared)"
+    members = members.join(least, "key").where(reach).drop("least")
+    return _open(ws, members.join(bands, "rep"), labels)
+
+
+def _compare(ws: Workspace, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, common, linked of the pairs (p, rep), each compared once on full sets."""
     once = pairs.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
-    return ws.table(verified(once.join(left, "a").join(right, "b"), percent))
+    return ws.table(compared(once.join(left, "a").join(right, "b"), percent))
 
 
 def _open(ws: Workspace, members: DataFrame, labels: DataFrame | None) -> DataFrame:
