@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat", "decontaminate", "language", "media", "mixing", "neardup", "secrets", "sharding", "toxicity")
+MODULES = ("chat", "decontaminate", "language", "media", "mixing", "neardup", "secrets", "sharding", "substrings", "toxicity")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
