@@ -63,23 +63,28 @@ def branches(ws: Workspace, nodes: DataFrame, top: int = 1, by_mean: bool = Fals
     known = nodes.select("tree", F.col("node").alias("parent"))
     valid = nodes.join(known, ["tree", "parent"], "left_semi").select("tree", "node", "parent", "score")
     roots = nodes.join(known, ["tree", "parent"], "left_anti").select("tree", "node", F.lit(None).cast(dict(nodes.dtypes)["node"]).alias("parent"), "score")
-    jumps = [ws.table(valid.unionByName(roots).select("tree", "node", F.col("parent").alias("to"), F.col("score").cast("double").alias("total"), F.lit(1).cast("long").alias("steps")))]
+    start = ws.table(valid.unionByName(roots).select("tree", "node", F.col("parent").alias("to"), F.col("score").cast("double").alias("total"), F.lit(1).cast("long").alias("steps")))
+    whole, jumps = start.where("`to` is null"), []
+    active = start.where("`to` is not null")
     largest = nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     for _ in range(math.ceil(math.log2(largest)) if largest > 1 else 0):
-        last = jumps[-1]
-        if not last.where("`to` is not null").limit(1).count():
+        jumps.append(active)
+        # nodes that have reached their root are looked up, but jump no more
+        target = whole.unionByName(active).select("tree", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("total").alias("_total"), F.col("steps").alias("_steps"))
+        far = active.join(target, ["tree", "to"])
+        far = ws.table(far.select("tree", "node", F.col("_to").alias("to"), (F.col("total") + F.col("_total")).alias("total"), (F.col("steps") + F.col("_steps")).alias("steps")))
+        whole = whole.unionByName(far.where("`to` is null"))
+        active = far.where("`to` is not null")
+        if not active.limit(1).count():
             break
-        target = last.select("tree", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("total").alias("_total"), F.col("steps").alias("_steps"))
-        far = last.join(target, ["tree", "to"], "left")
-        jumps.append(ws.table(far.select("tree", "node", F.col("_to").alias("to"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))))
-    whole = jumps[-1].where("`to` is null")  # a jump that still lands somewhere runs in a cycle
-    leaves = whole.join(jumps[0].select("tree", F.col("to").alias("node")), ["tree", "node"], "left_anti")
+    # what still jumps runs in a cycle
+    leaves = whole.join(start.select("tree", F.col("to").alias("node")), ["tree", "node"], "left_anti")
     score = F.col("total") / F.col("steps") if by_mean else F.col("total")
     best = Window.partitionBy("tree").orderBy(score.desc_nulls_last(), F.col("steps").desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     paths = ws.table(chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("back")))
-    for k, jump in enumerate(jumps[:-1] if len(jumps) > 1 else jumps):
-        further = paths.join(jump.where("`to` is not null").select("tree", "node", "to"), ["tree", "node"])
+    for k, jump in enumerate(jumps):
+        further = paths.join(jump.select("tree", "node", "to"), ["tree", "node"])
         paths = ws.table(paths.unionByName(further.select("tree", "leaf", "rank", F.col("to").alias("node"), (F.col("back") + (1 << k)).alias("back"))))
     return paths
 
