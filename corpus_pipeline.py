@@ -1,10 +1,70 @@
-"""The corpus pipeline: stages over documents, each written and read again as the next one's input."""
+"""The corpus pipeline: five stages over documents, each written and read again as the next one's input.
+
+Language identification drops documents of no language, near-duplicate removal keeps one document of each group,
+decontamination cuts benchmark passages out of texts, mixing takes each document as often as its source's
+target asks, and sharding gives every row its shard and slot. Stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridlark.llm import decontaminate, language, mixing, neardup, sharding
+from gridlark.llm.common import Workspace
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text or letters are in no language and go; all others stay."""
+    found = language.identify(docs, *language.learned(docs.select("doc_id", "text", "lang")))
+    return found.where("lang_pred <> 'und'").drop("lang_pred", "lang_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents linked by shingles of five words at 0.8, the one with the least id stays."""
+    ws = Workspace(spark, "neardup")
+    gone = ws.table(neardup.near_duplicates(ws, docs, k=5).where("not kept").select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+    if again:  # rows with one id are one document
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages leave the texts; documents of nothing else go."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    clean = decontaminate.without_spans(found, docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else clean
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, none to three times."""
+    return mixing.mixed(Workspace(spark, "mix"), docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, size, text_crc32, hilbert, shard and slot of every row."""
+    return sharding.shard(Workspace(spark, "shards"), sharding.measured(docs))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", cut_benchmark),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: Language models, sketches and checksums have no SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = ws.table(docs)
+    return docs

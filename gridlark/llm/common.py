@@ -54,6 +54,18 @@ class Workspace:
             hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+# ---------------------------------------------------------------- rows
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs with _row, so that (doc_id, _row) is a key even of repeated or null ids: 0 where the ids do already."""
+    doubt = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count()
+    if not doubt:
+        return docs.withColumn("_row", F.lit(0))
+    # copies of an id in the order of their contents; rows alike in all columns are interchangeable
+    same = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return docs.withColumn("_row", F.row_number().over(same))
+
+
 # ---------------------------------------------------------------- global order without one task
 
 def ordered_prefix(ws: Workspace, df: DataFrame, order: list[Column], group: list[str], sums: dict[str, str]) -> DataFrame:

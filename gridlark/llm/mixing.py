@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import Workspace, ordered_prefix
+from gridlark.llm.common import Workspace, ordered_prefix, told_apart
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
@@ -79,10 +79,20 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 def sized(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, source, size, quality_weight of whole documents."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"))
+    rows = docs.select("doc_id", "source", size.alias("size"), *[c for c in docs.columns if c == "_row"])
     return rows.join(quality_weights(labels), "doc_id", "left").withColumn("quality_weight", F.coalesce("quality_weight", F.lit(1.0)))
 
 
+def mixed(ws: Workspace, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, each as often as the mix takes it."""
+    known = told_apart(docs)
+    taken = mix(ws, sized(known, labels)).where("taken > 0")
+    taken = ws.table(taken.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_number"), F.expr("taken div size").alias("_copies")))
+    both = known["doc_id"].eqNullSafe(F.col("_id")) & (known["_row"] == F.col("_number"))
+    rows = known.join(taken, both).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "mix")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -86,13 +86,13 @@ def pieces(column: pa.Array, length: int, piece: int):
         yield np.array(rows), np.array(skip), np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-def runs(docs: DataFrame, length: int, k: int, only_anchors: bool = False) -> DataFrame:
+def runs(docs: DataFrame, length: int, k: int, only_anchors: bool = False, piece: int = PIECE) -> DataFrame:
     """anchor, string (hashes), key, at (first window), spread (windows less one), offset (of the anchor in the first)."""
     kind = dict(docs.dtypes)["key"]
 
     def run(batches):
         for batch in batches:
-            for rows, skip, data, at in pieces(batch.column(1), length, PIECE):
+            for rows, skip, data, at in pieces(batch.column(1), length, piece):
                 row, first, last, anchor, h, string = anchors(data, at, length, k)
                 if only_anchors:
                     yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64))], ["anchor"])
@@ -247,19 +247,19 @@ def split(items: DataFrame, low: int, high: int, step: int, length: int) -> Data
     return items.mapInArrow(run, "key long, piece long, anchor long, string long, base int, offset int, n long, bytes binary")
 
 
-def repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
+def repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group: int = GROUP, piece: int = PIECE) -> DataFrame:
     """docs (key, text) -> key, start, end: byte ranges that repeated windows cover, not yet merged."""
-    shared = runs(docs, length, k, only_anchors=True).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    rows = ws.table(runs(docs, length, k).join(shared, "anchor"))
+    shared = runs(docs, length, k, True, piece).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    rows = ws.table(runs(docs, length, k, False, piece).join(shared, "anchor"))
     once = F.min(F.struct("key", "at", "spread", "offset")).alias("x")
     known = ws.table(rows.groupBy("anchor", "string").agg(F.count("*").alias("n"), once).select("anchor", "string", "n", "x.*"))
     groups = known.groupBy("anchor").agg(F.count("*").alias("d"), F.min("n").alias("m")).where("d > 1 and m = 1").select("anchor", "d")
     text = ws.table(strings(docs, known.join(groups, "anchor"), length)).withColumn("base", F.lit(0))
     item = F.struct("anchor", "string", "base", "offset", "n", "bytes")
     verdicts = [known.where("n > 1").select("anchor", "string", F.lit(0).alias("from"), F.col("spread").alias("to"))]
-    lanes = text.where(F.col("d") <= GROUP).groupBy("anchor").agg(F.collect_list(item).alias("g"))
+    lanes = text.where(F.col("d") <= group).groupBy("anchor").agg(F.collect_list(item).alias("g"))
     verdicts.append(searched(lanes, length))
-    hot, high = text.where(F.col("d") > GROUP), length - k + 1
+    hot, high = text.where(F.col("d") > group), length - k + 1
     step = -(-high // 4)
     while hot.limit(1).count():
         items = ws.table(split(hot.select("anchor", "string", "base", "offset", "n", "bytes"), 0, high, step, length))
@@ -268,8 +268,8 @@ def repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, k: int = ANCHO
         verdicts.append(both.select("anchor", "string", F.col("base").alias("from"), (F.col("base") + F.octet_length("bytes") - length).alias("to")))
         sizes = unlike.groupBy("key").agg(F.count("*").alias("d"), F.min("n").alias("m")).where("d > 1 and m = 1").select("key", "d")
         open_ = unlike.join(sizes, "key")
-        verdicts.append(searched(open_.where(F.col("d") <= GROUP).groupBy("key").agg(F.collect_list(item).alias("g")), length))
-        hot = open_.where(F.col("d") > GROUP)
+        verdicts.append(searched(open_.where(F.col("d") <= group).groupBy("key").agg(F.collect_list(item).alias("g")), length))
+        hot = open_.where(F.col("d") > group)
         if step == 1:
             break  # a piece is a window now, and its group holds nothing else
         step = -(-step // 4)
@@ -297,12 +297,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(key.alias("key"), "doc_id", "text")
 
 
-def without_repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
+def without_repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group: int = GROUP, piece: int = PIECE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, spans (removed byte ranges), kept (the other bytes)."""
     docs = keyed(docs.select("doc_id", "text"))
-    spans = repeats(ws, docs, length, k).groupBy("key").agg(F.collect_list("start").alias("s"), F.collect_list("end").alias("e"))
+    spans = repeats(ws, docs, length, k, group, piece).groupBy("key").agg(F.collect_list("start").alias("s"), F.collect_list("end").alias("e"))
     kind = dict(docs.dtypes)["doc_id"]
-    texts = packed(docs).withColumnRenamed("key", "key")
+    texts = packed(docs)
     ids = docs.select("key", "doc_id")
     whole = texts.join(spans, "key", "left")
     if dict(docs.dtypes)["key"] == "string" and kind != "string":
