@@ -17,8 +17,8 @@ member in another component within the bound is compared with them, and the pivo
 no bucket is left, so every pair that shares a band is compared, connected already, or proven too far apart.
 
 Sets hold 52-bit hashes of the shingles (of three hundred words: chance of a false match in a pair about 1e-10).
-Null or wordless texts have the empty set and stay alone. Rows with one doc_id are one document; a null doc_id
-stays alone with a null component. Extra columns don't matter, as only the named ones are read.
+Null or wordless texts have the empty set and stay alone. Rows with one doc_id are one document. A row without
+an id belongs to the component of an equal text, if there is one, and isn't kept then; else its component is null. Extra columns don't matter, as only the named ones are read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import LOWER, SPACE, Spans, Workspace, byte_values, distinct, mix, shingles, slices, words
+from gridlark.llm.common import LOWER, SPACE, Spans, Workspace, arrow_map, byte_values, distinct, mix, shingles, slices, words
 from gridlark.llm.graph import components
 
 BINS = 128
@@ -96,7 +96,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(count), pa.array((a[ends[1:]] - a[ends[:-1]]).astype(np.int64)), pa.array((b[ends[1:]] - b[ends[:-1]]).astype(np.int64)), bands], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -111,7 +111,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 sets = [token[ends[r] : ends[r + 1]].tobytes() for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["doc_id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, tokens binary")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, tokens binary")
 
 
 def compared(pairs: DataFrame, percent: int) -> DataFrame:
@@ -130,7 +130,7 @@ def compared(pairs: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(good, pa.bool_())], ["a", "b", "common", "linked"])
 
-    return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, f"a {kind}, b {kind}, common long, linked boolean")
+    return arrow_map(pairs.select("a", "b", "tokens_a", "tokens_b"), run, f"a {kind}, b {kind}, common long, linked boolean")
 
 
 def near_duplicates(ws: Workspace, docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> DataFrame:
@@ -154,7 +154,7 @@ def near_duplicates(ws: Workspace, docs: DataFrame, k: int = 5, percent: int = S
     else:
         out = out.withColumn("component", F.lit(None))
     component = F.coalesce("component", "rep", "doc_id").alias("component_id")
-    return out.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def _waves(ws: Workspace, docs: DataFrame, members: DataFrame, bands: DataFrame, k: int, percent: int) -> DataFrame | None:
@@ -237,7 +237,7 @@ def _shared_tokens(sets: DataFrame) -> DataFrame:
                 number = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(number)), pa.array(np.concatenate(tokens))], ["rep", "token"])
 
-    rows = sets.select("doc_id", "tokens").mapInArrow(run, f"rep {kind}, token long")
+    rows = arrow_map(sets.select("doc_id", "tokens"), run, f"rep {kind}, token long")
     alone = rows.groupBy("token").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.count("*").alias("n")).where("rep <> other").select("token")
     return rows.join(alone, "token").groupBy("rep").agg(F.count("*").alias("shared"))
 
