@@ -6,6 +6,7 @@ by the slice and by the longest single document.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+BATCH_BYTES = 4 << 20
 
 
 # ---------------------------------------------------------------- tables on the shared folder
@@ -32,6 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow with batches bounded in bytes, so that rows of long texts can't fill a task's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def bounded(batches):
+        yield from run(batches)
+        # workers stay for later tasks; what this one freed goes back to the system
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return df.mapInArrow(bounded, schema)
+
+
 class Workspace:
     """Written tables of one operator call: each cuts the lineage and outlives lost executors."""
 
@@ -135,6 +152,15 @@ class Spans:
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
+    def rolling(self, k: int) -> np.ndarray:
+        """Hashes of all spans of k bytes, one to one with their polynomial values."""
+        n = len(self.sums) - k
+        x = (self.sums[k:] - self.sums[:n]) * self.down[:n]
+        x ^= x >> _U(32)
+        x *= _U(0xD6E8FEB86659FD93)
+        x ^= x >> _U(32)
+        return x
+
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(self.raw(start, end) + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
 

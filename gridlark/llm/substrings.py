@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import Spans, Workspace, buffers, byte_values, mix
+from gridlark.llm.common import Spans, Workspace, arrow_map, buffers, byte_values, mix
 from gridlark.llm.suffix import suffix_arrays
 
 LENGTH = 200
@@ -46,18 +46,17 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, k: int):
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     spans = Spans(data, byte_values(5))
     bits = _U(max(int(n).bit_length(), 1))
-    place = np.arange(n - k + 1)
-    h = spans.hash(place, place + k)
-    least, size = ((h >> bits) << bits) | place.astype(np.uint64), 1
+    h = spans.rolling(k)
+    least, size = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64), 1
     while size * 2 <= width:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     if width > size:
         least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    window = np.flatnonzero(at[1:][row[: len(least)]] - np.arange(len(least)) >= length)
+    many = np.maximum(np.diff(at) - length + 1, 0)
+    row = np.repeat(np.arange(len(at) - 1), many)
+    window = np.arange(len(row)) + np.repeat(at[:-1] - (np.cumsum(many) - many), many)
     anchor = (least[window] & ((_U(1) << bits) - _U(1))).astype(np.int64)
-    row = row[window]
     new = np.ones(len(window), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     s = np.flatnonzero(new)
@@ -104,7 +103,7 @@ def runs(docs: DataFrame, length: int, k: int, only_anchors: bool = False, piece
                 yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(string.astype(np.int64)), keys, pa.array(begin), pa.array((last - first).astype(np.int32)), pa.array((anchor - first).astype(np.int32))], ["anchor", "string", "key", "at", "spread", "offset"])
 
     fields = "anchor long" if only_anchors else f"anchor long, string long, key {kind}, at long, spread int, offset int"
-    return docs.select("key", "text").mapInArrow(run, fields)
+    return arrow_map(docs.select("key", "text"), run, fields)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -120,7 +119,7 @@ def packed(docs: DataFrame) -> DataFrame:
                 z = [pack.compress(data[at[i] : at[i + 1]].tobytes()) for i in range(s, e)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(z, pa.binary())], ["key", "z"])
 
-    return docs.select("key", "text").mapInArrow(run, f"key {kind}, z binary")
+    return arrow_map(docs.select("key", "text"), run, f"key {kind}, z binary")
 
 
 def strings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -137,7 +136,7 @@ def strings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 text = [raw[a : a + s + length] for a, s in zip(at.tolist(), spread.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([w[0], w[1], w[4], w[5], w[6], pa.array(text, pa.binary())], ["anchor", "string", "offset", "n", "d", "bytes"])
 
-    return packed(docs).join(lists, "key").select("z", "w").mapInArrow(run, "anchor long, string long, offset int, n long, d long, bytes binary").dropDuplicates(["anchor", "string"])
+    return arrow_map(packed(docs).join(lists, "key").select("z", "w"), run, "anchor long, string long, offset int, n long, d long, bytes binary").dropDuplicates(["anchor", "string"])
 
 
 def repeated_windows(groups: list[list[bytes]], length: int) -> list[np.ndarray]:
@@ -180,8 +179,12 @@ def repeated_windows(groups: list[list[bytes]], length: int) -> list[np.ndarray]
         twice[sa[:-1][same]] = True
         at = np.flatnonzero(twice)
         base = dict(zip(ids.tolist(), begin.tolist(), strict=True))
-        for o in np.unique(owner[at]).tolist():
-            out[o][at[owner[at] == o] - base[o]] = True
+        # the strings lie one after another, so a string's hits are one run
+        mine = owner[at]
+        new = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(at) else at
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(at)], strict=False):
+            o = int(mine[a])
+            out[o][at[a:b] - base[o]] = True
     return out
 
 
@@ -208,7 +211,7 @@ def searched(groups: DataFrame, length: int) -> DataFrame:
                             hi.append(x["base"] + e)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(t, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["anchor", "string", "from", "to"])
 
-    return groups.select("g").mapInArrow(run, "anchor long, string long, from int, to int")
+    return arrow_map(groups.select("g"), run, "anchor long, string long, from int, to int")
 
 
 def split(items: DataFrame, low: int, high: int, step: int, length: int) -> DataFrame:
@@ -244,7 +247,7 @@ def split(items: DataFrame, low: int, high: int, step: int, length: int) -> Data
             kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), kinds, strict=True)], list(cols))
 
-    return items.mapInArrow(run, "key long, piece long, anchor long, string long, base int, offset int, n long, bytes binary")
+    return arrow_map(items, run, "key long, piece long, anchor long, string long, base int, offset int, n long, bytes binary")
 
 
 def repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group: int = GROUP, piece: int = PIECE) -> DataFrame:
@@ -327,7 +330,7 @@ def without_repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, k: int
                 kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(cut, kinds), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return whole.select("doc_id", "z", "s", "e").mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return arrow_map(whole.select("doc_id", "z", "s", "e"), run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
