@@ -17,30 +17,31 @@ from gridlark.functions.boxes import Box, iou
 IOU_STEPS = tuple(0.50 + 0.05 * i for i in range(10))
 
 
-def overlaps(predictions: DataFrame, truth: DataFrame, same_class: bool = True) -> DataFrame:
-    """image_id, pred_idx, pred_class, confidence, gt_idx, gt_class, iou of all pairs that overlap at all."""
+def overlaps(predictions: DataFrame, truth: DataFrame, same_class: bool = True, least: float = 0.0) -> DataFrame:
+    """image_id, pred_idx, pred_class, confidence, gt_idx, gt_class, iou of all pairs that overlap at all, and by
+    ``least`` at least."""
     p = predictions.select("image_id", "pred_idx", F.col("class_id").alias("pred_class"), "confidence", *[F.col(c).alias(f"p_{c}") for c in ("xc", "yc", "w", "h")])
     t = truth.select("image_id", "gt_idx", F.col("class_id").alias("gt_class"), *[F.col(c).alias(f"g_{c}") for c in ("xc", "yc", "w", "h")])
     on = [p["image_id"] == t["image_id"]] + ([F.col("pred_class") == F.col("gt_class")] if same_class else [])
     side = lambda s: Box(*[F.col(f"{s}_{c}") for c in ("xc", "yc", "w", "h")])
     pairs = p.join(t.withColumnRenamed("image_id", "_image"), [p["image_id"] == F.col("_image"), *on[1:]])
-    return pairs.select("image_id", "pred_idx", "pred_class", "confidence", "gt_idx", "gt_class", iou(side("p"), side("g")).alias("iou")).where("iou > 0")
+    return pairs.select("image_id", "pred_idx", "pred_class", "confidence", "gt_idx", "gt_class", iou(side("p"), side("g")).alias("iou")).where((F.col("iou") > 0) & (F.col("iou") >= least))
 
 
 def _greedy(pairs: Column, threshold: Column) -> Column:
     """Fold over pairs in the order of confidence and overlap: the first pair of a prediction whose true box is free
     is its best; it takes the box if it overlaps enough."""
-    start = F.array().cast("array<struct<pred_idx:bigint,gt_idx:bigint,iou:double,tp:boolean>>")
+    start = F.array().cast("array<struct<pred_idx:bigint,gt_idx:bigint,gt_class:int,iou:double,tp:boolean>>")
 
     def step(acc: Column, x: Column) -> Column:
         taken = F.exists(acc, lambda a: (a["pred_idx"] == x["pred_idx"]) | (a["tp"] & (a["gt_idx"] == x["gt_idx"])))
-        entry = F.struct(x["pred_idx"].cast("long").alias("pred_idx"), x["gt_idx"].cast("long").alias("gt_idx"), x["iou"].alias("iou"), (x["iou"] >= threshold).alias("tp"))
+        entry = F.struct(x["pred_idx"].cast("long").alias("pred_idx"), x["gt_idx"].cast("long").alias("gt_idx"), x["gt_class"].cast("int").alias("gt_class"), x["iou"].alias("iou"), (x["iou"] >= threshold).alias("tp"))
         return F.when(taken, acc).otherwise(F.concat(acc, F.array(entry)))
 
     return F.aggregate(pairs, start, step)
 
 
-def greedy_match(predictions: DataFrame, truth: DataFrame, thresholds: Sequence[float] = (0.5,), same_class: bool = True) -> DataFrame:
+def greedy_match(predictions: DataFrame, truth: DataFrame, thresholds: Sequence[float] = (0.5,), same_class: bool = True, misses: bool = True) -> DataFrame:
     """predictions with iou_thr, is_tp, best_iou and the matched gt_idx and gt_class, for each overlap threshold.
 
     Predictions are taken by confidence, ties by pred_idx; each takes the free true box it overlaps most (ties: the
@@ -53,8 +54,8 @@ def greedy_match(predictions: DataFrame, truth: DataFrame, thresholds: Sequence[
     groups = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("pairs"))
     steps = F.array(*[F.lit(float(t)) for t in thresholds])
     runs = groups.select(*keys, "pairs", F.explode(steps).alias("iou_thr")) if len(thresholds) > 1 else groups.withColumn("iou_thr", F.lit(float(thresholds[0])))
-    found = runs.select("image_id", "iou_thr", F.explode(_greedy(F.col("pairs"), F.col("iou_thr"))).alias("m"), "pairs")
-    found = found.select(F.col("image_id").alias("_image"), F.col("iou_thr").alias("_thr"), F.col("m.pred_idx").alias("_pred"), "m.iou", "m.tp", "m.gt_idx", F.element_at(F.filter("pairs", lambda x: x["gt_idx"] == F.col("m.gt_idx")), 1)["gt_class"].alias("gt_class"))
+    found = runs.select("image_id", "iou_thr", F.explode(_greedy(F.col("pairs"), F.col("iou_thr"))).alias("m"))
+    found = found.select(F.col("image_id").alias("_image"), F.col("iou_thr").alias("_thr"), F.col("m.pred_idx").alias("_pred"), "m.iou", "m.tp", "m.gt_idx", "m.gt_class")
     every = predictions.withColumn("iou_thr", F.explode(steps))
     joined = every.join(found, (F.col("image_id") == F.col("_image")) & (F.col("iou_thr") == F.col("_thr")) & (F.col("pred_idx") == F.col("_pred")), "left")
     matched = F.coalesce("tp", F.lit(False))
@@ -115,7 +116,7 @@ def view_support(predictions: DataFrame, views: DataFrame, threshold: float = 0.
 
 def confusion_pairs(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """gt_class, pred_class, n of the class-blind greedy match; -1 stands for no box on that side."""
-    found = greedy_match(predictions, truth, (threshold,), same_class=False)
+    found = greedy_match(predictions, truth, (threshold,), same_class=False, misses=False)
     hits = found.select(F.coalesce(F.col("gt_class"), F.lit(-1)).alias("gt_class"), F.col("class_id").alias("pred_class"))
     taken = found.where("is_tp").select("image_id", "gt_idx")
     left = truth.join(taken, ["image_id", "gt_idx"], "left_anti").select(F.col("class_id").alias("gt_class"), F.lit(-1).alias("pred_class"))

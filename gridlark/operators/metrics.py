@@ -108,7 +108,7 @@ def evaluate(predictions: DataFrame, truth: DataFrame, classes: Sequence[int]) -
     inside = lambda df: df.where(F.col("class_id").isin(*classes))
     truth, predictions = inside(truth), inside(predictions)
     counts = class_counts(truth, classes)
-    curve = pr_curve(greedy_match(predictions, truth, IOU_STEPS), counts)
+    curve = pr_curve(greedy_match(predictions, truth, IOU_STEPS, misses=False), counts)
     ap = average_precision(curve, counts, IOU_STEPS)
     at_half = F.col("iou_thr") == IOU_STEPS[0]
     rows = ap.groupBy("class_id", "gt").agg(*[F.max(F.when(at_half, F.col(c))).alias(n) for c, n in (("precision", "precision"), ("recall", "recall"), ("ap", "ap50"))], F.avg("ap").alias("ap50_95"))

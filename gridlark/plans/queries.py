@@ -68,9 +68,9 @@ def _truth(spark, d):
     return fx.truth(spark, d)
 
 
-def _matches(spark: SparkSession, d: str, classes=None) -> DataFrame:
+def _matches(spark: SparkSession, d: str, classes=None, misses: bool = False) -> DataFrame:
     inside = lambda df: df if classes is None else df.where(F.col("class_id").isin(*classes))
-    return matching.greedy_match(inside(fx.predictions(spark, d)), inside(_truth(spark, d)))
+    return matching.greedy_match(inside(fx.predictions(spark, d)), inside(_truth(spark, d)), misses=misses)
 
 
 # ---------------------------------------------------------------- labels and profiles
@@ -197,7 +197,7 @@ def f02_f03_scene_and_base_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_greedy()} SELECT p.image_id, p.pred_idx, p.class_id, p.confidence, coalesce(tp, false) AS is_tp, round_even(coalesce(iou, 0.0), 6) AS best_iou, coalesce(CASE WHEN tp THEN gt END, -1) AS gt_idx FROM p LEFT JOIN m ON p.image_id = m.image_id AND p.pred_idx = m.pred_idx")
 def j04_greedy_match(spark: SparkSession, d: str) -> DataFrame:
-    return _matches(spark, d).select("image_id", "pred_idx", "class_id", "confidence", "is_tp", _R(F.col("best_iou")).alias("best_iou"), F.coalesce("gt_idx", F.lit(-1)).alias("gt_idx"))
+    return _matches(spark, d, misses=True).select("image_id", "pred_idx", "class_id", "confidence", "is_tp", _R(F.col("best_iou")).alias("best_iou"), F.coalesce("gt_idx", F.lit(-1)).alias("gt_idx"))
 
 
 _GRID = "(VALUES " + ", ".join(f"({i + 1}, {t}::DOUBLE)" for i, t in enumerate(metrics.THRESHOLDS)) + ") g(threshold_no, threshold)"
