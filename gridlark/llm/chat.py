@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import Workspace
+from gridlark.llm.common import Workspace, arrow_map
 
 #: Control strings of the template and of common ones like it.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>")
@@ -118,7 +118,7 @@ def formatted(ws: Workspace, nodes: DataFrame, top: int = 1, id_column: str = "c
                 kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(loss, kinds)], [id_column, "rank", "formatted", "loss"])
 
-    return whole.select(id_column, "rank", "turns").mapInArrow(run, f"{id_column} {kind}, rank int, formatted string, loss array<struct<start:long,end:long>>")
+    return arrow_map(whole.select(id_column, "rank", "turns"), run, f"{id_column} {kind}, rank int, formatted string, loss array<struct<start:long,end:long>>")
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def read_back(chats: DataFrame) -> DataFrame:
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]], names)
 
-    return chats.select("conv_id", "formatted", "loss").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return arrow_map(chats.select("conv_id", "formatted", "loss"), run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import LOWER, NOT_ALNUM, Spans, byte_values, mix, slices, words
+from gridlark.llm.common import LOWER, NOT_ALNUM, Spans, arrow_map, byte_values, mix, slices, words
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
@@ -253,16 +253,18 @@ def _blocks(bench: DataFrame, most: int) -> list[list[tuple[str, str | None]]]:
     return [[(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).toLocalIterator()] for b in range(n)]
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, finish=None, schema: str | None = None) -> DataFrame:
     """docs with _n_words, _items (sorted ids whose windows occur) and _spans (byte ranges of runs of hit words).
 
-    Further blocks of a large benchmark add to the spans and items of those before.
+    Further blocks of a large benchmark add to the spans and items of those before. ``finish`` turns the last
+    block's batches into those of ``schema`` in the same Python workers.
     """
     spark = docs.sparkSession
     span = "array<struct<start:long,end:long>>"
     out = docs
     names = docs.columns
-    for number, items in enumerate(_blocks(bench, block_bytes)):
+    blocks = _blocks(bench, block_bytes)
+    for number, items in enumerate(blocks):
         sent = spark.sparkContext.broadcast(Patterns(items, window))
         text_at = names.index("text")
 
@@ -280,8 +282,11 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
                     rows = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)
                     yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(n_words, pa.int64()), pa.array([sorted(x) for x in ids], pa.list_(pa.string())), rows], [*names, "_n_words", "_items", "_spans"])
 
-        schema = ", ".join([*[f"`{c}` {t}" for c, t in docs.dtypes], "_n_words long", "_items array<string>", f"_spans {span}"])
-        out = out.mapInArrow(run, schema)
+        fields = ", ".join([*[f"`{c}` {t}" for c, t in docs.dtypes], "_n_words long", "_items array<string>", f"_spans {span}"])
+        if finish is not None and number == len(blocks) - 1:
+            out = arrow_map(out, lambda batches, run=run: finish(run(batches)), schema)
+        else:
+            out = arrow_map(out, run, fields)
     return out
 
 
@@ -296,36 +301,37 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def digests(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of contamination()'s rows."""
-    kind = dict(found.dtypes)["doc_id"]
+def digests(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of docs (doc_id, text)."""
+    kind = dict(docs.dtypes)["doc_id"]
 
-    def run(batches):
+    def finish(batches):
         for batch in batches:
             n_hit, n_items, sha = [], [], []
             for i, j, data, at in slices(batch.column(1)):
                 start, _, row = words(data, at, NOT_ALNUM)
                 cut = np.searchsorted(row, np.arange(len(at)))
                 for r in range(j - i):
-                    spans, items = batch.column(3)[i + r].as_py(), batch.column(4)[i + r].as_py()
+                    items, spans = batch.column(3)[i + r].as_py(), batch.column(4)[i + r].as_py()
                     own = start[cut[r] : cut[r + 1]] - at[r]
                     n_hit.append(sum(int(np.searchsorted(own, s["end"]) - np.searchsorted(own, s["start"])) for s in spans))
                     n_items.append(len(items))
                     sha.append(hashlib.sha256(",".join(items).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
-    rows = found.select("doc_id", "text", "_n_words", "_spans", "_items").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
+    rows = contamination(docs.select("doc_id", "text"), bench, finish=finish, schema=f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string", **options)
     return rows.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def without_spans(found: DataFrame, columns: list[str]) -> DataFrame:
-    """The documents with their removal spans cut out of the text; documents left without words go."""
+def cleaned(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
+    """The documents with their removal spans cut out of the text; documents left without words by that go."""
+    columns = docs.columns
     at = columns.index("text")
 
-    def run(batches):
+    def finish(batches):
         for batch in batches:
             text, keep = [], []
-            for t, spans, n in zip(batch.column(at), batch.column(len(columns)), batch.column(len(columns) + 1), strict=True):
+            for t, spans in zip(batch.column(at), batch.column(len(columns) + 2), strict=True):
                 t, spans = t.as_py(), spans.as_py()
                 if spans:
                     raw, last, parts = t.encode(), 0, []
@@ -341,8 +347,7 @@ def without_spans(found: DataFrame, columns: list[str]) -> DataFrame:
             arrays = [pa.array(text, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep, pa.bool_()))
 
-    kinds = dict(found.dtypes)
-    return found.select(*[F.col(f"`{c}`") for c in columns], "_spans", "_n_words").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    return contamination(docs, bench, finish=finish, schema=", ".join(f"`{c}` {t}" for c, t in docs.dtypes), **options)
 
 
 def _one(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -352,7 +357,7 @@ def _one(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return digests(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 QUERIES = {"op6_decontaminate": op6_decontaminate}

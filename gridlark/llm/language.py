@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import SLICE_BYTES, slices
+from gridlark.llm.common import SLICE_BYTES, arrow_map, slices
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -80,7 +80,7 @@ def fit(sample: DataFrame) -> tuple[list[str], np.ndarray]:
                 there = np.flatnonzero(own)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there)), pa.array(there), pa.array(own[there])], ["lang", "bucket", "n"])
 
-    rows = sample.select("text", "lang").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = arrow_map(sample.select("text", "lang"), run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = rows.toPandas()
     langs = sorted(found["lang"].unique())
     counts = np.full((len(langs), BUCKETS), SMOOTHING)
@@ -169,7 +169,7 @@ def identify(docs: DataFrame, langs: list[str], logs: np.ndarray, text: str = "t
                 score += np.where(best >= 0, s, 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "lang_score"])
 
-    return docs.mapInArrow(run, ", ".join([*[f"`{c}` {t}" for c, t in kinds], "lang_pred string", "lang_score double"]))
+    return arrow_map(docs, run, ", ".join([*[f"`{c}` {t}" for c, t in kinds], "lang_pred string", "lang_score double"]))
 
 
 def fold(doc_id: Column, n: int) -> Column:

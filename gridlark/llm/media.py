@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import buffers
+from gridlark.llm.common import arrow_map, buffers
 
 BLOCK = 576
 RATE = 8000
@@ -119,7 +119,7 @@ def encode_wav(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                     media.append(to_wav(raw + bytes([PAD]) * ((-len(raw)) % BLOCK if raw else BLOCK)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["key", "n_bytes", "media"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n_bytes long, media binary").withColumnRenamed("key", key)
+    return arrow_map(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), run, f"key {kind}, n_bytes long, media binary").withColumnRenamed("key", key)
 
 
 def fingerprint(media: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -141,7 +141,7 @@ def fingerprint(media: DataFrame, key: str = "doc_id") -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]], [x.split()[0] for x in out.split(", ")])
 
-    return media.select(F.col(key).alias("key"), "n_bytes", "media").mapInArrow(run, out).withColumnRenamed("key", key)
+    return arrow_map(media.select(F.col(key).alias("key"), "n_bytes", "media"), run, out).withColumnRenamed("key", key)
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import NOT_ALNUM, Spans, Workspace, byte_values, mix, slices, words
+from gridlark.llm.common import NOT_ALNUM, Spans, Workspace, arrow_map, byte_values, mix, slices, words
 from gridlark.llm.language import fold
 
 BITS = 18
@@ -120,7 +120,7 @@ def frequencies(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             there = np.flatnonzero(total.sum(axis=0))
             yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[1][there]), pa.array(total[0][there])], ["place", "p", "u"])
 
-    rows = sample.select("text", F.col("positive").cast("int")).mapInArrow(run, "place long, p long, u long")
+    rows = arrow_map(sample.select("text", F.col("positive").cast("int")), run, "place long, p long, u long")
     found = rows.groupBy("place").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toPandas()
     p, u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     p[found["place"]], u[found["place"]] = found["p"], found["u"]
@@ -142,7 +142,7 @@ def matrix(sample: DataFrame, places: np.ndarray) -> list[Rows]:
                 cut = np.searchsorted(row[kept], np.arange(j - i + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(positive[i:j]), pa.ListArray.from_arrays(pa.array(cut), pa.array(where[kept].astype(np.int32))), pa.ListArray.from_arrays(pa.array(cut), pa.array(value[kept]))], ["positive", "place", "value"])
 
-    table = sample.select("text", F.col("positive").cast("int")).mapInArrow(run, "positive int, place array<int>, value array<float>").toArrow()
+    table = arrow_map(sample.select("text", F.col("positive").cast("int")), run, "positive int, place array<int>, value array<float>").toArrow()
     out = []
     for c in (0, 1):
         own = table.filter(pc.equal(table["positive"], c)).combine_chunks()
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None) -
                 out.append(sigmoid(np.bincount(row, value * weights[place], j - i) + model[2]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], [*names, "score"])
 
-    return docs.mapInArrow(run, ", ".join([*[f"`{c}` {t}" for c, t in kinds], "score double"]))
+    return arrow_map(docs, run, ", ".join([*[f"`{c}` {t}" for c, t in kinds], "score double"]))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,16 +260,15 @@ def test_contamination(spark, block):
     docs += [(50, None), (51, ""), (52, "ü" * 5), (53, docs[0][1])]
     bench = spark.createDataFrame(items, "item_id string, text string")
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, item_id int")
-    found = decontaminate.contamination(df, bench, block_bytes=block)
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digests(found).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digests(df, bench, block_bytes=block).collect()}
     assert got == plain_contamination(docs, items, 10)
-    clean = decontaminate.without_spans(found, df.columns)
+    clean = decontaminate.cleaned(df, bench, block_bytes=block)
     assert clean.columns == df.columns
     kept = {r.doc_id: r.text for r in clean.collect()}
     for d, t in docs:
         if not got[d][4]:
             assert kept[d] == t
-    assert decontaminate.digests(decontaminate.contamination(df, bench.where("false"))).where("contaminated").count() == 0
+    assert decontaminate.digests(df, bench.where("false")).where("contaminated").count() == 0
 
 
 def test_fm_index_locates_everything():
