@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.functions.boxes import Box, iou
+from gridlark.functions.boxes import Box, corners
 
 IOU_STEPS = tuple(0.50 + 0.05 * i for i in range(10))
 
@@ -20,12 +20,30 @@ IOU_STEPS = tuple(0.50 + 0.05 * i for i in range(10))
 def overlaps(predictions: DataFrame, truth: DataFrame, same_class: bool = True, least: float = 0.0) -> DataFrame:
     """image_id, pred_idx, pred_class, confidence, gt_idx, gt_class, iou of all pairs that overlap at all, and by
     ``least`` at least."""
-    p = predictions.select("image_id", "pred_idx", F.col("class_id").alias("pred_class"), "confidence", *[F.col(c).alias(f"p_{c}") for c in ("xc", "yc", "w", "h")])
-    t = truth.select("image_id", "gt_idx", F.col("class_id").alias("gt_class"), *[F.col(c).alias(f"g_{c}") for c in ("xc", "yc", "w", "h")])
-    on = [p["image_id"] == t["image_id"]] + ([F.col("pred_class") == F.col("gt_class")] if same_class else [])
-    side = lambda s: Box(*[F.col(f"{s}_{c}") for c in ("xc", "yc", "w", "h")])
-    pairs = p.join(t.withColumnRenamed("image_id", "_image"), [p["image_id"] == F.col("_image"), *on[1:]])
-    return pairs.select("image_id", "pred_idx", "pred_class", "confidence", "gt_idx", "gt_class", iou(side("p"), side("g")).alias("iou")).where((F.col("iou") > 0) & (F.col("iou") >= least))
+    p = predictions.select("image_id", "pred_idx", F.col("class_id").alias("pred_class"), "confidence", *_sides("p"))
+    t = truth.select(F.col("image_id").alias("_image"), "gt_idx", F.col("class_id").alias("gt_class"), *_sides("g"))
+    on = F.col("image_id") == F.col("_image")
+    if same_class:
+        on &= F.col("pred_class") == F.col("gt_class")
+    share = _share("p", "g")
+    near = p.join(t, on & (share > 0) & (share >= least))
+    return near.select("image_id", "pred_idx", "pred_class", "confidence", "gt_idx", "gt_class", share.alias("iou"))
+
+
+def _sides(name: str) -> list[Column]:
+    """Corners and area, computed once per box before the join, so that the join's condition stays short."""
+    b = Box(*[F.col(c) for c in ("xc", "yc", "w", "h")])
+    x1, y1, x2, y2 = corners(b)
+    area = F.greatest(F.lit(0.0), x2 - x1) * F.greatest(F.lit(0.0), y2 - y1)
+    return [c.alias(f"{name}_{n}") for c, n in zip((x1, y1, x2, y2, area), ("x1", "y1", "x2", "y2", "area"), strict=True)]
+
+
+def _share(a: str, b: str) -> Column:
+    """The overlap of boxes given by _sides: as iou()."""
+    c = lambda s, n: F.col(f"{s}_{n}")
+    wide = F.greatest(F.lit(0.0), F.least(c(a, "x2"), c(b, "x2")) - F.greatest(c(a, "x1"), c(b, "x1")))
+    common = wide * F.greatest(F.lit(0.0), F.least(c(a, "y2"), c(b, "y2")) - F.greatest(c(a, "y1"), c(b, "y1")))
+    return F.coalesce(F.try_divide(common, c(a, "area") + c(b, "area") - common), F.lit(0.0))
 
 
 def _greedy(pairs: Column, threshold: Column) -> Column:
@@ -33,12 +51,16 @@ def _greedy(pairs: Column, threshold: Column) -> Column:
     is its best; it takes the box if it overlaps enough."""
     start = F.array().cast("array<struct<pred_idx:bigint,gt_idx:bigint,gt_class:int,iou:double,tp:boolean>>")
 
+    def entry(x: Column) -> Column:
+        return F.struct(x["pred_idx"].cast("long").alias("pred_idx"), x["gt_idx"].cast("long").alias("gt_idx"), x["gt_class"].cast("int").alias("gt_class"), x["iou"].alias("iou"), (x["iou"] >= threshold).alias("tp"))
+
     def step(acc: Column, x: Column) -> Column:
         taken = F.exists(acc, lambda a: (a["pred_idx"] == x["pred_idx"]) | (a["tp"] & (a["gt_idx"] == x["gt_idx"])))
-        entry = F.struct(x["pred_idx"].cast("long").alias("pred_idx"), x["gt_idx"].cast("long").alias("gt_idx"), x["gt_class"].cast("int").alias("gt_class"), x["iou"].alias("iou"), (x["iou"] >= threshold).alias("tp"))
-        return F.when(taken, acc).otherwise(F.concat(acc, F.array(entry)))
+        return F.when(taken, acc).otherwise(F.concat(acc, F.array(entry(x))))
 
-    return F.aggregate(pairs, start, step)
+    # where no box is in two pairs there is nothing to decide
+    alone = (F.size(F.array_distinct(pairs["pred_idx"])) == F.size(pairs)) & (F.size(F.array_distinct(pairs["gt_idx"])) == F.size(pairs))
+    return F.when(alone, F.transform(pairs, entry)).otherwise(F.aggregate(pairs, start, step))
 
 
 def greedy_match(predictions: DataFrame, truth: DataFrame, thresholds: Sequence[float] = (0.5,), same_class: bool = True, misses: bool = True) -> DataFrame:
@@ -102,14 +124,12 @@ def missed(predictions: DataFrame, truth: DataFrame, target: int, confusing: Seq
 def view_support(predictions: DataFrame, views: DataFrame, threshold: float = 0.60, allowed: Sequence[int] | None = None) -> DataFrame:
     """predictions with support: one more than the views (or teachers) holding a box that overlaps enough, of the
     prediction's class or, if given, of an allowed class."""
-    other = views.select("image_id", F.col("view_id").alias("view_id"), "pred_idx", "class_id", "xc", "yc", "w", "h")
-    p = predictions.select("image_id", "pred_idx", "class_id", "xc", "yc", "w", "h").alias("p")
-    v = other.alias("v")
-    on = F.col("p.image_id") == F.col("v.image_id")
-    on &= F.col("p.class_id") == F.col("v.class_id") if allowed is None else F.col("v.class_id").isin(*allowed)
-    side = lambda s: Box(*[F.col(f"{s}.{c}") for c in ("xc", "yc", "w", "h")])
-    near = p.join(v, on & (iou(side("p"), side("v")) >= threshold))
-    votes = near.groupBy(F.col("p.image_id").alias("_image"), F.col("p.pred_idx").alias("_pred")).agg(F.countDistinct("v.view_id").alias("_votes"))
+    p = predictions.select("image_id", "pred_idx", F.col("class_id").alias("p_class"), *_sides("p"))
+    v = views.select(F.col("image_id").alias("_image"), "view_id", F.col("class_id").alias("v_class"), *_sides("v"))
+    on = F.col("image_id") == F.col("_image")
+    on &= F.col("p_class") == F.col("v_class") if allowed is None else F.col("v_class").isin(*allowed)
+    near = p.join(v, on & (_share("p", "v") >= threshold)).drop("_image")
+    votes = near.groupBy(F.col("image_id").alias("_image"), F.col("pred_idx").alias("_pred")).agg(F.countDistinct("view_id").alias("_votes"))
     joined = predictions.join(votes, (F.col("image_id") == F.col("_image")) & (F.col("pred_idx") == F.col("_pred")), "left")
     return joined.withColumn("support", (F.coalesce("_votes", F.lit(0)) + 1).cast("int")).drop("_image", "_pred", "_votes")
 
@@ -117,10 +137,12 @@ def view_support(predictions: DataFrame, views: DataFrame, threshold: float = 0.
 def confusion_pairs(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """gt_class, pred_class, n of the class-blind greedy match; -1 stands for no box on that side."""
     found = greedy_match(predictions, truth, (threshold,), same_class=False, misses=False)
-    hits = found.select(F.coalesce(F.col("gt_class"), F.lit(-1)).alias("gt_class"), F.col("class_id").alias("pred_class"))
-    taken = found.where("is_tp").select("image_id", "gt_idx")
-    left = truth.join(taken, ["image_id", "gt_idx"], "left_anti").select(F.col("class_id").alias("gt_class"), F.lit(-1).alias("pred_class"))
-    return hits.unionByName(left).groupBy("gt_class", "pred_class").agg(F.count("*").alias("n"))
+    hits = found.groupBy(F.coalesce(F.col("gt_class"), F.lit(-1)).alias("gt_class"), F.col("class_id").alias("pred_class")).agg(F.count("*").alias("n"))
+    # what of a class isn't matched is missed: its boxes less its cells
+    taken = hits.groupBy(F.col("gt_class").alias("_class")).agg(F.sum("n").alias("_taken"))
+    every = truth.groupBy(F.col("class_id").alias("gt_class")).agg(F.count("*").alias("_all"))
+    left = every.join(taken, F.col("gt_class") == F.col("_class"), "left").select("gt_class", F.lit(-1).alias("pred_class"), (F.col("_all") - F.coalesce("_taken", F.lit(0))).alias("n"))
+    return hits.unionByName(left.where("n > 0"))
 
 
 def top_per_image(predictions: DataFrame, n: int = 1, by: Sequence[Column] | None = None) -> DataFrame:
