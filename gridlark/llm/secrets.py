@@ -144,4 +144,45 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_secret_scan": op7_secret_scan}
-ORACLES: dict[str, str] = {}
+
+
+def _sql() -> str:
+    """The same scan in plain SQL: spans by lengths of pieces, the battery over one row per candidate."""
+    quote = lambda x: x.replace("'", "''")
+    kinds = [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("token", TOKEN)]
+    pieces = ",\n".join(f"m{k} AS (SELECT doc_id, {k} AS kind, regexp_extract_all(text, '{quote(p)}') AS m, string_split_regex(text, '{quote(p)}') AS g FROM d)" for k, (_, p) in enumerate(kinds))
+    by_k = lambda a, b, c: f"CASE k WHEN 16 THEN {a} WHEN 32 THEN {b} ELSE {c} END"
+    named = "CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(KINDS)) + " END || ':' || s::VARCHAR || ':' || e::VARCHAR"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+{pieces},
+mm AS (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3),
+ix AS (SELECT doc_id, kind, m, g, unnest(range(1, len(m) + 1)) AS i FROM mm WHERE len(m) > 0),
+sp AS (SELECT doc_id, kind, m[i] AS t, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM ix),
+sf AS (SELECT doc_id, kind, t, s, s + length(t) AS e FROM sp WHERE kind <> 0 OR length(regexp_extract(t, '{quote(ASSIGN)}', 2)) >= 6),
+base AS (SELECT * FROM sf WHERE kind < 3),
+tk AS (SELECT * FROM sf c WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e)),
+b1 AS (SELECT doc_id, s, e, rtrim(translate(t, '-_', '+/'), '=') AS bare FROM tk),
+b2 AS (SELECT *, CASE WHEN regexp_full_match(bare, '[0-9a-f]+|[0-9A-F]+') THEN 16 WHEN regexp_full_match(bare, '[A-Z2-7]+') THEN 32 ELSE 64 END AS k FROM b1),
+b3 AS (SELECT doc_id, s, e, k, list_transform(string_split(CASE WHEN k = 16 THEN lower(bare) ELSE bare END, ''), lambda c: coalesce(nullif(strpos({by_k(*[f"'{ALPHABETS[x]}'" for x in (16, 32, 64)])}, c), 0), k) - 1) AS codes, length(bare) AS n FROM b2 WHERE length(bare) >= 8),
+b4 AS (SELECT *, k::DOUBLE / n * list_sum(list_transform(list_distinct(codes), lambda v: pow(len(list_filter(codes, lambda c: c = v)), 2))) - n AS chi, k - 1.0 AS df, n * {by_k(*[f"{TEXT_EXCESS[x]}" for x in (16, 32, 64)])} AS excess,
+  len(list_filter(codes, lambda c: c >= k / 2))::DOUBLE AS n1, len(list_filter(range(2, n + 1), lambda i: (codes[i] >= k / 2) <> (codes[i - 1] >= k / 2))) AS turns, list_sum(codes)::DOUBLE / n AS mean FROM b3),
+b5 AS (SELECT *, 1 + 2 * n1 * (n - n1) / n AS mu, list_sum(list_transform(codes, lambda c: (c - mean) * (c - mean))) AS spread, list_sum(list_transform(range(2, n + 1), lambda i: (codes[i] - mean) * (codes[i - 1] - mean))) AS serial FROM b4),
+b6 AS (SELECT *, (pow(chi / df, 1.0 / 3) - (1 - 2 / (9 * df))) / sqrt(2 / (9 * df)) AS z_chi,
+  CASE WHEN n1 > 0 AND n1 < n AND mu > 2 THEN (turns + 1 - mu) / sqrt(greatest((mu - 1) * (mu - 2) / (n - 1), 1e-9)) ELSE 99 END AS z_runs,
+  CASE WHEN spread > 0 THEN serial / spread * sqrt(n) ELSE 99 END AS z_serial, (chi - df - excess) / sqrt(2 * (df + 2 * excess)) AS z FROM b5),
+b7 AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS u FROM b6),
+b8 AS (SELECT *, exp(-z * z / 2) * 0.3989422804014327 * u * (0.319381530 + u * (-0.356563782 + u * (1.781477937 + u * (-1.821255978 + u * 1.330274429)))) AS tail FROM b7),
+pv AS (SELECT doc_id, s, e, CASE WHEN abs(z_chi) <= {TEST_Z} AND abs(z_runs) <= {TEST_Z} AND abs(z_serial) <= {TEST_Z} THEN greatest(CASE WHEN z < 0 THEN tail ELSE 1 - tail END, 1e-30) ELSE 1.0 END AS p FROM b8
+       UNION ALL SELECT doc_id, s, e, 1.0 FROM b2 WHERE length(bare) < 8),
+bins AS (SELECT floor(-log10(p) * 10) AS bin, count(*) AS n FROM pv GROUP BY 1),
+cum AS (SELECT bin, sum(n) OVER (ORDER BY bin DESC) AS seen, sum(n) OVER () AS total FROM bins),
+lv AS (SELECT coalesce(max(pow(10, -bin / 10)), 0) AS level FROM cum WHERE total * pow(10, -bin / 10) <= {DISCOVERY_RATE} * seen),
+al AS (SELECT doc_id, kind, s, e FROM base UNION ALL SELECT doc_id, 3, s, e FROM pv, lv WHERE p <= level),
+di AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2,
+  string_agg({named}, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg({named}, ',' ORDER BY s, kind) AS spans FROM al GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN di ON d.doc_id = di.doc_id"""
+
+
+ORACLES: dict[str, str] = {"op7_secret_scan": _sql()}
