@@ -10,6 +10,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow with batches bounded in bytes, so that rows of long texts can't fill a task's memory."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # workers find this package where the driver did, also if it isn't on the session's Python path
+    home, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), home]))
 
     def bounded(batches):
         yield from run(batches)
