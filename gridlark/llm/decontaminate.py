@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import LOWER, NOT_ALNUM, Spans, arrow_map, byte_values, mix, slices, words
+from gridlark.llm.common import LOWER, NOT_ALNUM, Spans, arrow_map, byte_values, slices, words
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
