@@ -10,9 +10,11 @@ from gridlark.functions import catalog, hashes, names
 from gridlark.operators import duplicates, matching, profile, rollups, splits
 from gridlark.plans import fixtures as fx
 from gridlark.plans import self_training
-from gridlark.plans.queries import _BASE, _EXPECTED, _N, _P, _T, _V, ORACLES, QUERIES, query
+from gridlark.plans.queries import _EXPECTED, _P, _T, ORACLES, QUERIES, query
 from gridlark.sources import labels, sinks
 
+__all__ = ["ORACLES", "QUERIES"]
+
 _FOLDERS = "CASE o_orderkey % 5 WHEN 0 THEN 'Under Ripe' WHEN 1 THEN 'masak' WHEN 2 THEN 'flower' WHEN 3 THEN 'misc' ELSE 'empty-bunch' END"
 _FILES = f"(SELECT o_orderkey AS k, 'pool/' || CASE o_orderkey % 4 WHEN 0 THEN 'FFBtest' WHEN 1 THEN 'my_train' WHEN 2 THEN 'latest' ELSE 'valid-set' END || '/' || {_FOLDERS} || '/IMG_' || o_orderkey::VARCHAR || '.jpg' AS path FROM orders)"
 
