@@ -7,7 +7,8 @@ anchors at equal places. Neighbouring windows with one anchor form a run, and a
 1. Runs whose anchor occurs once in all documents hold no repeated window.
 2. Of the others, a run string that occurs twice is repeated as a whole.
 3. The remaining strings are compared within their anchor's group by a suffix array (linear grouping, see suffix.py):
-   windows that are neighbours in it and equal are repeated. Groups of more than GROUP strings are split by
+   windows that are neighbours in it and equal are repeated. Strings, or halves of their windows, whose larger shared part
+   no other string has are left out before. Groups of more than GROUP strings are split by
    the place of the anchor in the window, with longer anchors for narrower places: equal pieces collapse, and at
    the last level an anchor is a whole window, so a passage in a third of all documents ends in counts. Each level is
    an aggregation by hash, so no group is held in one task.
@@ -139,6 +140,36 @@ def strings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return arrow_map(packed(docs).join(lists, "key").select("z", "w"), run, "anchor long, string long, offset int, n long, d long, bytes binary").dropDuplicates(["anchor", "string"])
 
 
+def promising(groups: list[list[tuple[bytes, int]]], length: int, k: int) -> list[list[tuple[int, int]]]:
+    """For each string (bytes, the anchor's place in them) of each group: the windows, first and last, that can occur
+    twice in it; (0, -1) for none.
+
+    The windows with the anchor in their right half share more bytes left of it, the others right of it; a half whose
+    shared bytes no other string of the group has holds no repeated window.
+    """
+    flat = [s for g in groups for s in g]
+    if not flat:
+        return [[] for _ in groups]
+    raw = np.frombuffer(b"".join(s for s, _ in flat), np.uint8)
+    size = np.array([len(s) for s, _ in flat])
+    begin, place = np.cumsum(size) - size, np.array([o for _, o in flat])
+    group = np.repeat(np.arange(len(groups)), [len(g) for g in groups]).astype(np.uint64)
+    spans, last, middle = Spans(raw, byte_values(8)), place - (size - length), (length - k) // 2
+    low, high = np.full(len(flat), np.iinfo(np.int64).max), np.full(len(flat), -1)
+    for a, b in ((0, middle), (middle + 1, length - k)):  # of the anchor's place in a window
+        there = np.flatnonzero((place >= a) & (last <= b))
+        q = begin[there] + place[there]
+        h = mix(spans.hash(q - a, q - b + length) + mix(group[there]))
+        _, back, count = np.unique(h, return_inverse=True, return_counts=True)
+        there = there[count[back] > 1]
+        low[there] = np.minimum(low[there], place[there] - np.minimum(place[there], b))
+        high[there] = np.maximum(high[there], place[there] - np.maximum(last[there], a))
+    low[high < 0] = 0
+    pairs = list(zip(low.tolist(), high.tolist(), strict=True))
+    ends = np.cumsum([len(g) for g in groups]).tolist()
+    return [pairs[e - len(g) : e] for g, e in zip(groups, ends, strict=True)]
+
+
 def repeated_windows(groups: list[list[bytes]], length: int) -> list[np.ndarray]:
     """For each string of each group, one after another: which of its windows occur twice in the group."""
     flat = [s for g in groups for s in g]
@@ -193,22 +224,25 @@ def _mask_runs(mask: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), (edge[1::2] - 1).tolist()
 
 
-def searched(groups: DataFrame, length: int) -> DataFrame:
+def searched(groups: DataFrame, length: int, k: int) -> DataFrame:
     """From rows with an array g of (anchor, string, base, offset, n, bytes): anchor, string, from, to (windows)."""
 
     def run(batches):
         for batch in batches:
             for s in range(0, batch.num_rows, 4096):
                 rows = batch.column(0).slice(s, 4096).to_pylist()
-                masks = repeated_windows([[x["bytes"] for x in g] for g in rows], length)
+                hopes = promising([[(x["bytes"], x["offset"]) for x in g] for g in rows], length, k)
+                kept = [[(x, f, e) for x, (f, e) in zip(g, h, strict=True) if e >= f] for g, h in zip(rows, hopes, strict=True)]
+                kept = [g for g in kept if len(g) > 1]
+                masks = repeated_windows([[x["bytes"][f : e + length] for x, f, e in g] for g in kept], length)
                 a, t, lo, hi = [], [], [], []
-                for x, mask in zip([x for g in rows for x in g], masks, strict=True):
+                for (x, first, _), mask in zip([x for g in kept for x in g], masks, strict=True):
                     if x["n"] == 1 and mask.any():
                         for f, e in zip(*_mask_runs(mask), strict=True):
                             a.append(x["anchor"])
                             t.append(x["string"])
-                            lo.append(x["base"] + f)
-                            hi.append(x["base"] + e)
+                            lo.append(x["base"] + first + f)
+                            hi.append(x["base"] + first + e)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(t, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["anchor", "string", "from", "to"])
 
     return arrow_map(groups.select("g"), run, "anchor long, string long, from int, to int")
@@ -261,7 +295,7 @@ def repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, k: int = ANCHO
     item = F.struct("anchor", "string", "base", "offset", "n", "bytes")
     verdicts = [known.where("n > 1").select("anchor", "string", F.lit(0).alias("from"), F.col("spread").alias("to"))]
     lanes = text.where(F.col("d") <= group).groupBy("anchor").agg(F.collect_list(item).alias("g"))
-    verdicts.append(searched(lanes, length))
+    verdicts.append(searched(lanes, length, k))
     hot, high = text.where(F.col("d") > group), length - k + 1
     step = -(-high // 4)
     while hot.limit(1).count():
@@ -271,7 +305,7 @@ def repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, k: int = ANCHO
         verdicts.append(both.select("anchor", "string", F.col("base").alias("from"), (F.col("base") + F.octet_length("bytes") - length).alias("to")))
         sizes = unlike.groupBy("key").agg(F.count("*").alias("d"), F.min("n").alias("m")).where("d > 1 and m = 1").select("key", "d")
         open_ = unlike.join(sizes, "key")
-        verdicts.append(searched(open_.where(F.col("d") <= group).groupBy("key").agg(F.collect_list(item).alias("g")), length))
+        verdicts.append(searched(open_.where(F.col("d") <= group).groupBy("key").agg(F.collect_list(item).alias("g")), length, k))
         hot = open_.where(F.col("d") > group)
         if step == 1:
             break  # a piece is a window now, and its group holds nothing else
