@@ -120,23 +120,22 @@ def class_quota(decisions: DataFrame, images_per_class: int = 0, boxes_per_class
     per image, and an image that can't fit even alone is left out of it.
     """
     good = decisions.where("accepted")
-    per = good.groupBy("group", "image_id", "class_id").agg(F.count("*").alias("n"), F.sum("quality_score").alias("q"))
-    image = per.groupBy("group", "image_id").agg((F.sum("q") / F.sum("n")).alias("mean"), F.array_sort(F.collect_list(F.struct("class_id", F.col("n").cast("int").alias("n")))).alias("classes"))
+    counts = F.array(*[F.count_if(F.col("class_id") == c).cast("int") for c in CLASSES])
+    image = good.groupBy("group", "image_id").agg(F.avg("quality_score").alias("mean"), counts.alias("boxes"))
     # mean quality is rounded for the order, so that equal images tie whatever the order of their sums
-    item = F.struct((-F.bround("mean", 9)).alias("order"), "image_id", "classes")
+    item = F.struct((-F.bround("mean", 9)).alias("order"), "image_id", "boxes", F.transform("boxes", lambda n: F.least(n, F.lit(1))).alias("images"))
     lists = image.groupBy("group").agg(F.array_sort(F.collect_list(item)).alias("items"))
     zero = F.array(*[F.lit(0)] * len(CLASSES))
     start = F.struct(zero.alias("images"), zero.alias("boxes"), F.array().cast("array<bigint>").alias("chosen"))
 
     def step(acc: Column, x: Column) -> Column:
-        count = lambda c: F.coalesce(F.get(F.filter(x["classes"], lambda k: k["class_id"] == c), F.lit(0))["n"], F.lit(0))
-        fits = F.forall(x["classes"], lambda k: (F.lit(images_per_class <= 0) | (F.get(acc["images"], k["class_id"]) < images_per_class)) & (F.lit(boxes_per_class <= 0) | (F.get(acc["boxes"], k["class_id"]) + k["n"] <= boxes_per_class)))
-        new = F.struct(
-            F.transform(acc["images"], lambda v, c: v + F.when(count(c) > 0, 1).otherwise(0)).alias("images"),
-            F.transform(acc["boxes"], lambda v, c: v + count(c)).alias("boxes"),
-            F.concat(acc["chosen"], F.array(x["image_id"])).alias("chosen"),
-        )
-        return F.when(fits, new).otherwise(acc)
+        full = F.lit(False)
+        for quota, kind in ((images_per_class, "images"), (boxes_per_class, "boxes")):
+            if quota > 0:
+                full |= F.exists(F.zip_with(acc[kind], x[kind], lambda used, more: (more > 0) & (used + more > quota)), lambda over: over)
+        add = lambda kind: F.zip_with(acc[kind], x[kind], lambda used, more: used + more).alias(kind)
+        new = F.struct(add("images"), add("boxes"), F.concat(acc["chosen"], F.array(x["image_id"])).alias("chosen"))
+        return F.when(full, acc).otherwise(new)
 
     chosen = lists.select("group", F.explode(F.aggregate("items", start, step, lambda acc: acc["chosen"])).alias("image_id")).withColumn("_in", F.lit(True))
     return image.select("group", "image_id").join(chosen, ["group", "image_id"], "left").select("group", "image_id", F.coalesce("_in", F.lit(False)).alias("selected"))
