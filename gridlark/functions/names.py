@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 # Words in paths of an image-level dataset that name a class, tried in this order.
 PATH_CLASSES = {"damaged": 0, "empty": 1, "overripe": 2, "unripe": 5, "ripe": 3}
+# What is taken off a stem, in this order, to get its scene; and what is replaced in a lower-case stem
+# to get its base name.
+SCENE_PATTERNS = (r"(?i)(?:frame|img|image|copy)[_-]?\d+$", r"(?i)[_-]?(?:jpg|jpeg|png|bmp)$", r"--\d+.*$", r"\d+$")
+BASE_PATTERNS = ((r"^(?:src\d+_|pseudo\d+_)", ""), (r"[_-](?:jpg|jpeg|png|bmp)$", ""), (r"[^a-z0-9]+", "_"))
 
 
 def parts(path: Column) -> Column:
@@ -37,7 +41,7 @@ def _before_export_mark(name: Column) -> Column:
 def scene_group(path: Column) -> Column:
     """The source a frame was taken from: its stem without frame counters, suffix remnants and digits."""
     s = _before_export_mark(stem(path))
-    for pattern in (r"(?i)(?:frame|img|image|copy)[_-]?\d+$", r"(?i)[_-]?(?:jpg|jpeg|png|bmp)$", r"--\d+.*$", r"\d+$"):
+    for pattern in SCENE_PATTERNS:
         s = F.regexp_replace(s, pattern, "")
     s = F.btrim(s, F.lit("_- "))
     return F.when(s != "", s).otherwise(stem(path))
@@ -46,7 +50,7 @@ def scene_group(path: Column) -> Column:
 def base_name(path: Column) -> Column:
     """A key that is equal for exports of one image: lower case, no split prefix, no suffix remnant, one separator."""
     s = _before_export_mark(F.lower(stem(path)))
-    for pattern, by in ((r"^(?:src\d+_|pseudo\d+_)", ""), (r"[_-](?:jpg|jpeg|png|bmp)$", ""), (r"[^a-z0-9]+", "_")):
+    for pattern, by in BASE_PATTERNS:
         s = F.regexp_replace(s, pattern, by)
     return F.btrim(s, F.lit("_"))
 

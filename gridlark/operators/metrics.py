@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridlark.functions.boxes import ratio, rounded
 from gridlark.operators.matching import IOU_STEPS, greedy_match
 
+# Confidence thresholds of the global and the class-wise sweep, and the precision asked for.
 THRESHOLDS = (0.05, 0.10, 0.20, 0.25, 0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90)
 CLASSWISE = tuple(i / 100 for i in range(20, 100, 5))
 TARGET_PRECISION = 0.85
