@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 from gridlark.functions.boxes import aspect, box, quality, rounded, touches_edge
 from gridlark.functions.catalog import CLASSES, IDS, class_name
 
+# Limits of the hard gates, and the words used as reasons below.
+LEAST_SIDE, LEAST_AREA, MOST_AREA, MOST_ASPECT, EDGE = 0.01, 0.0005, 0.70, 6, 0.002
+
 
 def hard_gates(least_confidence: float = 0.5) -> Column:
     """Reasons against a predicted box by geometry alone; a box without extent has no further ones."""
     b = box()
     area = b.w * b.h
     size = [
-        (F.least(b.w, b.h) < 0.01, "side_too_small"),
-        (area < 0.0005, "area_too_small"),
-        (area > 0.70, "area_too_large"),
-        (aspect(b) > 6, "bad_aspect_ratio"),
-        (touches_edge(b, 0.002), "edge_contact"),
+        (F.least(b.w, b.h) < LEAST_SIDE, "side_too_small"),
+        (area < LEAST_AREA, "area_too_small"),
+        (area > MOST_AREA, "area_too_large"),
+        (aspect(b) > MOST_ASPECT, "bad_aspect_ratio"),
+        (touches_edge(b, EDGE), "edge_contact"),
     ]
     first = [(~F.col("class_id").isin(*CLASSES), "unknown_class"), (F.col("confidence") < least_confidence, "low_confidence")]
     named = lambda rules: F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in rules]))
