@@ -47,6 +47,23 @@ def mean_curve(curve: DataFrame) -> DataFrame:
     return curve.groupBy("rank").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.count("*").alias("curves"))
 
 
-def source_masks(rows: DataFrame) -> DataFrame:
-    """Union of the class masks of all sources, and each source's own, as arrays of 0/1."""
-    return rows.groupBy("source").agg(F.array_sort(F.collect_set("class_id")).alias("classes")).withColumn("mask", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.array_contains("classes", i).cast("int")))
+def source_masks(rows: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """source, kind, classes, observed, mask: each source's class masks as arrays of 0/1, and one row of kind combined (source null).
+
+    rows (source, class_id) are the boxes; declared (source, classes array), if given, what sources say they label. A
+    source's mask is the declared one, or the observed one of a source that declares nothing; the combined row is the
+    logical OR over all sources. A declared source without boxes has an empty observed mask.
+    """
+    bits = lambda ids: F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.array_contains(ids, i).cast("int"))
+    own = rows.groupBy("source").agg(F.array_sort(F.collect_set("class_id")).alias("classes"))
+    if declared is not None:
+        said = declared.groupBy("source").agg(F.array_distinct(F.flatten(F.collect_list(F.col("classes").cast("array<int>")))).alias("_said"))
+        own, said = own.alias("o"), said.alias("s")
+        own = own.join(said, F.col("o.source").eqNullSafe(F.col("s.source")), "full").select(F.coalesce("o.source", "s.source").alias("source"), F.coalesce("classes", F.array().cast("array<int>")).alias("classes"), "_said")
+    else:
+        own = own.withColumn("_said", F.lit(None).cast("array<int>"))
+    each = own.select("source", F.lit("source").alias("kind"), "classes", bits(F.col("classes")).alias("observed"), bits(F.coalesce("_said", "classes")).alias("mask"))
+    union = lambda c: F.array(*[F.coalesce(F.max(F.get(c, F.lit(i))), F.lit(0)) for i in range(6)]).alias(c)
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("classes")
+    whole = each.agg(ids, union("observed"), union("mask")).select(F.lit(None).cast(dict(each.dtypes)["source"]).alias("source"), F.lit("combined").alias("kind"), "classes", "observed", "mask")
+    return each.unionByName(whole)
