@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlark.functions.catalog import CLASSES
+
 
 def random_order(seed: int | str, key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
@@ -41,24 +43,40 @@ def group_split(rows: DataFrame, group: str, test_share: float = 0.25, valid_sha
     return ranked.select(group, "n", few.alias("split"))
 
 
-def choose_groups(counts: list[tuple[str, dict[int, int]]], tests: Sequence[int] = (1, 2, 3, 4), valids: Sequence[int] = (1, 2, 3)) -> tuple[list[str], list[str]]:
-    """Test and valid groups of a small table (group, boxes by class) by search: most classes in test and valid, then
-    a test share near a quarter and a valid share near 15 %, then the first names."""
-    names = sorted(g for g, _ in counts)
-    boxes, whole = dict(counts), sum(sum(c.values()) for _, c in counts)
-    best, choice = None, ([], [])
+def group_counts(images: DataFrame, boxes: DataFrame, group: str) -> tuple[list[tuple[str, dict[int, int]]], dict[str, int]]:
+    """Boxes by class, and images, of each group, for choose_groups. images (image_id, group), a row per image; boxes (image_id, class_id)."""
+    own = images.select("image_id", F.col(group).cast("string").alias("_g"))
+    sizes = {r[0]: r[1] for r in own.groupBy("_g").agg(F.count("*")).collect()}
+    found: dict[str, dict[int, int]] = {g: {} for g in sizes}
+    for g, c, n in own.join(boxes.select("image_id", "class_id"), "image_id").groupBy("_g", "class_id").agg(F.count("*")).collect():
+        found[g][c] = n
+    return list(found.items()), sizes
+
+
+def choose_groups(counts: list[tuple[str, dict[int, int]]], images: Mapping[str, int] | None = None, tests: Sequence[int] = (1, 2, 3, 4), valids: Sequence[int] = (1, 2, 3)) -> tuple[list[str], list[str]]:
+    """Test and valid groups of a small table (group, boxes by class; images by group) by search.
+
+    The best has most classes in test, then in valid, most test images up to 1200, most valid images up to 800, and a
+    count of test images next to a fifth of all; the first names of equals. Without images every box counts as one.
+    """
+    names, held = sorted(g for g, _ in counts), {g: {c for c, k in boxes.items() if k and c in CLASSES} for g, boxes in counts}
+    size = dict(images) if images is not None else {g: sum(boxes.values()) for g, boxes in counts}
+    whole, best, choice = sum(size[g] for g in names), None, None
+    sums = lambda gs: (len(set().union(*[held[g] for g in gs])), sum(size[g] for g in gs))
     for t in tests:
+        if t > len(names) - 1:
+            continue
         for test in combinations(names, t):
             rest = [n for n in names if n not in test]
+            in_test, test_images = sums(test)
             for v in valids:
-                if v >= len(rest):
-                    continue
                 for valid in combinations(rest, v):
-                    classes = lambda gs: len({k for g in gs for k, n in boxes[g].items() if n})
-                    size = lambda gs: sum(sum(boxes[g].values()) for g in gs) / max(whole, 1)
-                    score = (classes(test), classes(valid), -abs(size(test) - 0.25), -abs(size(valid) - 0.15), -t)
+                    in_valid, valid_images = sums(valid)
+                    score = (in_test, in_valid, min(test_images, 1200), min(valid_images, 800), -abs(test_images - 0.2 * whole))
                     if best is None or score > best:
                         best, choice = score, (list(test), list(valid))
+    if choice is None:
+        raise ValueError("a choice of test and valid groups needs two groups")
     return choice
 
 
