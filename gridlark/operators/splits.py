@@ -88,24 +88,106 @@ def with_split(rows: DataFrame, splits: DataFrame, group: str) -> DataFrame:
 def calibration_split(groups: DataFrame, quota: int, seed: int | str) -> DataFrame:
     """group, split: calibration until each class has ``quota`` images, the rest locked.
 
-    groups (group, classes array, size). Groups of more classes and more images come first, ties in random order.
-    A group is taken if it holds a class below its quota. The fold keeps one counter per class over an array
-    with a small struct per group; groups are image families, so the array is far smaller than the images.
+    groups (group, classes array, size), where every image of a group counts for each of its classes. Groups of more
+    classes and more images come first, ties in random order. A group is taken if it holds a class below its quota.
     """
-    item = F.struct((-F.size("classes")).alias("a"), (-F.col("size")).alias("b"), random_order(seed, F.col("group")).alias("c"), "group", "classes", "size")
-    one = groups.agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<bigint>")).alias("seen"), F.array().cast("array<string>").alias("taken"))
-
-    def step(acc: Column, x: Column) -> Column:
-        got = lambda c: F.coalesce(acc["seen"][c], F.lit(0).cast("long"))
-        useful = F.exists(x["classes"], lambda c: got(c) < quota)
-        old = F.map_filter(acc["seen"], lambda k, _: ~F.array_contains(x["classes"], k))
-        new = F.map_from_entries(F.transform(x["classes"], lambda c: F.struct(c, got(c) + x["size"])))
-        return F.when(useful, F.struct(F.map_concat(old, new).alias("seen"), F.concat(acc["taken"], F.array(x["group"].cast("string"))).alias("taken"))).otherwise(acc)
-
-    taken = one.select(F.explode(F.aggregate("items", start, step, lambda acc: acc["taken"])).alias("_taken"))
-    rows = groups.join(taken, F.col("group").cast("string") == F.col("_taken"), "left")
-    return rows.select("group", F.when(F.col("_taken").isNotNull(), "calibration").otherwise("locked_final_test").alias("split"))
+    counts = F.map_from_entries(F.transform(F.array_distinct("classes"), lambda c: F.struct(c, F.col("size").cast("bigint"))))
+    ranked = _ranked(groups.select("group", "size", counts.alias("counts")), seed).persist()
+    classes = [r[0] for r in ranked.select(F.explode(F.map_keys("counts"))).distinct().collect()]
+    return _labelled(ranked, _taken(ranked, dict.fromkeys(classes, quota), None))
+
+
+def calibration_fraction_split(images: DataFrame, fraction: float, seed: int | str) -> DataFrame:
+    """group, split: whole groups until each class has its share of images, topped up to the share of groups.
+
+    images (group, classes array of the image, which may be empty), a row per image. A class's target is
+    max(1, round(images that hold it * fraction)), the limit max(1, round(groups * fraction)) groups. Groups of more classes,
+    then of more images come first, ties in random order; one is taken if it holds a class below its target and
+    the limit isn't reached. Groups in random order then fill up to the limit.
+    """
+    kind = dict(images.dtypes)["classes"].removeprefix("array<").removesuffix(">")
+    # the null stands for the image itself
+    held = images.select("group", F.explode(F.concat(F.array(F.lit(None).cast(kind)), F.array_distinct("classes"))).alias("c"))
+    held = held.groupBy("group", "c").agg(F.count("*").alias("n"))
+    counts = F.map_from_entries(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", "n"))))
+    groups = held.groupBy("group").agg(F.max(F.when(F.col("c").isNull(), F.col("n"))).alias("size"), counts.alias("counts"))
+    ranked = _ranked(groups, seed).persist()
+    totals = {r[0]: r[1] for r in ranked.select(F.explode("counts")).groupBy("key").agg(F.sum("value")).collect()}
+    limit = max(1, round(ranked.count() * fraction))
+    return _labelled(ranked, _taken(ranked, {c: max(1, round(n * fraction)) for c, n in totals.items()}, limit))
+
+
+# Rows of the last step of a search, and hexadecimal digits of the random order that a step more looks at.
+_FEW, _DIGITS = 4096, 3
+
+
+def _ranked(groups: DataFrame, seed: int | str) -> DataFrame:
+    """group, counts and the order: _a, _b by classes and size, _c at random, _d the group's name."""
+    name = F.coalesce(F.col("group").cast("string"), F.lit(""))
+    return groups.select("group", "counts", (-F.size("counts")).alias("_a"), (-F.col("size")).cast("bigint").alias("_b"), random_order(seed, name).alias("_c"), name.alias("_d"))
+
+
+def _labelled(ranked: DataFrame, taken: Column) -> DataFrame:
+    return ranked.select("group", F.when(taken, "calibration").otherwise("locked_final_test").alias("split"))
+
+
+def _taken(ranked: DataFrame, targets: dict, limit: int | None) -> Column:
+    """Condition on the groups that a fold in their order takes.
+
+    While no class fills up, every group that holds an open class is taken; so the fold is a run per class, and a
+    run ends at the first group whose running count reaches a target or the limit. That group is found by sums over
+    ever finer ranges of the order, and no group's row but a few of the last range leaves Spark.
+    """
+    order = ["_a", "_b", "_c", "_d"]
+    levels = [F.struct("_a", "_b"), *[F.struct("_a", "_b", F.substring("_c", 1, _DIGITS * k).alias("_p")) for k in range(1, 10)], F.struct(*order)]
+    seen, n, after, runs = dict.fromkeys(targets, 0), 0, None, F.lit(False)
+    open_ = {c for c, t in targets.items() if t > 0}
+    while open_ and (limit is None or n < limit):
+        here = F.arrays_overlap(F.map_keys("counts"), F.array(*[F.lit(c) for c in sorted(open_)]))
+        if after is not None:
+            here &= F.struct(*order) > after
+        full = {c: targets[c] for c in open_}
+        end, n, seen = _crossing(ranked.where(here), levels, order, seen, full, n, limit)
+        if end is not None:
+            after = _point(end, order)
+            here &= F.struct(*order) <= after
+        runs |= here
+        if end is None:
+            break
+        open_ = {c for c in open_ if seen[c] < targets[c]}
+    if limit is None or n >= limit:
+        return runs
+    rest, order = ranked.where(~runs), ["_c", "_d"]
+    levels = [*[F.struct(F.substring("_c", 1, _DIGITS * k).alias("_p")) for k in range(1, 10)], F.struct(*order)]
+    end, _, _ = _crossing(rest, levels, order, {}, {}, n, limit)
+    return F.lit(True) if end is None else runs | (F.struct(*order) <= _point(end, order))
+
+
+def _point(values: Sequence, names: Sequence[str]) -> Column:
+    kinds = {"_a": "int", "_b": "bigint"}
+    return F.struct(*[F.lit(v).cast(kinds.get(c, "string")).alias(c) for v, c in zip(values, names, strict=True)])
+
+
+def _crossing(rows: DataFrame, levels: list[Column], order: list[str], seen: dict, full: dict, n: int, limit: int | None) -> tuple:
+    """(order of the first row at which a count reaches its number in ``full`` or the rows reach the limit, or None; rows and
+    counts up to it)."""
+    classes = list(seen)
+    sums = [F.count("*"), *[F.coalesce(F.sum(F.coalesce(F.element_at("counts", F.lit(c)), F.lit(0))), F.lit(0)) for c in classes]]
+    last = len(levels) - 1
+    level = 0
+    while True:
+        parts = rows.groupBy(levels[level].alias("at")).agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)])
+        for r in sorted(parts.collect(), key=lambda r: tuple(r[0])):
+            more = {c: seen[c] + r[2 + i] for i, c in enumerate(classes)}
+            if any(more[c] >= t for c, t in full.items()) or (limit is not None and n + r[1] >= limit):
+                break
+            n, seen = n + r[1], more
+        else:
+            return None, n, seen
+        if level == last:
+            return tuple(r[0]), n + r[1], more
+        rows = rows.where(levels[level] == _point(r[0], r[0].__fields__))
+        level = last if r[1] <= _FEW else level + 1
 
 
 def oversample(images: DataFrame, key: str, target: int, seed: int | str) -> DataFrame:

@@ -490,9 +490,12 @@ def l05_group_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def l07_calibration_split(spark: SparkSession, d: str) -> DataFrame:
-    t = _truth(spark, d).withColumn("group", F.col("image_id") % 500)
-    groups = t.groupBy("group").agg(F.array_sort(F.collect_set("class_id")).alias("classes"), F.countDistinct("image_id").alias("size"))
-    return splits.calibration_split(groups, 200, 42)
+    """Half of the base names, each of up to three exports of one frame, with the evaluated classes of their images."""
+    held = F.array_compact(F.collect_set(F.when(F.col("class_id").isin(*catalog.EVALUATED), F.col("class_id"))))
+    images = _truth(spark, d).groupBy("image_id").agg(held.alias("classes"))
+    k = F.col("image_id")
+    path = F.concat(F.lit("pool/src1_Clip-"), F.floor(k / 3).cast("string"), F.lit("_jpg.rf."), (k % 3).cast("string"), F.lit(".jpg"))
+    return splits.calibration_fraction_split(images.select(names.base_name(path).alias("group"), "classes"), 0.5, 42)
 
 
 @query("""WITH i AS (SELECT p_partkey AS k, CAST(p_size % 6 AS INT) AS class_id FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY k) AS r, count(*) OVER (PARTITION BY class_id) AS n FROM i),
