@@ -19,6 +19,16 @@ def sign_hash(values: Column, limbs: int = 2) -> list[Column]:
     return [_limb(bits, k) for k in range(limbs)]
 
 
+def difference_hash(pixels: Column, size: int = 16) -> list[Column]:
+    """A bit for each pixel above its right neighbour, from ``size`` rows of size + 1 grey values in one array, least bit
+    first, 32 bits to a limb; null if the array has another length or a null."""
+    n = size * (size + 1)
+    whole = (F.size(pixels) == n) & ~F.exists(pixels, lambda v: v.isNull())
+    at = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: k + F.floor(k / size).cast("int"))
+    bits = F.transform(at, lambda i: F.when(F.get(pixels, i) > F.get(pixels, i + 1), 1).otherwise(0))
+    return [F.when(whole, _limb(bits, k)) for k in range(size * size // 32)]
+
+
 def _limb(bits: Column, k: int) -> Column:
     part = F.slice(bits, 32 * k + 1, 32)
     return F.aggregate(F.reverse(part), F.lit(0).cast("long"), lambda a, b: a * 2 + b)

@@ -46,17 +46,22 @@ def both_sides(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("left_id", "right_id")).alias("image_id"), "left_id", "right_id", "distance")
 
 
-def against_reference(images: DataFrame, reference: DataFrame, limbs: Sequence[str], distance: int, verify_digest: str | None = None) -> DataFrame:
+def against_reference(images: DataFrame, reference: DataFrame, limbs: Sequence[str], distance: int, verify_digest: str | None = None, verify_limbs: Sequence[str] = (), verify_distance: int = 10) -> DataFrame:
     """image_id, reference_id, kind, verified: duplicates by name key or by hash; a name match counts as verified, a
-    hash match if the digests agree (or without a digest column)."""
+    hash match if the digests agree or the hashes in ``verify_limbs`` are within their distance (or without either)."""
     name = images.select("image_id", "base").join(reference.select(F.col("image_id").alias("reference_id"), "base"), "base")
     out = name.select("image_id", "reference_id", F.lit("name").alias("kind"), F.lit(True).alias("verified"))
     near = near_hashes(images, reference, limbs, distance)
-    more = [verify_digest] if verify_digest else []
-    l = images.select("image_id", *[F.col(c).alias(f"l_{c}") for c in limbs], *[F.col(c).alias("_l") for c in more])  # noqa: E741
-    r = reference.select(F.col("image_id").alias("reference_id"), *[F.col(c).alias(f"r_{c}") for c in limbs], *[F.col(c).alias("_r") for c in more])
+    more = [*([verify_digest] if verify_digest else []), *verify_limbs]
+    side = lambda s: [*[F.col(c).alias(f"{s}_{c}") for c in limbs], *[F.col(c).alias(f"_{s}_{c}") for c in more]]
+    l = images.select("image_id", *side("l"))  # noqa: E741
+    r = reference.select(F.col("image_id").alias("reference_id"), *side("r"))
     rows = near.join(l, [f"l_{c}" for c in limbs]).join(r, [f"r_{c}" for c in limbs])
-    sure = F.coalesce(F.col("_l") == F.col("_r"), F.lit(False)) if more else F.lit(True)
+    sure = F.lit(not more)
+    if verify_digest:
+        sure |= F.coalesce(F.col(f"_l_{verify_digest}") == F.col(f"_r_{verify_digest}"), F.lit(False))
+    if verify_limbs:
+        sure |= F.coalesce(hamming([F.col(f"_l_{c}") for c in verify_limbs], [F.col(f"_r_{c}") for c in verify_limbs]) <= verify_distance, F.lit(False))
     return out.unionByName(rows.select("image_id", "reference_id", F.lit("hash").alias("kind"), sure.alias("verified"))).distinct()
 
 

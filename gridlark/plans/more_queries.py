@@ -201,6 +201,32 @@ def j13_reference_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.against_reference(own, other, ["h0", "h1"], 14, verify_digest="digest")
 
 
+# Pictures of 16 rows of 17 grey values drawn from an embedding; the reference has them encoded anew, in coarse steps, and
+# its digests agree for every fifth.
+_GREY = "list_transform(range(0, 272), lambda k: floor(embedding[k % 64 + 1]::DOUBLE * {s})::BIGINT)"
+_STEP = "CASE vec_id % 4 WHEN 0 THEN 2000 WHEN 1 THEN 200 WHEN 2 THEN 40 ELSE 4 END"
+
+
+@query(f"""WITH e AS (SELECT vec_id, embedding, 'k' || (vec_id // 3)::VARCHAR AS base, {_BITS.format(o=1)} AS h0, {_BITS.format(o=33)} AS h1 FROM embeddings),
+a AS (SELECT vec_id, base, h0, h1, {_GREY.format(s=2000)} AS g FROM e WHERE vec_id % 2 = 0), b AS (SELECT vec_id, base, h0, h1, {_GREY.format(s=_STEP)} AS g FROM e),
+c AS (SELECT a.vec_id AS image_id, b.vec_id AS reference_id, a.vec_id = b.vec_id AND a.vec_id % 5 = 0 AS same,
+list_sum(list_transform(range(0, 256), lambda k: CASE WHEN (a.g[k + k // 16 + 1] > a.g[k + k // 16 + 2]) <> (b.g[k + k // 16 + 1] > b.g[k + k // 16 + 2]) THEN 1 ELSE 0 END)) AS far
+FROM a JOIN b ON bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) <= 14)
+SELECT DISTINCT a.vec_id AS image_id, b.vec_id AS reference_id, 'name' AS kind, true AS verified FROM a JOIN b ON a.base = b.base
+UNION SELECT image_id, reference_id, 'hash', same OR far <= 10 FROM c""")
+def j13_verified_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Hash matches verified by equal digests or by the difference hash."""
+    limbs = [f"d{i}" for i in range(8)]
+    h0, h1 = hashes.sign_hash(F.col("embedding"))
+    base = F.concat(F.lit("k"), F.floor(F.col("vec_id") / 3).cast("string"))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "vec_id", "embedding", base.alias("base"), h0.alias("h0"), h1.alias("h1"))
+    grey = lambda s: F.transform(F.sequence(F.lit(0), F.lit(271)), lambda k: F.floor(F.get("embedding", k % 64).cast("double") * s))
+    hashed = lambda r, s: r.withColumn("_grey", grey(s)).withColumns(dict(zip(limbs, hashes.difference_hash(F.col("_grey")), strict=True)))
+    own = hashed(rows.where("vec_id % 2 = 0"), F.lit(2000)).withColumn("digest", F.col("vec_id"))
+    other = hashed(rows, F.expr(_STEP)).withColumn("digest", F.when(F.col("vec_id") % 5 == 0, F.col("vec_id")))
+    return duplicates.against_reference(own, other, ["h0", "h1"], 14, verify_digest="digest", verify_limbs=limbs)
+
+
 @query(f"SELECT image_id, gt_idx, greatest(0, least(639, trunc((xc - w / 2) * 640)::INT)) AS x1, greatest(0, least(479, trunc((yc - h / 2) * 480)::INT)) AS y1 FROM ({_T}) t")
 def f13_pixel_corners(spark: SparkSession, d: str) -> DataFrame:
     at = B.pixels(B.box(), F.lit(640), F.lit(480))
