@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm import decontaminate, language, mixing, neardup, sharding
-from gridlark.llm.common import Workspace
+from gridlark.llm.common import Workspace, ordered_prefix
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +21,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents linked by shingles of five words at 0.8, the one with the least id stays."""
+    """Of the documents linked by shingles of five words at 0.8, the one with the least id stays.
+
+    Rows are judged by their texts, also where they share an id or have none: rows without an id come after all
+    others, rows of one id are told apart by their contents. Rows of one id and text are one document.
+    """
     ws = Workspace(spark, "neardup")
-    gone = ws.table(neardup.near_duplicates(ws, docs, k=5).where("not kept").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
-    if again:  # rows with one id are one document
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    doubt = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count()
+    if not doubt:
+        gone = ws.table(neardup.near_duplicates(ws, docs, k=5).where("not kept").select("doc_id").distinct())
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # the rank in that order is the key; rows alike in all columns are interchangeable
+    alike = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    told = docs.withColumns({"_like": alike, "_n": F.monotonically_increasing_id(), "_one": F.lit(1).cast("long")})
+    order = [F.col("doc_id").asc_nulls_last(), F.col("_like"), F.col("_n")]
+    keyed = ws.table(ordered_prefix(ws, told, order, [], {"_key": "_one"}).select(*docs.columns, "_key"))
+    found = neardup.near_duplicates(ws, keyed.select(F.col("_key").alias("doc_id"), "text"), k=5)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_key"))
+    # texts without a word are linked to nothing
+    same = keyed.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min("_key").alias("_first"))
+    again = keyed.join(same, keyed["doc_id"].eqNullSafe(same["doc_id"]) & keyed["text"].eqNullSafe(same["text"])).where("_key <> _first").select("_key")
+    gone = ws.table(gone.unionByName(again).distinct())
+    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
