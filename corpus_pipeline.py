@@ -15,9 +15,14 @@ from gridlark.llm.common import Workspace, ordered_prefix
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters are in no language and go; all others stay."""
-    found = language.identify(docs, *language.learned(docs.select("doc_id", "text", "lang")))
-    return found.where("lang_pred <> 'und'").drop("lang_pred", "lang_score")
+    """Documents without text or letters are in no language and go; all others stay.
+
+    Where no language can be learned (no labels, or only labels of held-out rows), texts with a letter stay by that rule alone.
+    """
+    langs, logs = language.learned(docs.select("doc_id", "text", "lang"))
+    if not langs:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
+    return language.identify(docs, langs, logs).where("lang_pred <> 'und'").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

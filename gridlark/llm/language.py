@@ -31,6 +31,7 @@ SMOOTHING = 0.05
 ROUNDS = 12
 PENALTY = 8.0
 MOST_LANGUAGES = 3
+MIX = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 #: Letters of ASCII and all bytes of longer characters stay, anything else is a space.
 LETTERS = np.full(256, 0x20, np.uint8)
 LETTERS[97:123] = np.arange(97, 123)
@@ -99,12 +100,12 @@ def mixture(p: np.ndarray, count: np.ndarray, doc: np.ndarray, start: np.ndarray
     return share, np.add.reduceat(count * np.log(seen), start)
 
 
-def infer(key: np.ndarray, count: np.ndarray, logs: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(language number, its proportion) for each row; -1 without n-grams."""
-    best, score = np.full(rows, -1), np.zeros(rows)
+def infer(key: np.ndarray, count: np.ndarray, logs: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language number, its certainty, proportions of the chosen set) for each row; -1 and zeros without n-grams."""
+    best, score, shares = np.full(rows, -1), np.zeros(rows), np.zeros((rows, logs.shape[0]), np.float32)
     doc, bucket = key >> BUCKET_BITS, key & (BUCKETS - 1)
     if not len(doc):
-        return best, score
+        return best, score, shares
     start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     ids = doc[start]
     doc = np.repeat(np.arange(len(ids)), np.diff(np.append(start, len(doc))))
@@ -119,6 +120,8 @@ def infer(key: np.ndarray, count: np.ndarray, logs: np.ndarray, rows: int) -> tu
     pick = alone.argmax(axis=1)
     value = alone.max(axis=1)
     part = np.ones(len(ids), np.float32)
+    of_set = np.zeros((len(ids), logs.shape[0]), np.float32)
+    of_set[np.arange(len(ids)), pick] = 1
     order = np.argsort(-share, axis=1, kind="stable")
     offset = np.add.reduceat(count * top[:, 0], start)
     for size in range(2, min(MOST_LANGUAGES, logs.shape[0]) + 1):
@@ -141,16 +144,17 @@ def infer(key: np.ndarray, count: np.ndarray, logs: np.ndarray, rows: int) -> tu
         value[some[better]] = like[better]
         pick[some[better]] = got[better].argmax(axis=1)
         part[some[better]] = got[better].max(axis=1)
-    best[ids] = pick
+        of_set[some[better]] = got[better]
+    best[ids], shares[ids] = pick, of_set
     # the evidence against the runner-up, per document, bounds the certainty of a set of one
     others = np.where(np.arange(logs.shape[0]) == pick[:, None], -np.inf, alone)
     margin = alone[np.arange(len(ids)), pick] - others.max(axis=1) if logs.shape[0] > 1 else np.full(len(ids), 50.0)
     score[ids] = np.clip(part / (1 + np.exp(-np.clip(margin / 4, -30, 30))), 0, 1)
-    return best, score
+    return best, score, shares
 
 
 def identify(docs: DataFrame, langs: list[str], logs: np.ndarray, text: str = "text") -> DataFrame:
-    """docs and lang_pred, lang_score."""
+    """docs and lang_pred, lang_score, and lang_mix: the languages of the chosen set and their proportions, largest first."""
     names, kinds = docs.columns, docs.dtypes
     column = names.index(text)
     sent = docs.sparkSession.sparkContext.broadcast((langs, logs))
@@ -161,15 +165,19 @@ def identify(docs: DataFrame, langs: list[str], logs: np.ndarray, text: str = "t
         for batch in batches:
             raw = batch.column(column).cast(pa.string())
             lower, letters = pc.utf8_lower(raw), has_letter(raw)
-            pred, score = [], []
+            pred, score, mixes = [], [], []
             for i, j, data, at in slices(lower, most):
-                best, s = infer(*grams(data, at), logs, j - i) if langs else (np.full(j - i, -1), np.zeros(j - i))
+                best, s, shares = infer(*grams(data, at), logs, j - i) if langs else (np.full(j - i, -1), np.zeros(j - i), np.zeros((j - i, 0)))
                 best = np.where(letters[i:j], best, -1)
                 pred += [langs[b] if b >= 0 else "und" for b in best.tolist()]
                 score += np.where(best >= 0, s, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "lang_score"])
+                shares = np.where(best[:, None] >= 0, shares, 0)
+                order = np.argsort(-shares, axis=1, kind="stable")
+                for row, first, n in zip(shares, order, np.count_nonzero(shares, axis=1).tolist(), strict=True):
+                    mixes.append([{"lang": langs[c], "share": float(row[c])} for c in first[:n].tolist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixes, MIX)], [*names, "lang_pred", "lang_score", "lang_mix"])
 
-    return arrow_map(docs, run, ", ".join([*[f"`{c}` {t}" for c, t in kinds], "lang_pred string", "lang_score double"]))
+    return arrow_map(docs, run, ", ".join([*[f"`{c}` {t}" for c, t in kinds], "lang_pred string", "lang_score double", "lang_mix array<struct<lang:string,share:double>>"]))
 
 
 def fold(doc_id: Column, n: int) -> Column:
