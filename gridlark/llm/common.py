@@ -7,6 +7,7 @@ by the slice and by the longest single document.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,24 +26,30 @@ BATCH_BYTES = 4 << 20
 # ---------------------------------------------------------------- tables on the shared folder
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a folder of our own is set."""
+    """The folder named in spark.checkpoint.dir. A local session without one gets a temporary folder, a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gridlark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow with batches bounded in bytes, so that rows of long texts can't fill a task's memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    # workers find this package where the driver did, also if it isn't on the session's Python path
-    home, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
+def prepare(spark: SparkSession) -> None:
+    """Settings of the session that the queries and pipeline stages make: Arrow batches of at most BATCH_BYTES, so that
+    rows of long texts can't fill a task's memory, and workers that find this package where the driver did."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), home]))
 
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow in workers that give memory back after each task."""
+
     def bounded(batches):
         yield from run(batches)
         # workers stay for later tasks; what this one freed goes back to the system
@@ -68,24 +75,32 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table made here that nothing will read again."""
-        path = df.inputFiles()[0].rpartition("/")[0] if df.inputFiles() else None
-        if path and self.path.rpartition("/")[2] in path:
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables made here that nothing will read again."""
+        for df in tables:
+            path = next(iter(df.inputFiles()), "").rpartition("/")[0]
+            if path and self.path.rpartition("/")[2] in path:
+                hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 # ---------------------------------------------------------------- rows
 
-def told_apart(docs: DataFrame) -> DataFrame:
-    """docs with _row, so that (doc_id, _row) is a key even of repeated or null ids: 0 where the ids do already."""
-    doubt = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count()
-    if not doubt:
-        return docs.withColumn("_row", F.lit(0))
-    # copies of an id in the order of their contents; rows alike in all columns are interchangeable
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return docs.withColumn("_row", F.row_number().over(same))
+def doubtful_ids(docs: DataFrame) -> bool:
+    """Whether some doc_id is null or there more than once."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count() > 0
+
+
+def numbered(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """docs with _key, a number of each row: by id, null last, rows of one id by their contents.
+
+    Rows are dealt by range, so rows of one id, or without, span many tasks. Rows alike in all columns are
+    interchangeable.
+    """
+    alike = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    told = docs.withColumns({"_like": alike, "_n": F.monotonically_increasing_id(), "_one": F.lit(1).cast("long")})
+    order = [F.col("doc_id").asc_nulls_last(), F.col("_like"), F.col("_n")]
+    return ws.table(ordered_prefix(ws, told, order, [], {"_key": "_one"}).select(*[F.col(f"`{c}`") for c in docs.columns], "_key"))
 
 
 # ---------------------------------------------------------------- global order without one task
@@ -170,6 +185,52 @@ class Spans:
         return mix(self.raw(start, end) + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
 
 
+LONG_WORD = 64
+
+
+def pieces_of_8(data: np.ndarray) -> np.ndarray:
+    """At each place the 8 bytes from there on as one number, zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte runs: their 8-byte pieces are mixed in one after another; BLAKE2b for runs of over LONG_WORD bytes.
+
+    Unlike a polynomial modulo 2^64 this has no family of texts with one value.
+    """
+    size = end - start
+    h = mix(size.astype(np.uint64) + _U(seed * 0x632BE59BD9B4E019 % 2**64))
+    at = pieces_of_8(data)
+    live = np.flatnonzero(size <= LONG_WORD)
+    for j in range(0, LONG_WORD, 8):
+        live = live[size[live] > j]
+        if not len(live):
+            break
+        piece = at[start[live] + j] & _FIRST[np.minimum(size[live] - j, 8)]
+        h[live] = mix((h[live] ^ piece) * _U(0x9FB21C651E98DF25) + _U(0xD1342543DE82EF95))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=str(seed).encode()).digest()
+        h[i] = int.from_bytes(digest, "little")
+    return h
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size[i] bytes of a from a_start[i] equal those of b from b_start[i]."""
+    same = np.ones(len(size), bool)
+    x, y = pieces_of_8(a), pieces_of_8(b)
+    live, j = np.flatnonzero(size > 0), 0
+    while len(live):
+        unlike = (x[a_start[live] + j] ^ y[b_start[live] + j]) & _FIRST[np.minimum(size[live] - j, 8)]
+        same[live[unlike != 0]] = False
+        j += 8
+        live = live[(unlike == 0) & (size[live] > j)]
+    return same
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and the n + 1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -10,7 +10,9 @@ running sum of sizes up to the budget; the document that crosses the budget is t
 nearer. Documents are taken whole, so a source ends within half a document of its target.
 
 Null text: size 0, never taken. Null source: a source of its own, last in order. Repeated rows are documents of
-their own. An empty table gives an empty mix. Extra columns don't matter: only the named ones are read.
+their own; rows of one id, or of none, are drawn and ordered by their texts, so that reruns agree and only rows alike
+in all that counts are interchangeable. An empty table gives an empty mix. Extra columns don't matter: only the
+named ones are read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import Workspace, ordered_prefix, told_apart
+from gridlark.llm.common import Workspace, doubtful_ids, numbered, ordered_prefix, prepare
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
@@ -45,19 +47,21 @@ def targets(sources: DataFrame, most: float = MOST) -> DataFrame:
 
 
 def mix(ws: Workspace, docs: DataFrame, weight_of_rank=None, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """docs (doc_id, source, size, quality_weight, more) -> and source_size, target, taken.
+    """docs (doc_id, source, size, digest, quality_weight, more) -> and source_size, target, taken.
 
     weight_of_rank gives a source's weight from its rank (from 1) by code point, null last; 1, 2, 3, repeating.
     """
     weight_of_rank = weight_of_rank or (lambda r: (r - 1) % 3 + 1)
-    rows = docs.withColumn("_u", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52))
-    rows = rows.withColumn("_key", -F.log("_u") / F.col("quality_weight"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-:"), F.col("digest").cast("string")))
+    uniform = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), own)), 1, 13), 16, 10).cast("double") + 0.5
+    rows = docs.withColumn("_u", uniform / float(1 << 52))
+    rows = rows.withColumn("_draw", -F.log("_u") / F.col("quality_weight"))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     sizes = sizes.withColumn("rank", F.row_number().over(by_name)).withColumn("weight", weight_of_rank(F.col("rank")).cast("double"))
     goal = ws.table(targets(sizes, most)).select(F.col("source").alias("_source"), "source_size", "target")
     # rows alike in every ordering column are interchangeable copies; the row number only keeps the order total
-    order = [F.col("_key").asc(), F.col("doc_id").asc_nulls_first(), F.col("_tie").asc()]
+    order = [F.col("_draw").asc(), F.col("doc_id").asc_nulls_first(), F.col("size").asc(), F.col("digest").asc(), F.col("_tie").asc()]
     rows = rows.withColumn("_tie", F.monotonically_increasing_id())
     rows = ordered_prefix(ws, rows, order, ["source"], {"_before": "size"})
     joined = rows.join(goal, rows["source"].eqNullSafe(goal["_source"]), "left").drop("_source")
@@ -66,7 +70,7 @@ def mix(ws: Workspace, docs: DataFrame, weight_of_rank=None, most: float = MOST,
     joined = joined.withColumn("_epochs", epochs).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
     once_more = (F.col("size") > 0) & (F.col("_before") + F.col("size") / 2.0 <= F.col("_rest"))
     taken = F.col("size") * (F.col("_epochs") + F.when(once_more, 1).otherwise(0))
-    return joined.withColumn("taken", taken.cast("long")).drop("_u", "_key", "_tie", "_before", "_epochs", "_rest")
+    return joined.withColumn("taken", taken.cast("long")).drop("_u", "_draw", "_tie", "_before", "_epochs", "_rest")
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
@@ -77,23 +81,24 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 
 def sized(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, source, size, quality_weight of whole documents."""
+    """doc_id, source, size, digest, quality_weight of whole documents, and _key if there."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), *[c for c in docs.columns if c == "_row"])
+    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("digest"), *[c for c in docs.columns if c == "_key"])
     return rows.join(quality_weights(labels), "doc_id", "left").withColumn("quality_weight", F.coalesce("quality_weight", F.lit(1.0)))
 
 
 def mixed(ws: Workspace, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, each as often as the mix takes it."""
-    known = told_apart(docs)
+    known = numbered(ws, docs) if doubtful_ids(docs) else docs.withColumn("_key", F.col("doc_id"))
     taken = mix(ws, sized(known, labels)).where("taken > 0")
-    taken = ws.table(taken.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_number"), F.expr("taken div size").alias("_copies")))
-    both = known["doc_id"].eqNullSafe(F.col("_id")) & (known["_row"] == F.col("_number"))
-    rows = known.join(taken, both).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    taken = ws.table(taken.select("_key", F.expr("taken div size").alias("_copies")))
+    # the taken ids grow with the documents, so they are never broadcast, whatever their size here
+    rows = known.join(taken.hint("merge"), "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     ws = Workspace(spark, "mix")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = sized(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
