@@ -5,11 +5,14 @@ documents of a few MB inside a task. Its words become symbols of the benchmark's
 window can touch (no pair of neighbouring words of a window, no one-word window) are left out, the rest is
 joined with separators, suffix-sorted, and kept as a wavelet matrix over the Burrows-Wheeler transform. All
 windows are searched backwards at once by wavelet ranks; each occurrence's row is walked to a sampled suffix
-position; the windows found mark words, and runs of marked words are merged into removal spans.
+position; the windows found mark words, and runs of marked words are merged into removal spans. Words are looked up
+by hashes that differ for all words of the vocabulary, and the words of every occurrence are compared byte by byte.
 
 The documents are never shuffled, and a passage in a third of all documents costs as many located rows as it has
-occurrences. The benchmark is read to the driver and broadcast in blocks of whole items of at most BLOCK_BYTES;
-a larger benchmark takes one pass over the documents per block.
+occurrences. The benchmark is broadcast in blocks, one at a time on the driver: items of over PIECE_BYTES are cut
+into pieces that share WINDOW - 1 words, and pieces are dealt by the running sum of their sizes, so that a block has
+at most BLOCK_BYTES and one piece more (a piece is larger only if ten words are). Each further block is a further
+pass over the documents.
 
 Null or wordless texts have no words and no hits; null or wordless items have no windows. Rows with one item_id
 are one item; a null item_id is written as an empty string. Extra columns of the documents are carried along.
@@ -18,26 +21,22 @@ are one item; a null item_id is written as an empty string. Extra columns of the
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import LOWER, NOT_ALNUM, Spans, arrow_map, byte_values, slices, words
+from gridlark.llm.common import LOWER, NOT_ALNUM, Workspace, arrow_map, ordered_prefix, prepare, same_bytes, slices, word_hashes, words
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 16
 SAMPLE = 8
 _U = np.uint64
 
 
-def hashed_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    low = LOWER[data]
-    start, end, row = words(low, at, NOT_ALNUM)
-    return start, end, row, Spans(low, byte_values(2)).hash(start, end) if len(start) else np.zeros(0, np.uint64)
-
-
 class Patterns:
     """The distinct windows of some items, as symbols of their own vocabulary."""
 
@@ -47,13 +46,24 @@ class Patterns:
         number = {k: i for i, k in enumerate(names)}
         self.names = names
         found: dict[tuple, set[int]] = {}
-        hashes = np.zeros(0, np.uint64)
-        lists: list[tuple[int, np.ndarray]] = []
-        for i, _, data, at in slices(text):
-            _, _, row, h = hashed_words(data, at)
-            cut = np.searchsorted(row, np.arange(len(at)))
-            lists += [(number[items[i + r][0]], h[cut[r] : cut[r + 1]]) for r in range(len(at) - 1) if cut[r + 1] > cut[r]]
-        self.vocabulary = np.unique(np.concatenate([hashes, *[h for _, h in lists]]))
+        parts = [(i, LOWER[data], at) for i, _, data, at in slices(text)]
+        self.bytes = np.concatenate([np.zeros(0, np.uint8), *[low for _, low, _ in parts]])
+        base = np.cumsum([0, *[len(low) for _, low, _ in parts]])
+        where = [words(low, at, NOT_ALNUM) for _, low, at in parts]
+        none = np.zeros(0, np.int64)
+        start = np.concatenate([none, *[s + o for (s, _, _), o in zip(where, base, strict=False)]])
+        end = np.concatenate([none, *[e + o for (_, e, _), o in zip(where, base, strict=False)]])
+        owner = np.concatenate([none, *[r + i for (_, _, r), (i, _, _) in zip(where, parts, strict=True)]])
+        self.seed = 2
+        while True:  # until no two words have one hash
+            h = word_hashes(self.bytes, start, end, self.seed)
+            self.vocabulary, first, back = np.unique(h, return_index=True, return_inverse=True)
+            self.start, self.size = start[first], (end - start)[first]
+            if np.all((end - start == self.size[back]) & same_bytes(self.bytes, start, self.bytes, self.start[back], np.minimum(end - start, self.size[back]))):
+                break
+            self.seed += 1
+        cut = np.searchsorted(owner, np.arange(len(items) + 1))
+        lists = [(number[items[r][0]], h[cut[r] : cut[r + 1]]) for r in range(len(items)) if cut[r + 1] > cut[r]]
         for k, h in lists:
             # symbols from 2: 0 ends the shard, 1 separates stretches
             symbols = np.searchsorted(self.vocabulary, h) + 2
@@ -215,13 +225,32 @@ def occurrences(symbol: np.ndarray, row: np.ndarray, p: Patterns) -> tuple[np.nd
     return word[index.locate(rows)], pattern
 
 
+def confirmed(word: np.ndarray, pattern: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray, symbol: np.ndarray, p: Patterns) -> np.ndarray:
+    """Which occurrences consist of the very words of their patterns."""
+    delta = np.zeros(len(symbol) + 1, np.int64)
+    np.add.at(delta, word, 1)
+    np.add.at(delta, word + p.length[pattern], -1)
+    covered = np.flatnonzero(np.cumsum(delta[:-1]) > 0)
+    own, size = symbol[covered] - 2, end[covered] - start[covered]
+    same = (size == p.size[own]) & same_bytes(low, start[covered], p.bytes, p.start[own], np.minimum(size, p.size[own]))
+    bad = np.zeros(len(symbol) + 1, np.int64)
+    bad[covered[~same] + 1] = 1
+    bad = np.cumsum(bad)
+    return bad[word + p.length[pattern]] == bad[word]
+
+
 def _search(data: np.ndarray, at: np.ndarray, p: Patterns):
     """Per row of one shard: words, hit words, item numbers, and byte spans of runs of hit words."""
     n = len(at) - 1
-    start, end, row, h = hashed_words(data, at)
+    low = LOWER[data]
+    start, end, row = words(low, at, NOT_ALNUM)
+    h = word_hashes(low, start, end, p.seed)
     place, there = member(h, p.vocabulary)
     symbol = np.where(there, place + 2, 0)
     word, pattern = occurrences(symbol, row, p)
+    if len(word):
+        sure = confirmed(word, pattern, low, start, end, symbol, p)
+        word, pattern = word[sure], pattern[sure]
     delta = np.zeros(len(h) + 1, np.int64)
     np.add.at(delta, word, 1)
     np.add.at(delta, word + p.length[pattern], -1)
@@ -245,12 +274,42 @@ def _search(data: np.ndarray, at: np.ndarray, p: Patterns):
     return np.bincount(row, minlength=n), np.bincount(row[hit], minlength=n), items, spans, start, end, row
 
 
-def _blocks(bench: DataFrame, most: int) -> list[list[tuple[str, str | None]]]:
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = -(-size // most) or 1
+def cut_items(items: DataFrame, window: int, most: int) -> DataFrame:
+    """item_id, n, text: the pieces of about ``most`` bytes of each item, which share window - 1 words with the next."""
+
+    def run(batches):
+        for batch in batches:
+            name, number, text = [], [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = (t or "").encode()
+                start, end, _ = words(LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), NOT_ALNUM)
+                first = 0
+                while first < len(start):
+                    last = max(int(np.searchsorted(end, start[first] + most, "right")), first + window)
+                    last = min(last, len(start))
+                    name.append(k)
+                    number.append(first)
+                    text.append(raw[start[first] : end[last - 1]].decode())
+                    first = last - window + 1 if last < len(start) else last
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(number, pa.int64()), pa.array(text, pa.string())], ["item_id", "n", "text"])
+
+    return arrow_map(items.select("item_id", "text"), run, "item_id string, n long, text string")
+
+
+def blocks(bench: DataFrame, window: int, most: int, piece: int = PIECE_BYTES) -> Iterator[list[tuple[str, str | None]]]:
+    """Lists of (item_id, text) of about ``most`` bytes, one after another; a benchmark that fits is one block."""
     rows = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    # a block is collected on its own; all rows of one item lie in one block
-    return [[(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).toLocalIterator()] for b in range(n)]
+    take = lambda df: [(r["item_id"], r["text"]) for r in df.select("item_id", "text").toLocalIterator()]
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + F.octet_length("item_id")
+    if (rows.agg(F.sum(size).alias("n")).first()["n"] or 0) <= most:
+        yield take(rows)
+        return
+    ws = Workspace(bench.sparkSession, "benchmark")
+    parts = cut_items(rows, window, piece).withColumns({"_size": size, "_tie": F.monotonically_increasing_id()})
+    order = [F.xxhash64("item_id", "n"), F.col("_tie")]
+    parts = ws.table(ordered_prefix(ws, parts, order, [], {"_before": "_size"}).withColumn("_block", F.expr(f"_before div {most}")))
+    for r in parts.select("_block").distinct().orderBy("_block").toLocalIterator():
+        yield take(parts.where(F.col("_block") == r["_block"]))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, finish=None, schema: str | None = None) -> DataFrame:
@@ -263,8 +322,10 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
     span = "array<struct<start:long,end:long>>"
     out = docs
     names = docs.columns
-    blocks = _blocks(bench, block_bytes)
-    for number, items in enumerate(blocks):
+    ahead = blocks(bench, window, block_bytes)
+    items, number = next(ahead, []), 0
+    while items is not None:
+        following = next(ahead, None)
         sent = spark.sparkContext.broadcast(Patterns(items, window))
         text_at = names.index("text")
 
@@ -283,10 +344,11 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
                     yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(n_words, pa.int64()), pa.array([sorted(x) for x in ids], pa.list_(pa.string())), rows], [*names, "_n_words", "_items", "_spans"])
 
         fields = ", ".join([*[f"`{c}` {t}" for c, t in docs.dtypes], "_n_words long", "_items array<string>", f"_spans {span}"])
-        if finish is not None and number == len(blocks) - 1:
+        if finish is not None and following is None:
             out = arrow_map(out, lambda batches, run=run: finish(run(batches)), schema)
         else:
             out = arrow_map(out, run, fields)
+        items, number = following, number + 1
     return out
 
 
@@ -356,6 +418,7 @@ def _one(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return digests(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
