@@ -14,7 +14,8 @@ anchors at equal places. Neighbouring windows with one anchor form a run, and a
    an aggregation by hash, so no group is held in one task.
 4. Repeated windows go back to their documents, are merged, and cut out.
 
-Hashes have 64 bits, and strings are told apart by anchor and string hash together (128 bits).
+Anchors are grouped by a rolling hash, which needn't tell strings apart: it only says what to compare. Equal strings
+are told by 64 bits of BLAKE2b within their anchor's group, and neighbours in a suffix array by their common prefix.
 Documents are read in pieces of PIECE windows, so memory doesn't grow with the longest text but where a text is
 finally cut. Null and short texts lose nothing. Repeated doc_ids and null doc_ids are allowed: then the text's
 digest is part of the key. Repeated rows are copies, so all of their windows repeat.
@@ -22,13 +23,15 @@ digest is part of the key. Repeated rows are copies, so all of their windows rep
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import Spans, Workspace, arrow_map, buffers, byte_values, mix
+from gridlark.llm.common import Spans, Workspace, arrow_map, buffers, byte_values, mix, prepare, same_bytes
 from gridlark.llm.suffix import suffix_arrays
 
 LENGTH = 200
@@ -39,12 +42,17 @@ LANE_BYTES = 1 << 20
 _U = np.uint64
 
 
+def digest(raw: bytes | memoryview, place: int) -> int:
+    """64 bits of BLAKE2b of a string and the place of its anchor, as a signed number."""
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8, salt=place.to_bytes(8, "little")).digest(), "little", signed=True)
+
+
 def anchors(data: np.ndarray, at: np.ndarray, length: int, k: int):
-    """Runs in the rows of one slice: row, first and last window, place and hash of the anchor, hash of the string."""
+    """Runs in the rows of one slice: row, first and last window, place and hash of the anchor."""
     n, width = len(data), length - k + 1
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     spans = Spans(data, byte_values(5))
     bits = _U(max(int(n).bit_length(), 1))
     h = spans.rolling(k)
@@ -63,7 +71,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, k: int):
     s = np.flatnonzero(new)
     e = np.append(s[1:], len(window)) - 1 if len(s) else s
     first, last = window[s], window[e]
-    return row[s], first, last, anchor[s], h[anchor[s]], spans.hash(first, last + length)
+    return row[s], first, last, anchor[s], h[anchor[s]]
 
 
 def pieces(column: pa.Array, length: int, piece: int):
@@ -93,15 +101,16 @@ def runs(docs: DataFrame, length: int, k: int, only_anchors: bool = False, piece
     def run(batches):
         for batch in batches:
             for rows, skip, data, at in pieces(batch.column(1), length, piece):
-                row, first, last, anchor, h, string = anchors(data, at, length, k)
+                row, first, last, anchor, h = anchors(data, at, length, k)
                 if only_anchors:
                     yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64))], ["anchor"])
                     continue
                 begin = first - at[row] + skip[row]
                 keys = batch.column(0).take(pa.array(rows[row]))
-                # the string's hash tells apart the same bytes with another anchor
-                string = mix(string + (anchor - first).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(string.astype(np.int64)), keys, pa.array(begin), pa.array((last - first).astype(np.int32)), pa.array((anchor - first).astype(np.int32))], ["anchor", "string", "key", "at", "spread", "offset"])
+                raw, offset = memoryview(data), anchor - first
+                string = [digest(raw[f : e + length], o) for f, e, o in zip(first.tolist(), last.tolist(), offset.tolist(), strict=True)]
+                columns = [pa.array(h.astype(np.int64)), pa.array(string, pa.int64()), keys, pa.array(begin), pa.array((last - first).astype(np.int32)), pa.array(offset.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "string", "key", "at", "spread", "offset"])
 
     fields = "anchor long" if only_anchors else f"anchor long, string long, key {kind}, at long, spread int, offset int"
     return arrow_map(docs.select("key", "text"), run, fields)
@@ -200,14 +209,13 @@ def repeated_windows(groups: list[list[bytes]], length: int) -> list[np.ndarray]
         owner[where] = np.repeat(ids, lengths)
         left[where] = np.repeat(begin + lengths, lengths) - where
         whole = left >= length
-        spans = Spans(np.frombuffer(raw, np.uint8), byte_values(6))
-        h = np.zeros(len(text), np.uint64)
-        h[whole] = spans.hash(np.flatnonzero(whole), np.flatnonzero(whole) + length)
         lane = np.repeat(np.arange(len(some)), sizes[some])
-        same = whole[sa[1:]] & whole[sa[:-1]] & (h[sa[1:]] == h[sa[:-1]]) & (lane[sa[1:]] == lane[sa[:-1]])
+        beside = np.flatnonzero(whole[sa[1:]] & whole[sa[:-1]] & (lane[sa[1:]] == lane[sa[:-1]]))
+        one, other = sa[beside], sa[beside + 1]
+        same = same_bytes(flat_bytes := np.frombuffer(raw, np.uint8), one, flat_bytes, other, np.full(len(beside), length))
         twice = np.zeros(len(text), bool)
-        twice[sa[1:][same]] = True
-        twice[sa[:-1][same]] = True
+        twice[one[same]] = True
+        twice[other[same]] = True
         at = np.flatnonzero(twice)
         base = dict(zip(ids.tolist(), begin.tolist(), strict=True))
         # the strings lie one after another, so a string's hits are one run
@@ -259,8 +267,7 @@ def split(items: DataFrame, low: int, high: int, step: int, length: int) -> Data
         for batch in batches:
             cols = {n: [] for n in ("key", "piece", "anchor", "string", "base", "offset", "n", "bytes")}
             for x in batch.to_pylist():
-                raw = np.frombuffer(x["bytes"], np.uint8)
-                spans = Spans(raw, byte_values(7))
+                raw = x["bytes"]
                 last = x["offset"] - (len(raw) - length)  # the anchor's place in the last window
                 for a in range(low, high, step):
                     b = min(a + step, high) - 1
@@ -268,16 +275,14 @@ def split(items: DataFrame, low: int, high: int, step: int, length: int) -> Data
                     if big < small:
                         continue
                     f, e = x["offset"] - big, x["offset"] - small  # windows
-                    core = np.array([x["offset"] - a]), np.array([x["offset"] - b + length])
-                    whole = np.array([f]), np.array([e + length])
-                    cols["key"].append(int(mix(spans.hash(*core) + _U(a))[0].astype(np.int64)))
-                    cols["piece"].append(int(mix(spans.hash(*whole) + _U(big))[0].astype(np.int64)))
+                    cols["key"].append(digest(raw[x["offset"] - a : x["offset"] - b + length], a))
+                    cols["piece"].append(digest(raw[f : e + length], big))
                     cols["anchor"].append(x["anchor"])
                     cols["string"].append(x["string"])
                     cols["base"].append(x["base"] + f)
                     cols["offset"].append(big)
                     cols["n"].append(x["n"])
-                    cols["bytes"].append(raw[f : e + length].tobytes())
+                    cols["bytes"].append(raw[f : e + length])
             kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), kinds, strict=True)], list(cols))
 
@@ -368,6 +373,7 @@ def without_repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, k: int
 
 
 def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = without_repeats(Workspace(spark, "substrings"), docs)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])

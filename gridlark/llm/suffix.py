@@ -7,7 +7,9 @@ At the end a group holds the suffixes with one Lyndon prefix. Phase 2 emits the
 lowest suffix up: the suffix before the one just emitted, and along its pointers all that aren't placed yet, take
 the next places of their groups. Nothing is renamed and nothing recurses.
 
-All texts of a call take each step together, so that a step is a few numpy operations over thousands of texts.
+All texts of a call take each step together, so that a step is a few numpy operations over thousands of texts. A
+pointer over processed suffixes is followed at most once by a suffix that isn't linked to its neighbour in the
+group, so the steps of all suffixes together are in proportion to the text.
 """
 
 from __future__ import annotations
@@ -52,16 +54,20 @@ def suffix_arrays(text: np.ndarray, start: np.ndarray) -> np.ndarray:
         own = _ranges(g, end[live] - g)
         s = sa[own]
         name = np.repeat(g, end[live] - g)
-        # walk left over processed suffixes by their pointers, over the group's own one by one
+        # by place in the text, so that the group's members before one stand before it
+        s = np.sort(s)
+        # walk left over processed suffixes by their pointers
         j, low = s - 1, begin[s]
         open_ = np.flatnonzero(j >= low)
-        open_ = open_[group[j[open_]] >= name[open_]]
+        open_ = open_[group[j[open_]] > name[open_]]
         while len(open_):
-            at = j[open_]
-            at = np.where(group[at] > name[open_], prev[at], at - 1)
-            j[open_] = at
-            open_ = open_[at >= low[open_]]
-            open_ = open_[group[j[open_]] >= name[open_]]
+            j[open_] = prev[j[open_]]
+            open_ = open_[j[open_] >= low[open_]]
+            open_ = open_[group[j[open_]] > name[open_]]
+        # what ends at the group's own next member has its pointer, and so on along a run of such members
+        at = np.maximum(j, 0)
+        head = (j < low) | (group[at] < name)
+        j = j[np.maximum.accumulate(np.where(head, np.arange(len(s)), 0))]
         found = j >= low
         j[~found] = -1
         prev[s] = j

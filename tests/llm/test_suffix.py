@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -24,3 +26,13 @@ def test_suffix_arrays_match_sorting(seed):
 def test_empty_and_single():
     assert len(suffix_arrays(np.zeros(0, np.int64), np.zeros(1, np.int64))) == 0
     assert suffix_arrays(np.array([0]), np.array([0, 1])).tolist() == [0]
+
+
+def test_runs_of_one_symbol_take_time_in_proportion():
+    took = []
+    for n in (5000, 20000):
+        began = time.process_time()
+        got = suffix_arrays(np.append(np.ones(n, np.int64), 0), np.array([0, n + 1]))
+        took.append(time.process_time() - began)
+        assert got.tolist() == list(range(n, -1, -1))
+    assert took[1] < 8 * took[0] + 1
