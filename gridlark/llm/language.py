@@ -1,16 +1,18 @@
 """Language identification as inference of a multilingual mixture.
 
 Each language has a distribution over hashed 4-byte n-grams of lower-cased letters. For a document,
-expectation-maximisation estimates the proportion of each language from its n-grams' likelihoods; then sets of
-the languages with the largest proportions are compared by penalised likelihood (a language more costs
-PENALTY * log(n) / 2), and the largest language of the chosen set is the prediction, its proportion the score.
+expectation-maximisation estimates the proportion of each language from its n-grams' likelihoods; then the sets of
+the 1, 2, 3, .. languages with the largest proportions are compared by penalised likelihood (a language more costs
+PENALTY * log(n) / 2), and the largest language of the chosen set is the prediction. A set of a size is tried only
+where the likelihood of all languages together, which no set exceeds, could still pay its penalty. The score is the
+prediction's proportion, lessened where the runner-up is close.
 
-The model is fitted on at most TRAIN_DOCS labelled documents per language, those with the least hash of their id,
-of whole texts; every document is scored. Nothing but the sample's counts (languages x 32768) reaches the
-driver, and no documents are shuffled for scoring.
+The model is fitted on at most TRAIN_DOCS different labelled documents per language, those with the least hash of
+their id and text, of whole texts; every document is scored. Nothing but the sample's counts (languages x 32768) and
+the languages' row counts reach the driver, and no documents are shuffled for scoring.
 
 Null text or text without a letter: ``und``, score 0. If no language can be learned, all are ``und``. Null
-languages teach nothing; repeated rows are scored alike; extra columns are carried along.
+languages teach nothing; repeated rows teach once and are scored alike; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import SLICE_BYTES, arrow_map, slices
+from gridlark.llm.common import SLICE_BYTES, arrow_map, prepare, slices
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -30,7 +32,6 @@ TRAIN_DOCS = 1000
 SMOOTHING = 0.05
 ROUNDS = 12
 PENALTY = 8.0
-MOST_LANGUAGES = 3
 MIX = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 #: Letters of ASCII and all bytes of longer characters stay, anything else is a space.
 LETTERS = np.full(256, 0x20, np.uint8)
@@ -115,7 +116,7 @@ def infer(key: np.ndarray, count: np.ndarray, logs: np.ndarray, rows: int) -> tu
     # scaled by the best language's likelihood, which the proportions don't feel
     top = logp.max(axis=1, keepdims=True)
     p = np.exp(logp - top)
-    share, _ = mixture(p, count, doc, start, np.full((len(ids), logs.shape[0]), 1 / logs.shape[0], np.float32), ROUNDS)
+    share, most = mixture(p, count, doc, start, np.full((len(ids), logs.shape[0]), 1 / logs.shape[0], np.float32), ROUNDS)
     n = np.add.reduceat(count, start)
     pick = alone.argmax(axis=1)
     value = alone.max(axis=1)
@@ -124,9 +125,8 @@ def infer(key: np.ndarray, count: np.ndarray, logs: np.ndarray, rows: int) -> tu
     of_set[np.arange(len(ids)), pick] = 1
     order = np.argsort(-share, axis=1, kind="stable")
     offset = np.add.reduceat(count * top[:, 0], start)
-    for size in range(2, min(MOST_LANGUAGES, logs.shape[0]) + 1):
-        # only documents with a real second language can gain from a larger set
-        some = np.flatnonzero(share[np.arange(len(ids)), order[:, size - 1]] > 0.02)
+    for size in range(2, logs.shape[0] + 1):
+        some = np.flatnonzero(most + offset - PENALTY * (size - 1) * np.log(np.maximum(n, 2)) / 2 > value)
         if not len(some):
             break
         chosen = np.zeros((len(ids), logs.shape[0]), np.float32)
@@ -185,12 +185,20 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def training_sample(docs: DataFrame, rows: Column, per_language: int = TRAIN_DOCS) -> DataFrame:
-    """(text, lang) of at most per_language documents of each language among ``rows``, least hash first."""
-    known = docs.where(rows & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    first = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    ids = known.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_language).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    ids = F.broadcast(ids)  # at most per_language ids for each language
-    return docs.where(rows).join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("text", "lang")
+    """(text, lang) of at most per_language different documents of each language among ``rows``, least hash first.
+
+    A threshold of the hash, from the language's number of ids, leaves about twice as many as wanted, so that
+    the sample alone is ordered within languages, however many documents one of them has.
+    """
+    known = docs.where(rows & F.col("lang").isNotNull())
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id")).alias("n")).collect()  # a row per language
+    known = known.where(F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    if counts:
+        below = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * per_language / max(r["n"], 1)))])
+        known = known.where(F.pmod("_h", F.lit(1 << 31)) < below[F.col("lang")] * float(1 << 31))
+    once = known.groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy("_h")
+    return once.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_language).select("text", "lang")
 
 
 def learned(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -198,9 +206,10 @@ def learned(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs.select("doc_id", "text"), *learned(docs.select("doc_id", "text", "lang")))
-    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_mix").alias("mixture"))
 
 
 QUERIES = {"op9_language_id": op9_language_id}
