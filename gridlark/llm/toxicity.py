@@ -9,7 +9,8 @@ among the labels learned from. Weights shrink by a soft threshold, so that words
 
 The fit uses at most POSITIVES toxic and UNLABELLED whole texts, those with the least hash of their id;
 every document is scored. Scores lie in 0 .. 1; 0.7 is the threshold. Null and empty texts get the score of no
-words. Null labels teach nothing; of repeated labels the highest counts; without positives all scores are 0.
+words. Null labels teach nothing; of repeated labels the highest counts, of the texts of a repeated id one; without
+positives all scores are 0.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import NOT_ALNUM, Spans, Workspace, arrow_map, byte_values, mix, slices, words
+from gridlark.llm.common import NOT_ALNUM, Spans, Workspace, arrow_map, byte_values, mix, prepare, slices, words
 from gridlark.llm.language import fold
 
 BITS = 18
@@ -73,6 +74,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> float:
+    """The non-negative risk of scores of positives and unlabelled texts; logistic loss."""
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    return float(prior * np.logaddexp(0, -fp).mean() + max(negative, 0.0))
+
+
 def risk_gradient(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """Of the non-negative risk, by the scores of positives and unlabelled; logistic loss."""
     sp, su = sigmoid(fp), sigmoid(fu)
@@ -163,7 +170,8 @@ def learn(ws: Workspace, docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray
     positive = toxic.where("toxic = 1").orderBy(*least).limit(POSITIVES).select("doc_id", F.lit(True).alias("positive"))
     # the unlabelled come from all documents, so that positives are among them at the rate of the prior
     other = docs.select("doc_id").distinct().orderBy(*least).limit(UNLABELLED).select("doc_id", F.lit(False).alias("positive"))
-    sample = ws.table(docs.join(F.broadcast(positive.union(other)), "doc_id").select("text", "positive"))
+    chosen = docs.join(F.broadcast(positive.union(other)), "doc_id").groupBy("doc_id", "positive")
+    sample = ws.table(chosen.agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).select("text", "positive"))
     sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     if len(sizes) < 2:
         return None
@@ -207,6 +215,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float] | None) -
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     open_rows = fold(F.col("doc_id"), 3) != 1
