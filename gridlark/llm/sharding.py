@@ -2,12 +2,14 @@
 
 Metadata dimensions are quantised to ``bits`` bits each, turned into a Hilbert index (Skilling's transform as
 column expressions), and rows sorted by that index are cut into runs of equal counts, so each shard covers a
-compact box in every dimension and files prune on each of them. Numbers are quantised on a log scale, strings by
-their place in the cumulative share of rows, which keeps their order.
+compact box in every dimension and files prune on each of them. Values are quantised by their place in the cumulative
+share of rows, which keeps their order and uses all codes; numbers are put on a log scale of 2^FINE steps before, so
+that few values are left to count.
 
 The order is total: index, a hash of the id, the id. A hot cell (equal metadata in a third of all rows) therefore
-spans many tasks and shards. Law ``rows``: counts differ by one at most. Null text has size 1; null metadata are
-the first code; repeated rows are placed one by one; an empty table gives no rows.
+spans many tasks and shards. Law ``rows``: counts differ by one at most. That law can't keep equal texts in one
+shard: a text in a third of all rows would make its shard five times too large; text_crc32 names such a group. Null
+text has size 1; null metadata are the first code; repeated rows are placed one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import Workspace, ordered_prefix
+from gridlark.llm.common import Workspace, ordered_prefix, prepare
 
 SHARDS = 16
 BITS = 5
+FINE = 10
 
 
 def _long(x: int) -> Column:
@@ -76,11 +79,12 @@ def share_codes(rows: DataFrame, column: str, bits: int = BITS) -> DataFrame:
 
 def shard(ws: Workspace, docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """docs (doc_id, size, lang, source, more; no text needed) -> and hilbert, shard, slot."""
-    rows = docs
-    for column in ("lang", "source"):
-        codes = share_codes(docs, column, bits).withColumnsRenamed({column: "_value", "_code": f"_{column}"})
+    rows = docs.withColumn("_step", log_code(F.col("size"), FINE))
+    axes = {"lang": "_lang", "source": "_source", "_step": "_size"}
+    for column, name in axes.items():
+        codes = share_codes(rows, column, bits).withColumnsRenamed({column: "_value", "_code": name})
         rows = rows.join(codes, rows[column].eqNullSafe(codes["_value"]), "left").drop("_value")
-    rows = rows.withColumn("hilbert", hilbert_index([F.col("_lang"), F.col("_source"), log_code(F.col("size"), bits)], bits)).drop("_lang", "_source")
+    rows = rows.withColumn("hilbert", hilbert_index([F.col(c) for c in axes.values()], bits)).drop("_step", *axes.values())
     rows = rows.withColumn("_hash", F.xxhash64("doc_id")).withColumn("_tie", F.monotonically_increasing_id()).withColumn("_one", F.lit(1).cast("long"))
     order = [F.col("hilbert"), F.col("_hash"), F.col("doc_id").asc_nulls_first(), F.col("_tie")]
     rows = ordered_prefix(ws, rows.withColumn("_all", F.lit(0)), order, ["_all"], {"_rank": "_one"})
@@ -97,7 +101,13 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
 
 
+def write(placed: DataFrame, path: str) -> None:
+    """One folder and file per shard in the order of the slots, so that readers prune files by each dimension's range."""
+    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     placed = shard(Workspace(spark, "shards"), measured(docs))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
