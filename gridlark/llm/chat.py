@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import Workspace, arrow_map
+from gridlark.llm.common import Workspace, arrow_map, prepare
 
 #: Control strings of the template and of common ones like it.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>")
@@ -143,6 +143,7 @@ def read_back(chats: DataFrame) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     kinds = dict(rows.dtypes)
     said = "</s>[INST] ok [/INST]"

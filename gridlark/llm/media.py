@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import arrow_map, buffers
+from gridlark.llm.common import arrow_map, buffers, prepare
 
 BLOCK = 576
 RATE = 8000
@@ -145,11 +145,12 @@ def fingerprint(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = fingerprint(encode_wav(docs))
     code = F.sha2(F.concat_ws(",", F.col("times").cast("array<string>"), F.col("codes").cast("array<string>")), 256)
     feature = F.concat_ws(":", F.col("n_frames").cast("string"), F.size("codes").cast("string"), code)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "times", "codes")
 
 
 QUERIES = {"op1_media_columns": op1_media_columns}
