@@ -10,15 +10,20 @@ Verification: documents with equal sets are one class, and classes that share a
 All pairs of a bucket are never made. First each bucket's most central member (the one with the most company over
 all bands) is compared with the others on full sets, and links merge components; a bucket whose members lie in
 one component is done. For what is left, a pair's common tokens m are bounded, and with them its similarity
-m / (|x| + |y| - m): m is at most the lesser number of tokens that other classes have too, and at most the lesser
+m / (|x| + |y| - m): m is at most the lesser number of tokens that other open classes have too, and at most the lesser
 number of tokens common with the bucket's central member plus the lesser number of shared tokens outside it. Members
-that no other can reach leave. Then, wave by wave, the members outside a bucket's largest component are its pivots, up to PIVOTS of them; every
-member in another component within the bound is compared with them, and the pivots leave. Waves go on until
-no bucket is left, so every pair that shares a band is compared, connected already, or proven too far apart.
-
-Sets hold 52-bit hashes of the shingles (of three hundred words: chance of a false match in a pair about 1e-10).
-Null or wordless texts have the empty set and stay alone. Rows with one doc_id are one document. A row without
-an id belongs to the component of an equal text, if there is one, and isn't kept then; else its component is null. Extra columns don't matter, as only the named ones are read.
+that no other can reach leave. Then, wave by wave, the members outside a bucket's largest component are its pivots
+(PIVOTS of them, in each wave twice as many as before); every member in another component within the bound is
+compared with them on full sets, and the pivots leave. Waves go on until no bucket is left, so every pair that
+shares a band is compared, connected already, or proven too far apart.
+
+Sets hold 52-bit hashes of the shingles (of three hundred words: chance of a false match in a pair about 1e-10) over
+64-bit hashes of the words; equal sets are told by 128 bits.
+
+Null or wordless texts have the empty set and stay alone. Rows are judged by their texts: where ids are missing or
+repeated, each row is numbered, and rows without an id come after all others. A component is named by its least id,
+null if no row of it has one; then the first row of it is kept. Extra columns don't matter, as only the named ones
+are read.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import LOWER, SPACE, Spans, Workspace, arrow_map, byte_values, distinct, mix, shingles, slices, words
+from gridlark.llm.common import LOWER, SPACE, Workspace, arrow_map, distinct, doubtful_ids, mix, numbered, prepare, shingles, slices, word_hashes, words
 from gridlark.llm.graph import components
 
 BINS = 128
@@ -43,8 +48,7 @@ def token_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np
     """(row, token) of the distinct k-word shingles of each row, sorted."""
     low = LOWER[data]
     start, end, row = words(low, at, SPACE)
-    word = Spans(low, byte_values()).hash(start, end)
-    return distinct(*shingles(word, row, len(at) - 1, k))
+    return distinct(*shingles(word_hashes(low, start, end, 1), row, len(at) - 1, k))
 
 
 def sketch(row: np.ndarray, token: np.ndarray, rows: int, bins: int = BINS) -> np.ndarray:
@@ -80,8 +84,9 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits that tell sets apart), bands."""
-    kind = dict(docs.dtypes)["doc_id"]
+    """docs (key, text) -> key, n_shingles, set_a, set_b (128 bits that tell sets apart), bands."""
+    kind = dict(docs.dtypes)["key"]
+    names = ["key", "n_shingles", "set_a", "set_b", "bands"]
 
     def run(batches):
         for batch in batches:
@@ -92,16 +97,18 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(count)])
                 total = lambda v: np.concatenate([np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)])
                 a, b = total(mix(token + _U(11))), total(mix(token * _U(3) + _U(17)))
+                own = lambda v: pa.array((v[ends[1:]] - v[ends[:-1]]).astype(np.int64))
                 keys = band_keys(sketch(row, token, n)).astype(np.int64)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(count), pa.array((a[ends[1:]] - a[ends[:-1]]).astype(np.int64)), pa.array((b[ends[1:]] - b[ends[:-1]]).astype(np.int64)), bands], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                cut = pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32))
+                bands = pa.ListArray.from_arrays(cut, pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(count), own(a), own(b), bands], names)
 
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
+    return arrow_map(docs.select("key", "text"), run, f"key {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, tokens (binary of sorted 64-bit numbers)."""
-    kind = dict(docs.dtypes)["doc_id"]
+    """rep, tokens (binary of sorted 64-bit numbers) of docs (key, text)."""
+    kind = dict(docs.dtypes)["key"]
 
     def run(batches):
         for batch in batches:
@@ -109,9 +116,9 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 row, token = token_sets(data, at, k)
                 ends = np.searchsorted(row, np.arange(j - i + 1))
                 sets = [token[ends[r] : ends[r + 1]].tobytes() for r in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["rep", "tokens"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, tokens binary")
+    return arrow_map(docs.select("key", "text"), run, f"rep {kind}, tokens binary")
 
 
 def compared(pairs: DataFrame, percent: int) -> DataFrame:
@@ -133,85 +140,106 @@ def compared(pairs: DataFrame, percent: int) -> DataFrame:
     return arrow_map(pairs.select("a", "b", "tokens_a", "tokens_b"), run, f"a {kind}, b {kind}, common long, linked boolean")
 
 
-def near_duplicates(ws: Workspace, docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept: one row per row."""
-    docs = docs.select("doc_id", "text")
+def linked(ws: Workspace, docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> DataFrame:
+    """docs (key, text), keys unique -> key, n_shingles, component (least key reachable)."""
     flat = ws.table(sketched(docs, k))
-    some = flat.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    classes = ws.table(classes)
+    some = flat.where("n_shingles > 0")
     same = ["n_shingles", "set_a", "set_b"]
-    reps = some.join(classes.withColumn("doc_id", F.col("rep")), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id", *same])
-    keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = ws.table(keyed.join(shared, "key"))
-    labels = None
+    classes = ws.table(some.groupBy(*same).agg(F.min("key").alias("rep")))
+    bands = some.join(classes.select(*same, F.col("rep").alias("key")), [*same, "key"], "left_semi").select(F.col("key").alias("rep"), "n_shingles", "bands")
+    keyed = bands.select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("size"))
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = ws.table(keyed.join(shared, "bucket"))
+    out = flat.select("key", *same).join(classes, same, "left")
     if members.limit(1).count():
-        labels = _waves(ws, docs, members, reps.select(F.col("doc_id").alias("rep"), "bands"), k, percent)
-    out = flat.join(classes, same, "left")
-    if labels is not None:
-        out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("component", F.lit(None))
-    component = F.coalesce("component", "rep", "doc_id").alias("component_id")
-    return out.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+        labels = _links(ws, docs, members, bands.select("rep", "bands"), k, percent)
+        if labels is not None:
+            out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+            return out.select("key", "n_shingles", F.coalesce("component", "rep", "key").alias("component"))
+    return out.select("key", "n_shingles", F.coalesce("rep", "key").alias("component"))
 
 
-def _waves(ws: Workspace, docs: DataFrame, members: DataFrame, bands: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """node, component of the classes that are linked; None if there is no link. members: key, n, rep, size."""
-    nodes = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = ws.table(full_sets(docs.join(nodes, "doc_id", "left_semi"), k).dropDuplicates())
+def near_duplicates(ws: Workspace, docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept: one row per row."""
+    docs = docs.select("doc_id", "text")
+    if not doubtful_ids(docs):
+        found = linked(ws, docs.withColumnRenamed("doc_id", "key"), k, percent)
+        return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+    rows = numbered(ws, docs).withColumnRenamed("_key", "key")
+    found = linked(ws, rows.select("key", "text"), k, percent)
+    ids = rows.select("key", "doc_id")
+    # rows without an id have the last keys, so the least key has the least id
+    named = ids.select(F.col("key").alias("component"), F.col("doc_id").alias("component_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("key") == F.col("component"))
+    return found.join(ids, "key").join(named, "component").select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _links(ws: Workspace, docs: DataFrame, members: DataFrame, bands: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """node, component of the classes that are linked; None if there is no link. members: bucket, rep, size, n."""
+    nodes = members.select(F.col("rep").alias("key")).distinct()
+    sets = ws.table(full_sets(docs.join(nodes, "key", "left_semi"), k))
     central = members.groupBy("rep").agg(F.sum("n").alias("company"))
-    first = members.join(central, "rep").groupBy("key").agg(F.max(F.struct("company", "rep", "size")).alias("p"))
-    first = first.select("key", F.col("p.rep").alias("p"), F.col("p.size").alias("p_size"))
-    pairs = members.join(first, "key").where(f"rep <> p and least(size, p_size) * 100 >= greatest(size, p_size) * {percent}")
+    first = members.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("company", "rep", "size")).alias("p"))
+    first = ws.table(first.select("bucket", F.col("p.rep").alias("p"), F.col("p.size").alias("p_size")))
+    pairs = members.join(first, "bucket").where(f"rep <> p and least(size, p_size) * 100 >= greatest(size, p_size) * {percent}")
     scored = _compare(ws, pairs, sets, percent)
     edges = scored.where("linked").select("a", "b")
     labels = components(ws, edges) if edges.limit(1).count() else None
-    members = _open(ws, members.select("key", "rep", "size"), labels)
-    if not members.limit(1).count():
-        return labels
-    members = _bounded(ws, members, first, scored, sets, bands, percent, labels)
+    old, members = members, _open(ws, members.select("bucket", "rep", "size"), labels)
+    ws.drop(old)
+    if members.limit(1).count():
+        old, all_sets = members, sets
+        members, sets = _bounded(ws, members, first, scored, sets, bands, percent, labels)
+        ws.drop(old, all_sets)
+    ws.drop(first)
+    pivots = PIVOTS
     while members.limit(1).count():
-        most = members.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"))
-        minor = members.join(most, "key").where("comp <> major").select("key", *[F.col(c).alias(f"p_{c}") for c in members.columns if c != "key"])
-        minor = minor.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("p_rep"))).where(F.col("_r") <= PIVOTS).drop("_r")
+        most = members.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"))
+        minor = members.join(most, "bucket").where("comp <> major").select("bucket", *[F.col(c).alias(f"p_{c}") for c in members.columns if c != "bucket"])
+        minor = minor.withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy("p_rep"))).where(F.col("_r") <= pivots).drop("_r")
         minor = ws.table(minor)
         m = "least(shared, p_shared, least(inside, p_inside) + least(outside, p_outside))"
         near = f"comp <> p_comp and 100 * {m} >= {percent} * (size + p_size - {m})"
         # a pair that meets in several buckets is made in the first of them
-        once = "get(array_intersect(bands, p_bands), 0) = key"
-        pairs = members.join(minor, "key").where(f"{near} and {once}").select(F.col("p_rep").alias("p"), "rep")
-        found = _compare(ws, pairs, sets, percent).where("linked").select("a", "b")
+        once = "get(array_intersect(bands, p_bands), 0) = bucket"
+        pairs = members.join(minor, "bucket").where(f"{near} and {once}").select(F.col("p_rep").alias("p"), "rep")
+        scored = _compare(ws, pairs, sets, percent)
+        found = scored.where("linked").select("a", "b")
         if found.limit(1).count():
             edges = edges.union(found)
-            labels = components(ws, edges)
-        rest = members.join(minor.select("key", F.col("p_rep").alias("rep")), ["key", "rep"], "left_anti")
-        members = _open(ws, rest.drop("comp"), labels)
+            was, labels = labels, components(ws, edges)
+            if was is not None:
+                ws.drop(was)
+        rest = members.join(minor.select("bucket", F.col("p_rep").alias("rep")), ["bucket", "rep"], "left_anti")
+        old, members = members, _open(ws, rest.drop("comp"), labels)
+        ws.drop(old, minor)
+        pivots *= 2
+    ws.drop(members, sets)
     return labels
 
 
-def _bounded(ws: Workspace, members: DataFrame, first: DataFrame, scored: DataFrame, sets: DataFrame, bands: DataFrame, percent: int, labels: DataFrame | None) -> DataFrame:
-    """Members with what bounds their common tokens with others, without those that no other can reach."""
-    left = members.select(F.col("rep").alias("doc_id")).distinct()
-    members = members.join(_shared_tokens(sets.join(left, "doc_id", "left_semi")), "rep", "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
-    members = members.join(first, "key").withColumns({"a": F.least("p", "rep"), "b": F.greatest("p", "rep")})
+def _bounded(ws: Workspace, members: DataFrame, first: DataFrame, scored: DataFrame, sets: DataFrame, bands: DataFrame, percent: int, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Members with what bounds their common tokens with others, without those that no other can reach, and their sets."""
+    # the central members of open buckets are among them, so what is common with these counts as shared
+    kept = ws.table(sets.join(members.select("rep").distinct(), "rep", "left_semi"))
+    members = members.drop("comp").join(_shared_tokens(kept), "rep", "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
+    members = members.join(first, "bucket").withColumns({"a": F.least("p", "rep"), "b": F.greatest("p", "rep")})
     members = members.join(scored.select("a", "b", "common"), ["a", "b"], "left")
     # not compared for their sizes: nothing is known about the central member
-    inside = F.when(F.col("rep") == F.col("p"), F.col("shared")).otherwise(F.coalesce("common", "shared"))
-    outside = F.when(F.col("rep") == F.col("p"), F.lit(0).cast("long")).otherwise(F.coalesce(F.col("shared") - F.col("common"), F.col("shared")))
-    members = members.select("key", "rep", "size", "shared", inside.alias("inside"), outside.alias("outside"))
-    least = members.groupBy("key").agg(F.min("size").alias("least"))
+    own = F.col("rep") == F.col("p")
+    inside = F.when(own, F.col("shared")).otherwise(F.coalesce("common", "shared"))
+    outside = F.when(own, F.lit(0).cast("long")).otherwise(F.coalesce(F.col("shared") - F.col("common"), F.col("shared")))
+    members = members.select("bucket", "rep", "size", "shared", inside.alias("inside"), outside.alias("outside"))
+    least = members.groupBy("bucket").agg(F.min("size").alias("least"))
     # even against the smallest partner that could hold all shared tokens
     reach = f"shared * 100 >= {percent} * (size + greatest(least, shared) - shared)"
-    members = members.join(least, "key").where(reach).drop("least")
-    return _open(ws, members.join(bands, "rep"), labels)
+    return _open(ws, members.join(least, "bucket").where(reach).drop("least").join(bands, "rep"), labels), kept
 
 
 def _compare(ws: Workspace, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, common, linked of the pairs (p, rep), each compared once on full sets."""
     once = pairs.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
+    left, right = (sets.select(F.col("rep").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
     return ws.table(compared(once.join(left, "a").join(right, "b"), percent))
 
 
@@ -221,28 +249,29 @@ def _open(ws: Workspace, members: DataFrame, labels: DataFrame | None) -> DataFr
         named = members.withColumn("comp", F.col("rep"))
     else:
         named = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return ws.table(named.join(keys, "key"))
+    several = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    return ws.table(named.join(several, "bucket"))
 
 
 def _shared_tokens(sets: DataFrame) -> DataFrame:
     """rep, shared: how many of a class's tokens some other class of these has too."""
-    kind = dict(sets.dtypes)["doc_id"]
+    kind = dict(sets.dtypes)["rep"]
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
-                number = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(number)), pa.array(np.concatenate(tokens))], ["rep", "token"])
+                row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(np.concatenate(tokens))], ["rep", "token"])
 
-    rows = arrow_map(sets.select("doc_id", "tokens"), run, f"rep {kind}, token long")
-    alone = rows.groupBy("token").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.count("*").alias("n")).where("rep <> other").select("token")
-    return rows.join(alone, "token").groupBy("rep").agg(F.count("*").alias("shared"))
+    rows = arrow_map(sets.select("rep", "tokens"), run, f"rep {kind}, token long")
+    alike = rows.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("token")
+    return rows.join(alike, "token").groupBy("rep").agg(F.count("*").alias("shared"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(Workspace(spark, "neardup"), docs, k=4)
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark.llm import chat, decontaminate, language, media, mixing, neardup, secrets, sharding, substrings, toxicity
-from gridlark.llm.common import Workspace, ordered_prefix, told_apart
+from gridlark.llm.common import Workspace, numbered, ordered_prefix, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -114,6 +114,10 @@ def test_mix_comes_near_its_targets(spark, ws):
     again = mixing.mix(ws, mixing.sized(docs.repartition(7), labels)).collect()
     assert {r.doc_id: r.taken for r in again} == {r.doc_id: r.taken for r in got}
     assert mixing.mix(ws, mixing.sized(empty(spark), labels)).count() == 0
+    # rows of one id and different texts, in any order
+    six = [(1, words(random.Random(i), 3 + 4 * i), "en", "s", 0) for i in range(6)] + [(None, words(random.Random(i), 9), "en", "s", 0) for i in range(3)]
+    runs = [sorted((r.doc_id or 0, r["size"], r.taken) for r in mixing.mix(ws, mixing.sized(frame(spark, x), labels)).collect()) for x in (six, six[::-1])]
+    assert runs[0] == runs[1]
     full = mixing.mixed(ws, docs.unionByName(docs.where("doc_id = 3")), labels)
     assert full.columns == docs.columns and full.count() > 0
 
@@ -180,6 +184,12 @@ def test_near_duplicates_of_odd_tables(spark, ws):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in neardup.near_duplicates(ws, df).collect())
     assert got == [("1", "1", True), ("1", "1", True), ("None", "1", False)]
+    # rows without an id are linked too: to one with an id, or among themselves
+    near, lone = words(random.Random(8), 60), words(random.Random(9), 60)
+    rows = [(5, near), (None, near + " more"), (None, lone), (None, lone + " more"), (None, None), (None, ""), (7, "a b"), (7, lone + " x y")]
+    got = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(ws, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    key = lambda x: str(x)
+    assert sorted(got, key=key) == sorted([(5, 5, True), (None, 5, False), (None, 7, False), (None, 7, False), (None, None, True), (None, None, True), (7, 7, True), (7, 7, True)], key=key)
 
 
 def test_sketch_fills_and_estimates():
@@ -271,6 +281,17 @@ def test_contamination(spark, block):
     assert decontaminate.digests(df, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_blocks_of_a_large_benchmark_are_bounded(spark):
+    items = [("long", words(random.Random(1), 400, 50)), *[("same", words(random.Random(i), 20, 50)) for i in range(20)], (None, words(random.Random(99), 30, 50))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    found = list(decontaminate.blocks(bench, 10, 300, 200))
+    assert max(sum(len(t) + len(k) for k, t in b) for b in found) < 300 + 220
+    docs = [(i, t) for i, (_, t) in enumerate(items)]
+    got = decontaminate.digests(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_bytes=3000)
+    want = plain_contamination(docs, [(k or "", t) for k, t in items], 10)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()} == want
+
+
 def test_fm_index_locates_everything():
     rng = np.random.default_rng(2)
     t = np.append(rng.integers(1, 4, 500), 0)
@@ -398,6 +419,42 @@ def test_ordered_prefix(spark, ws):
         run[g] = run.get(g, 0) + v
 
 
-def test_told_apart(spark):
-    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "c")], "doc_id long, text string")
-    assert told_apart(df).select("doc_id", "_row").distinct().count() == 4
+def test_rows_are_numbered(spark, ws):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, None)], "doc_id long, text string")
+    rows = sorted((r._key, r.doc_id) for r in numbered(ws, df).collect())
+    assert [k for k, _ in rows] == list(range(5)) and [d for _, d in rows] == [1, 1, 1, None, None]
+
+
+def thue_morse(bits):
+    """Two words of 2^bits letters, complements of each other, which agree under any polynomial hash modulo 2^64."""
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", [10, 12])
+def test_words_of_one_polynomial_value_are_told_apart(spark, ws, bits):
+    a, b = thue_morse(bits)
+    docs = [(1, a), (2, b), (3, a + " " + b), (4, b + " " + a), (5, a.upper())]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(ws, df, k=4).collect()}
+    assert got == brute.near_duplicates(docs, 4, 80)
+    items = [("x", a), ("y", b + " " + a)]
+    found = decontaminate.digests(df, spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found} == plain_contamination(docs, items, 10)
+    lines = [(i, "x" * 30 + t + "y" * 30) for i, t in docs]
+    rows = substrings.without_repeats(ws, spark.createDataFrame(lines, "doc_id long, text string")).collect()
+    want = brute.repeats(lines, 200)
+    assert {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows} == want
+
+
+def test_word_hashes():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 100, 4000).astype(np.uint8)
+    start = rng.integers(0, 3900, 3000)
+    end = start + rng.integers(1, 100, 3000)
+    seen: dict = {}
+    for h, s, e in zip(word_hashes(data, start, end).tolist(), start, end, strict=True):
+        assert seen.setdefault(h, data[s:e].tobytes()) == data[s:e].tobytes()
+    assert len(seen) == len({data[s:e].tobytes() for s, e in zip(start, end, strict=True)})
