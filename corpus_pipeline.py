@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm import decontaminate, language, mixing, neardup, sharding
-from gridlark.llm.common import Workspace, ordered_prefix
+from gridlark.llm.common import Workspace, doubtful_ids, numbered, prepare
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Where no language can be learned (no labels, or only labels of held-out rows), texts with a letter stay by that rule alone.
     """
+    prepare(spark)
     langs, logs = language.learned(docs.select("doc_id", "text", "lang"))
     if not langs:
         return docs.where(F.rlike("text", F.lit(r"\p{L}")))
@@ -31,38 +32,41 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are judged by their texts, also where they share an id or have none: rows without an id come after all
     others, rows of one id are told apart by their contents. Rows of one id and text are one document.
     """
+    prepare(spark)
     ws = Workspace(spark, "neardup")
-    doubt = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count()
-    if not doubt:
-        gone = ws.table(neardup.near_duplicates(ws, docs, k=5).where("not kept").select("doc_id").distinct())
+    if not doubtful_ids(docs):
+        found = neardup.linked(ws, docs.select(F.col("doc_id").alias("key"), "text"), k=5)
+        gone = ws.table(found.where("key <> component").select(F.col("key").alias("doc_id")))
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # the rank in that order is the key; rows alike in all columns are interchangeable
-    alike = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    told = docs.withColumns({"_like": alike, "_n": F.monotonically_increasing_id(), "_one": F.lit(1).cast("long")})
-    order = [F.col("doc_id").asc_nulls_last(), F.col("_like"), F.col("_n")]
-    keyed = ws.table(ordered_prefix(ws, told, order, [], {"_key": "_one"}).select(*docs.columns, "_key"))
-    found = neardup.near_duplicates(ws, keyed.select(F.col("_key").alias("doc_id"), "text"), k=5)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_key"))
-    # texts without a word are linked to nothing
-    same = keyed.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min("_key").alias("_first"))
-    again = keyed.join(same, keyed["doc_id"].eqNullSafe(same["doc_id"]) & keyed["text"].eqNullSafe(same["text"])).where("_key <> _first").select("_key")
-    gone = ws.table(gone.unionByName(again).distinct())
+    keyed = numbered(ws, docs)
+    found = neardup.linked(ws, keyed.select(F.col("_key").alias("key"), "text"), k=5)
+    gone = found.where("key <> component").select(F.col("key").alias("_key"))
+    # texts without a word are linked to nothing; of those of one id, equal ones are one document
+    bare = found.where("n_shingles = 0").select(F.col("key").alias("_key"))
+    text = [F.coalesce("text", F.lit("")).alias("_text"), F.col("text").isNull().alias("_none")]
+    bare = keyed.where("doc_id is not null").join(bare, "_key").select("doc_id", "_key", *text)
+    first = bare.groupBy("doc_id", "_text", "_none").agg(F.min("_key").alias("_first"))
+    again = bare.join(first, ["doc_id", "_text", "_none"]).where("_key <> _first").select("_key")
+    gone = ws.table(gone.unionByName(again))
     return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages leave the texts; documents of nothing else go."""
+    prepare(spark)
     clean = decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, none to three times."""
+    prepare(spark)
     return mixing.mixed(Workspace(spark, "mix"), docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, size, text_crc32, hilbert, shard and slot of every row."""
+    prepare(spark)
     return sharding.shard(Workspace(spark, "shards"), sharding.measured(docs))
 
 
