@@ -2,7 +2,8 @@
 
 A hash within d bits of another agrees with it in one of d + 1 disjoint pieces, so the distance join is an equi-join
 on pieces with the distance as a residual filter; equal hashes are collapsed first, so that a hash shared by many
-images costs one row in the search.
+images costs one row in the search. At the usual distance of 5 a piece of 64 bits has 10 or 11, so 0.36 % of unlike pairs
+are looked at; at 0 it is a plain equality. Larger distances make shorter pieces: 8 looks at 5 %, 12 at 44 %.
 """
 
 from __future__ import annotations

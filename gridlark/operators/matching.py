@@ -84,6 +84,29 @@ def greedy_match(predictions: DataFrame, truth: DataFrame, thresholds: Sequence[
     return joined.select(*[every[c] for c in every.columns], matched.alias("is_tp"), F.coalesce("iou", F.lit(0.0)).alias("best_iou"), F.when(matched, F.col("gt_idx")).alias("gt_idx"), F.when(matched, F.col("gt_class")).alias("gt_class"))
 
 
+def hit_masks(predictions: DataFrame, truth: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """predictions with hits: bit i is set if the prediction is a match of its class at the i-th overlap threshold.
+
+    As greedy_match for each threshold, but each image's pairs and each prediction are one row for all thresholds. In an
+    image without a contested box a prediction's overlap says it all; only others are folded, once per threshold.
+    """
+    pairs = overlaps(predictions, truth, least=min(thresholds))
+    keys = ["image_id", "pred_class"]
+    item = F.struct((-F.col("confidence")).alias("order"), "pred_idx", (-F.col("iou")).alias("far"), "gt_idx", "iou", "gt_class")
+    groups = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("pairs"), F.count("*").alias("n"))
+    lone = (F.size(F.array_distinct("pairs.pred_idx")) == F.col("n")) & (F.size(F.array_distinct("pairs.gt_idx")) == F.col("n"))
+    bits = lambda iou: sum((F.when(iou >= t, 1 << i).otherwise(0) for i, t in enumerate(thresholds)), F.lit(0))
+    plain = F.transform("pairs", lambda x: F.struct(x["pred_idx"].alias("pred_idx"), bits(x["iou"]).alias("hits")))
+    won = lambda i, t: F.transform(F.filter(_greedy(F.col("pairs"), F.lit(float(t))), lambda m: m["tp"]), lambda m: F.struct(m["pred_idx"].alias("pred_idx"), F.lit(1 << i).alias("hits")))
+    folded = F.flatten(F.array(*[won(i, t) for i, t in enumerate(thresholds)]))
+    one = lambda df, found: df.select(*keys, F.explode(found).alias("m")).select(*keys, "m.pred_idx", "m.hits")
+    groups = groups.withColumn("_lone", lone)
+    found = one(groups, F.when(F.col("_lone"), plain).otherwise(folded)).groupBy(*keys, "pred_idx").agg(F.sum("hits").cast("int").alias("hits"))
+    found = found.select(F.col("image_id").alias("_image"), F.col("pred_class").alias("_class"), F.col("pred_idx").alias("_pred"), "hits")
+    on = (F.col("image_id") == F.col("_image")) & (F.col("class_id") == F.col("_class")) & (F.col("pred_idx") == F.col("_pred"))
+    return predictions.join(found, on, "left").drop("_image", "_class", "_pred").withColumn("hits", F.coalesce("hits", F.lit(0)))
+
+
 def best_overlap(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """predictions with the best overlap with a box of their class, and of any class with that class (-1: none)."""
     pairs = overlaps(predictions, truth, same_class=False)

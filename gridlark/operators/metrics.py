@@ -1,8 +1,7 @@
 """Detection and image-level metrics over match tables.
 
-A ranking of all predictions of a class is one window of as many rows as the class has predictions. To keep
-that parallel, running counts are taken over (class, confidence) groups first where only counts at thresholds are
-asked for; the full curve is made where every rank is a row of the result.
+Counts at thresholds are taken over bins of confidence, rankings over parts of the order (see ranking.py), and a
+curve's interpolation over its 101 steps of recall, so no window holds all predictions of a class.
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.functions.boxes import ratio, rounded
-from gridlark.operators.matching import IOU_STEPS, greedy_match
+from gridlark.operators.matching import IOU_STEPS, hit_masks
+from gridlark.operators.ranking import by_confidence, running
 
 # Confidence thresholds of the global and the class-wise sweep, and the precision asked for.
 THRESHOLDS = (0.05, 0.10, 0.20, 0.25, 0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90)
@@ -75,33 +75,43 @@ def operating_points(rows: DataFrame, target: float = TARGET_PRECISION) -> DataF
 
 def pr_curve(matches: DataFrame, counts: DataFrame) -> DataFrame:
     """Every prediction's rank with running tp, fp, precision and recall, per class and overlap threshold."""
-    order = Window.partitionBy("iou_thr", "class_id").orderBy(F.col("confidence").desc(), "image_id", "pred_idx")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = matches.join(F.broadcast(counts), "class_id")
-    rows = rows.withColumns({"rank": F.row_number().over(order), "tp": F.sum(F.col("is_tp").cast("long")).over(run)})
+    rows = matches.join(F.broadcast(counts), "class_id")  # a row per configured class
+    rows = rows.withColumns({"_one": F.lit(1).cast("long"), "_hit": F.col("is_tp").cast("long")})
+    rows = running(rows, ["iou_thr", "class_id"], *by_confidence(), {"rank": "_one", "tp": "_hit"}).drop("_one", "_hit")
     rows = rows.withColumn("fp", F.col("rank") - F.col("tp"))
     return rows.withColumns({"precision": F.col("tp") / F.col("rank"), "recall": F.when(F.col("gt") > 0, F.col("tp") / F.col("gt")).otherwise(0.0)})
 
 
-def average_precision(curve: DataFrame, counts: DataFrame, thresholds: Sequence[float]) -> DataFrame:
-    """101-point interpolated AP per overlap threshold and class; classes without boxes or predictions get 0.
+def average_precision(masks: DataFrame, counts: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """iou_thr, class_id, gt, precision and recall of all predictions, ap (101 points, interpolated), from predictions
+    with hits (see hit_masks). Classes without boxes or predictions get 0.
 
-    Recall never falls along the ranking, so the best precision at recall t or more is a running maximum from the end.
-    Only ranks with a hit can be such a maximum, which leaves a row per true box found.
+    The interpolated precision at a recall step is the best precision of any hit of at least that recall. So each hit
+    only counts for the last step that it reaches, and the steps' maxima are carried down from the highest one.
     """
-    spark = curve.sparkSession
-    after = Window.partitionBy("iou_thr", "class_id").orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    hits = curve.where("is_tp").withColumn("best", F.max("precision").over(after))
-    # a hit serves the recall steps above the hit before it and up to its own
-    step = lambda r: F.floor(r * 100 + 1e-9).cast("int")
-    before = F.coalesce(F.lag("recall").over(Window.partitionBy("iou_thr", "class_id").orderBy("rank")), F.lit(-1.0))
-    served = hits.withColumn("_before", before).select("iou_thr", "class_id", "best", F.explode(F.filter(F.sequence(F.greatest(step(F.col("_before")) - 1, F.lit(0)), F.least(step(F.col("recall")) + 1, F.lit(100))), lambda s: (s / 100 <= F.col("recall")) & (s / 100 > F.col("_before")))).alias("s"))
-    ap = served.groupBy(F.col("iou_thr").alias("_thr"), F.col("class_id").alias("_class")).agg((F.sum("best") / 101).alias("ap"))
-    end = curve.groupBy(F.col("iou_thr").alias("_t"), F.col("class_id").alias("_c")).agg(F.max_by("precision", "rank").alias("precision"), F.max_by("recall", "rank").alias("recall"))
-    grid = counts.join(F.broadcast(spark.createDataFrame([(float(t),) for t in thresholds], "iou_thr double")))
-    rows = grid.join(ap, (F.col("iou_thr") == F.col("_thr")) & (F.col("class_id") == F.col("_class")), "left").join(end, (F.col("iou_thr") == F.col("_t")) & (F.col("class_id") == F.col("_c")), "left")
-    some = F.col("gt") > 0
-    return rows.select("iou_thr", "class_id", "gt", *[F.when(some, F.coalesce(c, F.lit(0.0))).otherwise(0.0).alias(c) for c in ("precision", "recall", "ap")])
+    spark = masks.sparkSession
+    numbers = range(len(thresholds))
+    bit = {i: F.shiftright("hits", i).bitwiseAND(F.lit(1)).cast("long") for i in numbers}
+    rows = masks.select("class_id", "confidence", "image_id", "pred_idx", "hits", F.lit(1).cast("long").alias("_one"), *[b.alias(f"_b{i}") for i, b in bit.items()])
+    ranked = running(rows, ["class_id"], *by_confidence(), {"rank": "_one"} | {f"tp{i}": f"_b{i}" for i in numbers})
+    each = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"tp{i}").alias("tp"), (F.col(f"_b{i}") == 1).alias("hit")) for i in numbers]), lambda x: x["hit"])
+    hits = ranked.where("hits <> 0").select("class_id", "rank", F.explode(each).alias("x")).join(F.broadcast(counts), "class_id")
+    recall = F.col("x.tp") / F.col("gt")
+    step = F.least(F.floor(recall * 100 + 1e-9), F.lit(100)).cast("int")
+    step = F.when(step / 100 > recall, step - 1).otherwise(step)
+    best = hits.groupBy(F.col("x.i").alias("i"), "class_id", step.alias("step")).agg(F.max(F.col("x.tp") / F.col("rank")).alias("best"))
+    # a row per step that occurs: each also serves the steps below it, down to the next one that occurs
+    down = Window.partitionBy("i", "class_id").orderBy(F.col("step").desc())
+    upper = F.max("best").over(down.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.coalesce(F.lead("step").over(down), F.lit(-1))
+    served = best.select("i", "class_id", (upper * (F.col("step") - below)).alias("part"))
+    ap = served.groupBy(F.col("i").alias("_i"), F.col("class_id").alias("_class")).agg((F.sum("part") / 101).alias("ap"))
+    totals = rows.groupBy(F.col("class_id").alias("_c")).agg(F.count("*").alias("n"), F.array(*[F.sum(f"_b{i}") for i in numbers]).alias("tps"))
+    grid = spark.createDataFrame([(i, float(t)) for i, t in enumerate(thresholds)], "i int, iou_thr double")
+    grid = counts.join(F.broadcast(grid)).join(ap, (F.col("i") == F.col("_i")) & (F.col("class_id") == F.col("_class")), "left").join(totals, F.col("class_id") == F.col("_c"), "left")
+    some, tp = F.col("gt") > 0, F.get("tps", F.col("i"))
+    value = {"precision": tp / F.col("n"), "recall": tp / F.col("gt"), "ap": F.col("ap")}
+    return grid.select("iou_thr", "class_id", "gt", *[F.when(some, F.coalesce(v, F.lit(0.0))).otherwise(0.0).alias(c) for c, v in value.items()])
 
 
 def evaluate(predictions: DataFrame, truth: DataFrame, classes: Sequence[int]) -> DataFrame:
@@ -109,8 +119,8 @@ def evaluate(predictions: DataFrame, truth: DataFrame, classes: Sequence[int]) -
     inside = lambda df: df.where(F.col("class_id").isin(*classes))
     truth, predictions = inside(truth), inside(predictions)
     counts = class_counts(truth, classes)
-    curve = pr_curve(greedy_match(predictions, truth, IOU_STEPS, misses=False), counts)
-    ap = average_precision(curve, counts, IOU_STEPS)
+    masks = hit_masks(predictions.select("image_id", "pred_idx", "class_id", "confidence", "xc", "yc", "w", "h"), truth, IOU_STEPS)
+    ap = average_precision(masks.select("image_id", "pred_idx", "class_id", "confidence", "hits").persist(), counts, IOU_STEPS)
     at_half = F.col("iou_thr") == IOU_STEPS[0]
     rows = ap.groupBy("class_id", "gt").agg(*[F.max(F.when(at_half, F.col(c))).alias(n) for c, n in (("precision", "precision"), ("recall", "recall"), ("ap", "ap50"))], F.avg("ap").alias("ap50_95"))
     macro = rows.agg(F.lit(None).cast("int").alias("class_id"), F.sum("gt").alias("gt"), *[F.avg(c).alias(c) for c in ("precision", "recall", "ap50", "ap50_95")])

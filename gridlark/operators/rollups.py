@@ -15,8 +15,11 @@ def last_stage(rows: DataFrame, word: str, order: str, exact: bool = False) -> D
 
 
 def deltas(rows: DataFrame, key: str, baseline: str, values: Sequence[str]) -> DataFrame:
-    """rows with value - baseline's value for each value; the baseline is one row."""
-    base = rows.where(F.col(key) == baseline).select(*[F.col(v).alias(f"_{v}") for v in values]).limit(1)
+    """rows with value - baseline's value for each value; no row without a baseline, an error if it has several rows."""
+    own = F.col(key) == baseline
+    base = rows.where(own).agg(F.count("*").alias("_n"), *[F.first(v).alias(f"_{v}") for v in values])
+    several = F.raise_error(F.lit(f"the baseline {baseline} has several rows"))
+    base = base.where("_n > 0").select(*[F.when(F.col("_n") > 1, several).otherwise(F.col(f"_{v}")).alias(f"_{v}") for v in values])
     return rows.crossJoin(F.broadcast(base)).select(*rows.columns, *[(F.col(v) - F.col(f"_{v}")).alias(f"delta_{v}") for v in values])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.functions.catalog import CLASSES
+from gridlark.operators.ranking import lot, running
 
 
 def random_order(seed: int | str, key: Column) -> Column:
@@ -21,13 +22,21 @@ def sample_per_group(rows: DataFrame, group: str, key: str, n: int, seed: int |
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def ratio_split(rows: DataFrame, key: str, seed: int | str, train: float = 0.8, valid: float = 0.1, within: str | None = None) -> DataFrame:
-    """rows with split, cut at whole numbers of rows in the random order, per ``within`` if given."""
-    part = [within] if within else [F.lit(0)]
-    order = Window.partitionBy(*part).orderBy(random_order(seed, F.col(key)), key)
-    n = F.count("*").over(Window.partitionBy(*part))
-    at = F.row_number().over(order)
-    return rows.withColumn("split", F.when(at <= F.floor(n * train), "train").when(at <= F.floor(n * train) + F.floor(n * valid), "valid").otherwise("test"))
+def ratio_split(rows: DataFrame, key: str, seed: int | str, train: float = 0.8, valid: float = 0.1, within: str | None = None, cuts: tuple[float, float] | None = None) -> DataFrame:
+    """rows with split, cut at whole numbers of rows in the random order, per ``within`` if given.
+
+    The parts are floor(n * train) and floor(n * valid) rows and the rest; or, with ``cuts``, the rows up to each cut. Keys
+    tell rows apart. Places in the order come from running counts over its bins, so no group is ordered in one task.
+    """
+    order = random_order(seed, F.col(key))
+    group = [within] if within else []
+    counted = rows.withColumns({"_one": F.lit(1).cast("long")})
+    ranked = running(counted, group, lot(order, 4), [order, F.col(key)], {"_at": "_one"}).drop("_one")
+    total = rows.groupBy(*[F.col(g).alias("_g") for g in group]).agg(F.count("*").alias("_n"))
+    ranked = ranked.join(total, F.col(within).eqNullSafe(F.col("_g"))).drop("_g") if within else ranked.crossJoin(F.broadcast(total))  # one row
+    n, at = F.col("_n"), F.col("_at")
+    low, high = (F.floor(n * train), F.floor(n * train) + F.floor(n * valid)) if cuts is None else [F.floor(n * c) for c in cuts]
+    return ranked.withColumn("split", F.when(at <= low, "train").when(at <= high, "valid").otherwise("test")).drop("_n", "_at")
 
 
 def group_split(rows: DataFrame, group: str, test_share: float = 0.25, valid_share: float = 0.15) -> DataFrame:
@@ -192,16 +201,16 @@ def _crossing(rows: DataFrame, levels: list[Column], order: list[str], seen: dic
 
 def oversample(images: DataFrame, key: str, target: int, seed: int | str) -> DataFrame:
     """class_id, key, copy: ``target`` rows of each class, in key order if there are more images, else all of them and
-    random further picks."""
+    random further picks. Only classes of fewer images than the target, which are small, are numbered as a whole."""
+    counts = images.groupBy(F.col("class_id").alias("_c")).agg(F.count("*").alias("_n"))
     w = Window.partitionBy("class_id").orderBy(key)
-    ranked = images.withColumns({"_r": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy("class_id"))})
-    first = ranked.where(F.col("_r") <= target).select("class_id", key, F.lit(0).alias("copy"))
-    short = ranked.groupBy("class_id").agg(F.max("_n").alias("n")).where(F.col("n") < target)
-    picks = short.select("class_id", "n", F.explode(F.sequence(F.col("n") + 1, F.lit(target).cast("long"))).alias("_i"))
-    lot = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "class_id", "_i")), 1, 8), 16, 10).cast("long") % F.col("n") + 1
-    picks = picks.select(F.col("class_id").alias("_c"), lot.alias("_lot"), (F.col("_i") - F.col("n")).cast("int").alias("copy"))
-    more = ranked.join(picks, (F.col("class_id") == F.col("_c")) & (F.col("_r") == F.col("_lot"))).select("class_id", key, "copy")
-    return first.unionByName(more)
+    first = images.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= target)
+    short = counts.where(F.col("_n") < target)
+    picks = short.select("_c", "_n", F.explode(F.sequence(F.col("_n") + 1, F.lit(target).cast("long"))).alias("_i"))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "_c", "_i")), 1, 8), 16, 10).cast("long") % F.col("_n") + 1
+    picks = picks.select("_c", place.alias("_lot"), (F.col("_i") - F.col("_n")).cast("int").alias("copy"))
+    more = first.join(picks, (F.col("class_id") == F.col("_c")) & (F.col("_r") == F.col("_lot"))).select("class_id", key, "copy")
+    return first.select("class_id", key, F.lit(0).alias("copy")).unionByName(more)
 
 
 def replicate(rows: DataFrame, times: int) -> DataFrame:
@@ -209,13 +218,16 @@ def replicate(rows: DataFrame, times: int) -> DataFrame:
 
 
 def top_and_random(rows: DataFrame, group: str, key: str, order: Sequence[Column], cap: int, seed: int | str, top: float = 0.5) -> DataFrame:
-    """``cap`` rows of each group: the first part by the order, the rest in random order; with the way of choice."""
-    part = Window.partitionBy(group)
-    ranked = rows.withColumn("_r", F.row_number().over(part.orderBy(*order, key)))
-    lead = F.lit(int(cap * top))
-    ranked = ranked.withColumn("chosen_by", F.when(F.col("_r") <= lead, "rank").otherwise("random"))
-    lots = part.orderBy(F.col("chosen_by") != "rank", F.when(F.col("chosen_by") == "random", random_order(seed, F.col(key))), "_r")
-    return ranked.withColumn("_k", F.row_number().over(lots)).where(F.col("_k") <= cap).drop("_r", "_k")
+    """``cap`` rows of each group: the first part by the order, the rest in random order; with the way of choice.
+
+    Both parts are firsts of a group, which Spark cuts before the shuffle. Keys tell a group's rows apart.
+    """
+    part, lead = Window.partitionBy(group), int(cap * top)
+    first = rows.withColumn("_r", F.row_number().over(part.orderBy(*order, key))).where(F.col("_r") <= lead).drop("_r")
+    taken = first.select(F.col(group).alias("_g"), F.col(key).alias("_k"))  # ``lead`` rows of each group
+    rest = rows.join(taken, F.col(group).eqNullSafe(F.col("_g")) & (F.col(key) == F.col("_k")), "left_anti")
+    rest = rest.withColumn("_r", F.row_number().over(part.orderBy(random_order(seed, F.col(key)), key))).where(F.col("_r") <= cap - lead).drop("_r")
+    return first.withColumn("chosen_by", F.lit("rank")).unionByName(rest.withColumn("chosen_by", F.lit("random")))
 
 
 def capped_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[Column], cap: int) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.operators import decisions, duplicates, matching, metrics, splits
+from gridlark.operators import decisions, duplicates, matching, metrics, ranking, rollups, splits
 from gridlark.sources import labels, sinks
 
 BOX = "class_id int, xc double, yc double, w double, h double"
@@ -61,11 +61,46 @@ def test_one_pass_serves_all_confidence_floors(spark):
 
 def test_average_precision_by_hand(spark):
     curve_rows = [(1, 0, 3, 0.9, True), (1, 1, 3, 0.8, False), (1, 2, 3, 0.7, True)]
-    m = spark.createDataFrame(curve_rows, "image_id long, pred_idx long, class_id int, confidence double, is_tp boolean").withColumn("iou_thr", F.lit(0.5))
+    m = spark.createDataFrame(curve_rows, "image_id long, pred_idx long, class_id int, confidence double, is_tp boolean").withColumn("hits", F.col("is_tp").cast("int"))
     counts = spark.createDataFrame([(3, 2), (4, 1)], "class_id int, gt long")
-    ap = {r.class_id: r.ap for r in metrics.average_precision(metrics.pr_curve(m, counts), counts, (0.5,)).collect()}
-    assert ap[3] == pytest.approx((51 + 50 * 2 / 3) / 101)
-    assert ap[4] == 0
+    rows = {r.class_id: r for r in metrics.average_precision(m, counts, (0.5,)).collect()}
+    assert rows[3].ap == pytest.approx((51 + 50 * 2 / 3) / 101)
+    assert (rows[3].precision, rows[3].recall) == pytest.approx((2 / 3, 1))
+    assert (rows[4].ap, rows[4].precision, rows[4].recall) == (0, 0, 0)
+
+
+def test_masks_are_the_greedy_match_at_each_threshold(spark):
+    rng = random.Random(11)
+    at = lambda: rng.uniform(0.3, 0.5)
+    t = [(i, k, rng.randint(0, 1), at(), at(), 0.3, 0.3) for i in range(15) for k in range(rng.randint(1, 4))]
+    p = [(i, k, rng.randint(0, 1), at(), at(), 0.3, 0.3, rng.choice([0.1, 0.4, 0.7, 0.9])) for i in range(15) for k in range(7)]
+    steps = (0.5, 0.6, 0.75, 0.9)
+    masks = {(r.image_id, r.pred_idx): r.hits for r in matching.hit_masks(predictions(spark, p), truth(spark, t), steps).collect()}
+    want = dict.fromkeys(masks, 0)
+    for r in matching.greedy_match(predictions(spark, p), truth(spark, t), steps).collect():
+        want[r.image_id, r.pred_idx] |= r.is_tp << steps.index(r.iou_thr)
+    assert len(masks) == len(p) and masks == want and len(set(want.values())) > 3
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_sums(spark, parts):
+    rng = random.Random(12)
+    rows = [(rng.choice(["hot", "hot", "a", None]), i, rng.randint(0, 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, k int, v long").repartition(parts)
+    got = {r.k: (r.v, r.s) for r in ranking.running(df, ["g"], -F.floor(F.col("k") / 7), [F.col("k").desc()], {"s": "v"}).collect()}
+    sums: dict = {}
+    for g, k, v in reversed(rows):
+        sums[g] = sums.get(g, 0) + v
+        assert got[k] == (v, sums[g])
+    assert ranking.running(df.where("false"), ["g"], F.col("k"), [F.col("k")], {"s": "v"}).count() == 0
+
+
+def test_a_baseline_of_several_rows_is_an_error(spark):
+    rows = spark.createDataFrame([("base", 1.0), ("other", 3.0)], "variant string, f1 double")
+    assert {r.variant: r.delta_f1 for r in rollups.deltas(rows, "variant", "base", ["f1"]).collect()} == {"base": 0.0, "other": 2.0}
+    assert rollups.deltas(rows, "variant", "none", ["f1"]).count() == 0
+    with pytest.raises(Exception, match="several rows"):
+        rollups.deltas(rows.union(rows), "variant", "base", ["f1"]).collect()
 
 
 def test_sweep_without_predictions(spark):
