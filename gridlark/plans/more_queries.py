@@ -10,7 +10,7 @@ from gridlark.functions import catalog, hashes, names
 from gridlark.operators import duplicates, matching, profile, rollups, splits
 from gridlark.plans import fixtures as fx
 from gridlark.plans import self_training
-from gridlark.plans.queries import _EXPECTED, _P, _T, ORACLES, QUERIES, query
+from gridlark.plans.queries import _CURVE, _EXPECTED, _IOUS, _P, _SUPPORT, _T, ORACLES, PLANTED, QUERIES, _greedy, planted_hashes, query
 from gridlark.sources import labels, sinks
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -106,9 +106,8 @@ def p17_scenes_held_out(spark: SparkSession, d: str) -> DataFrame:
     return fx.truth(spark, d).where("scene <> 3").groupBy("scene").agg(F.countDistinct("image_id").alias("images"), F.count("*").alias("boxes"))
 
 
-@query(f"SELECT scene, string_agg(m::VARCHAR, '' ORDER BY i) AS mask FROM (SELECT s.scene, i, max(CASE WHEN t.class_id = i THEN 1 ELSE 0 END) AS m FROM (SELECT DISTINCT scene FROM ({_T}) x WHERE gt_idx = 0) s JOIN ({_T}) t ON t.scene = s.scene AND t.image_id % 400 = 0, range(0, 6) r(i) GROUP BY s.scene, i) q GROUP BY scene")
+@query(f"SELECT scene, string_agg(m::VARCHAR, '' ORDER BY i) AS mask FROM (SELECT s.scene, i, max(CASE WHEN t.class_id = i THEN 1 ELSE 0 END) AS m FROM (SELECT DISTINCT scene FROM ({_T}) x WHERE gt_idx = 0) s JOIN ({_T}) t ON t.scene = s.scene, range(0, 6) r(i) GROUP BY s.scene, i) q GROUP BY scene")
 def a04_source_masks(spark: SparkSession, d: str) -> DataFrame:
-    """Over all of truth. The SQL twin looks at one image in 400 and lacks a class where only the others show it."""
     rows = fx.truth(spark, d).select(F.col("scene").alias("source"), "class_id")
     return rollups.source_masks(rows).where("kind = 'source'").select(F.col("source").alias("scene"), F.array_join(F.col("mask").cast("array<string>"), "").alias("mask"))
 
@@ -190,15 +189,14 @@ def k01_union_of_columns(spark: SparkSession, d: str) -> DataFrame:
 _BITS = "list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + {o}] > 0 THEN (1::BIGINT << i::INT) ELSE 0 END))::BIGINT"
 
 
-@query(f"""WITH h AS (SELECT vec_id, label, 'k' || (vec_id // 3)::VARCHAR AS base, {_BITS.format(o=1)} AS h0, {_BITS.format(o=33)} AS h1 FROM embeddings)
-SELECT DISTINCT a.vec_id AS image_id, b.vec_id AS reference_id, 'name' AS kind, true AS verified FROM h a JOIN h b ON a.base = b.base WHERE a.label % 2 = 0 AND b.label % 2 = 1
-UNION SELECT a.vec_id, b.vec_id, 'hash', a.label + 1 = b.label FROM h a JOIN h b ON bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) <= 14 WHERE a.label % 2 = 0 AND b.label % 2 = 1""")
+@query(f"""WITH h AS (SELECT *, 'k' || (vec_id // 3)::VARCHAR AS base FROM ({PLANTED}) x)
+SELECT DISTINCT a.vec_id AS image_id, b.vec_id AS reference_id, 'name' AS kind, true AS verified FROM h a JOIN h b ON a.base = b.base WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1
+UNION SELECT a.vec_id, b.vec_id, 'hash', a.label + 1 = b.label FROM h a JOIN h b ON bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) <= 5 WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1""")
 def j13_reference_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    a, b = hashes.sign_hash(F.col("embedding"))
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "label", F.concat(F.lit("k"), F.floor(F.col("vec_id") / 3).cast("string")).alias("base"), a.alias("h0"), b.alias("h1"))
-    own = rows.where("label % 2 = 0").withColumn("digest", F.col("label") + 1)
-    other = rows.where("label % 2 = 1").withColumn("digest", F.col("label"))
-    return duplicates.against_reference(own, other, ["h0", "h1"], 14, verify_digest="digest")
+    rows = planted_hashes(spark, d).withColumn("base", F.concat(F.lit("k"), F.floor(F.col("image_id") / 3).cast("string")))
+    own = rows.where("image_id % 2 = 0").withColumn("digest", F.col("label") + 1)
+    other = rows.where("image_id % 2 = 1").withColumn("digest", F.col("label"))
+    return duplicates.against_reference(own, other, ["h0", "h1"], 5, verify_digest="digest")
 
 
 # Pictures of 16 rows of 17 grey values drawn from an embedding; the reference has them encoded anew, in coarse steps, and
@@ -211,7 +209,7 @@ _STEP = "CASE vec_id % 4 WHEN 0 THEN 2000 WHEN 1 THEN 200 WHEN 2 THEN 40 ELSE 4
 a AS (SELECT vec_id, base, h0, h1, {_GREY.format(s=2000)} AS g FROM e WHERE vec_id % 2 = 0), b AS (SELECT vec_id, base, h0, h1, {_GREY.format(s=_STEP)} AS g FROM e),
 c AS (SELECT a.vec_id AS image_id, b.vec_id AS reference_id, a.vec_id = b.vec_id AND a.vec_id % 5 = 0 AS same,
 list_sum(list_transform(range(0, 256), lambda k: CASE WHEN (a.g[k + k // 16 + 1] > a.g[k + k // 16 + 2]) <> (b.g[k + k // 16 + 1] > b.g[k + k // 16 + 2]) THEN 1 ELSE 0 END)) AS far
-FROM a JOIN b ON bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) <= 14)
+FROM a JOIN b ON bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) <= 5)
 SELECT DISTINCT a.vec_id AS image_id, b.vec_id AS reference_id, 'name' AS kind, true AS verified FROM a JOIN b ON a.base = b.base
 UNION SELECT image_id, reference_id, 'hash', same OR far <= 10 FROM c""")
 def j13_verified_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +222,7 @@ def j13_verified_duplicates(spark: SparkSession, d: str) -> DataFrame:
     hashed = lambda r, s: r.withColumn("_grey", grey(s)).withColumns(dict(zip(limbs, hashes.difference_hash(F.col("_grey")), strict=True)))
     own = hashed(rows.where("vec_id % 2 = 0"), F.lit(2000)).withColumn("digest", F.col("vec_id"))
     other = hashed(rows, F.expr(_STEP)).withColumn("digest", F.when(F.col("vec_id") % 5 == 0, F.col("vec_id")))
-    return duplicates.against_reference(own, other, ["h0", "h1"], 14, verify_digest="digest", verify_limbs=limbs)
+    return duplicates.against_reference(own, other, ["h0", "h1"], 5, verify_digest="digest", verify_limbs=limbs)
 
 
 @query(f"SELECT image_id, gt_idx, greatest(0, least(639, trunc((xc - w / 2) * 640)::INT)) AS x1, greatest(0, least(479, trunc((yc - h / 2) * 480)::INT)) AS y1 FROM ({_T}) t")
@@ -233,7 +231,24 @@ def f13_pixel_corners(spark: SparkSession, d: str) -> DataFrame:
     return fx.truth(spark, d).select("image_id", "gt_idx", at[0].alias("x1"), at[1].alias("y1"))
 
 
-@query(None)
+def _ap(found: str) -> str:
+    """Mean average precision of each class over the overlap thresholds."""
+    return f"""(WITH RECURSIVE {_greedy(thresholds=_IOUS, where="class_id IN (0, 3, 4, 5)", found=found)}, {_CURVE.format(thr=_IOUS)} SELECT class_id, avg(ap) AS ap FROM ap GROUP BY class_id)"""
+
+
+def _accepted(ap: str) -> str:
+    """What the thresholds that follow from the average precision accept."""
+    return f"""(SELECT * FROM (SELECT ps.*, 0.42::DOUBLE * least(1.0, confidence / threshold)
+      + 0.25::DOUBLE * (0.7::DOUBLE * CASE WHEN w * h < 0.0005 THEN w * h / 0.0005 WHEN w * h > 0.7 THEN greatest(0.0, 1 - (w * h - 0.7) / 0.7) ELSE 1.0 END + 0.3::DOUBLE * greatest(0.0, 1 - (greatest(w / h, h / w) - 1) / 5.0))
+      + 0.15::DOUBLE * CASE WHEN xc - w / 2 < 0.002 OR yc - h / 2 < 0.002 OR xc + w / 2 > 0.998 OR yc + h / 2 > 0.998 THEN 0.0 ELSE 1.0 END
+      + 0.18::DOUBLE * CASE WHEN ({_EXPECTED}) IS NULL THEN 0.75 WHEN ({_EXPECTED}) = ps.class_id THEN 1.0 ELSE 0.0 END AS quality
+      FROM ps JOIN (SELECT c.class_id, round(greatest(0.40::DOUBLE, least(0.85::DOUBLE, 0.55::DOUBLE + greatest(0.0::DOUBLE, 0.90::DOUBLE - coalesce(a.ap, 0.0::DOUBLE)) * 0.30::DOUBLE)), 9) AS threshold FROM (VALUES (0), (3), (4), (5)) c(class_id) LEFT JOIN {ap} a ON a.class_id = c.class_id) th ON th.class_id = ps.class_id) q
+      WHERE support >= 2 AND quality >= 0.72 AND coalesce(({_EXPECTED}) = class_id, true))"""
+
+
+@query(f"""WITH {_SUPPORT}, a0 AS MATERIALIZED {_ap(_P)}, d0 AS MATERIALIZED {_accepted("a0")}, a1 AS MATERIALIZED {_ap("SELECT * FROM d0")}, d1 AS MATERIALIZED {_accepted("a1")}
+SELECT 0 AS round, image_id, pred_idx, class_id, round(quality + 1e-10, 6) AS quality_score FROM d0 UNION ALL SELECT 1, image_id, pred_idx, class_id, round(quality + 1e-10, 6) FROM d1""")
 def t02_self_training(spark: SparkSession, d: str) -> DataFrame:
     rows = matching.view_support(fx.predictions(spark, d), fx.views(spark, d)).withColumn("expected", F.expr(_EXPECTED))
-    return self_training.rounds(rows, fx.truth(spark, d), catalog.EVALUATED)
+    found = self_training.rounds(rows, fx.truth(spark, d), catalog.EVALUATED)
+    return found.withColumn("quality_score", F.round(F.col("quality_score") + 1e-10, 6))

@@ -44,12 +44,12 @@ def _iou(a: str, b: str) -> str:
     return f"({_inter(a, b)}) / ({_area(a)} + {_area(b)} - ({_inter(a, b)}))"
 
 
-def _greedy(same_class: bool = True, thresholds: str = "(VALUES (0.5::DOUBLE)) v(thr)", where: str = "true", name: str = "m") -> str:
+def _greedy(same_class: bool = True, thresholds: str = "(VALUES (0.5::DOUBLE)) v(thr)", where: str = "true", name: str = "m", found: str = _P) -> str:
     """CTEs up to ``m`` (image_id, pred_idx, thr, gt, gt_class, iou): what the greedy match gives each prediction."""
     on = "AND p.class_id = t.class_id" if same_class else ""
     cls = "p.class_id" if same_class else "0"
     return f"""
-t AS (SELECT * FROM ({_T}) x WHERE {where}), p AS (SELECT * FROM ({_P}) x WHERE {where}),
+t AS (SELECT * FROM ({_T}) x WHERE {where}), p AS (SELECT * FROM ({found}) x WHERE {where}),
 pairs AS (SELECT p.image_id, p.pred_idx, {cls} AS grp, p.confidence, t.gt_idx, t.class_id AS gt_class, {_iou("p", "t")} AS iou FROM p JOIN t ON p.image_id = t.image_id {on}),
 cand AS (SELECT image_id, grp, pred_idx, any_value(confidence) AS confidence, list({{'iou': iou, 'gt': gt_idx, 'cls': gt_class}} ORDER BY iou DESC, gt_idx) AS cands FROM pairs WHERE iou > 0 GROUP BY image_id, grp, pred_idx),
 r AS (SELECT cand.*, thr, row_number() OVER (PARTITION BY image_id, grp, thr ORDER BY confidence DESC, pred_idx) AS rn FROM cand, {thresholds}),
@@ -331,10 +331,13 @@ def j09_missed_boxes(spark: SparkSession, d: str) -> DataFrame:
     return matching.missed(fx.predictions(spark, d), _truth(spark, d), 4, (3, 5)).select("image_id", "gt_idx", "category", F.coalesce("confused_with", F.lit(-1)).alias("confused_with"))
 
 
+_CORNERS = "xc - w / 2 AS x1, yc - h / 2 AS y1, xc + w / 2 AS x2, yc + h / 2 AS y2, ((xc + w / 2) - (xc - w / 2)) * ((yc + h / 2) - (yc - h / 2)) AS area"
 _SUPPORT = f"""
-p AS ({_P}), v AS ({_V}),
-votes AS (SELECT p.image_id, p.pred_idx, count(DISTINCT v.view_id) AS votes FROM p JOIN v ON p.image_id = v.image_id AND p.class_id = v.class_id WHERE {_iou("p", "v")} >= 0.6 GROUP BY p.image_id, p.pred_idx),
-ps AS (SELECT p.*, (coalesce(votes, 0) + 1)::INT AS support FROM p LEFT JOIN votes x ON p.image_id = x.image_id AND p.pred_idx = x.pred_idx)"""
+p AS MATERIALIZED ({_P}), pb AS MATERIALIZED (SELECT image_id, pred_idx, class_id, {_CORNERS} FROM p), vb AS MATERIALIZED (SELECT image_id, view_id, class_id, {_CORNERS} FROM ({_V}) v),
+pv AS MATERIALIZED (SELECT pb.image_id, pb.pred_idx, vb.view_id, pb.area + vb.area AS both_areas, greatest(0.0, least(pb.x2, vb.x2) - greatest(pb.x1, vb.x1)) * greatest(0.0, least(pb.y2, vb.y2) - greatest(pb.y1, vb.y1)) AS common
+  FROM pb JOIN vb ON pb.image_id = vb.image_id AND pb.class_id = vb.class_id),
+votes AS MATERIALIZED (SELECT image_id, pred_idx, count(*) AS votes FROM (SELECT DISTINCT image_id, pred_idx, view_id FROM pv WHERE common / (both_areas - common) >= 0.6) n GROUP BY image_id, pred_idx),
+ps AS MATERIALIZED (SELECT p.*, (coalesce(votes, 0) + 1)::INT AS support FROM p LEFT JOIN votes x ON p.image_id = x.image_id AND p.pred_idx = x.pred_idx)"""
 
 
 @query(f"WITH {_SUPPORT} SELECT image_id, pred_idx, support FROM ps")
@@ -361,9 +364,9 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return decisions.scored(rows.withColumns({"expected": F.expr(_EXPECTED), "threshold": F.expr(_THRESHOLD).cast("double")}))
 
 
-@query(f"WITH {_SUPPORT}, {_SCORED} SELECT image_id, pred_idx, round(quality, 9) AS quality_score, array_to_string(reasons, '|') AS reasons FROM q")
+@query(f"WITH {_SUPPORT}, {_SCORED} SELECT image_id, pred_idx, round(quality + 1e-10, 6) AS quality_score, array_to_string(reasons, '|') AS reasons FROM q")
 def f17_quality_score(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("image_id", "pred_idx", F.round("quality_score", 9).alias("quality_score"), F.array_join("reasons", "|").alias("reasons"))
+    return _scored(spark, d).select("image_id", "pred_idx", F.round(F.col("quality_score") + 1e-10, 6).alias("quality_score"), F.array_join("reasons", "|").alias("reasons"))
 
 
 _DECIDED = f"""{_SUPPORT}, {_SCORED},
@@ -452,18 +455,27 @@ def j10_name_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BITS = "list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + {o}] > 0 THEN (1::BIGINT << i::INT) ELSE 0 END))::BIGINT"
+# Four vectors in a row share a hash but for planted flips: none, 3 bits, 5 bits, 6 bits. Their datasets take turns.
+_FLIPS = ("CASE vec_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 7 WHEN 2 THEN 28 ELSE 2016 END", "CASE vec_id % 4 WHEN 2 THEN 6 ELSE 0 END")
+PLANTED = f"""SELECT e.vec_id, e.label, e.vec_id % 3 AS dataset, xor({_BITS.format(o=1).replace("embedding", "l.embedding")}, ({_FLIPS[0].replace("vec_id", "e.vec_id")})::BIGINT) AS h0, xor({_BITS.format(o=33).replace("embedding", "l.embedding")}, ({_FLIPS[1].replace("vec_id", "e.vec_id")})::BIGINT) AS h1
+FROM embeddings e JOIN (SELECT vec_id AS lead, embedding FROM embeddings) l ON l.lead = e.vec_id - e.vec_id % 4"""
 
 
-def _hashed(spark: SparkSession, d: str) -> DataFrame:
+def planted_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """image_id, label, dataset, h0, h1."""
     a, b = hashes.sign_hash(F.col("embedding"))
-    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), (F.col("label") % 3).alias("dataset"), a.alias("h0"), b.alias("h1"))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    leads = rows.where("vec_id % 4 = 0").select(F.col("vec_id").alias("_lead"), a.alias("_a"), b.alias("_b"))
+    joined = rows.select(F.col("vec_id"), "label").join(leads, F.col("vec_id") - F.col("vec_id") % 4 == F.col("_lead"))
+    flipped = [F.col(c).bitwiseXOR(F.expr(f).cast("long")).alias(h) for c, f, h in zip(("_a", "_b"), _FLIPS, ("h0", "h1"), strict=True)]
+    return joined.select(F.col("vec_id").alias("image_id"), "label", (F.col("vec_id") % 3).alias("dataset"), *flipped)
 
 
-@query(f"""WITH h AS (SELECT vec_id, label % 3 AS dataset, {_BITS.format(o=1)} AS h0, {_BITS.format(o=33)} AS h1 FROM embeddings)
+@query(f"""WITH h AS ({PLANTED})
 SELECT a.vec_id AS left_id, b.vec_id AS right_id, (bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND a.dataset <> b.dataset
-WHERE bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) <= 12""")
+WHERE bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) <= 5""")
 def j11_hash_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.by_hash(_hashed(spark, d), ["h0", "h1"], 12)
+    return duplicates.by_hash(planted_hashes(spark, d), ["h0", "h1"], 5)
 
 
 # ---------------------------------------------------------------- splits and samples
@@ -488,7 +500,20 @@ def l05_group_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.group_split(spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_mktsegment").alias("group")), "group")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE im AS (SELECT image_id, list(DISTINCT class_id) FILTER (WHERE class_id IN (0, 3, 4, 5)) AS cls FROM ({_T}) t GROUP BY image_id),
+b AS (SELECT 'clip_' || (image_id // 3)::VARCHAR AS g, unnest(coalesce(cls, []) || [-1]) AS c FROM im), k AS (SELECT g, c, count(*) AS n FROM b GROUP BY g, c),
+tg AS (SELECT c, greatest(1, round_even(sum(n) * 0.5, 0)) AS target FROM k WHERE c >= 0 GROUP BY c),
+gr AS (SELECT g, max(n) FILTER (WHERE c = -1) AS size, count(*) FILTER (WHERE c >= 0) AS classes,
+       coalesce(max(n) FILTER (WHERE c = 0), 0) AS n0, coalesce(max(n) FILTER (WHERE c = 3), 0) AS n3, coalesce(max(n) FILTER (WHERE c = 4), 0) AS n4, coalesce(max(n) FILTER (WHERE c = 5), 0) AS n5 FROM k GROUP BY g),
+lm AS (SELECT greatest(1, round_even(count(*) * 0.5, 0)) AS most FROM gr),
+tt AS (SELECT coalesce(max(target) FILTER (WHERE c = 0), 0) AS t0, coalesce(max(target) FILTER (WHERE c = 3), 0) AS t3, coalesce(max(target) FILTER (WHERE c = 4), 0) AS t4, coalesce(max(target) FILTER (WHERE c = 5), 0) AS t5 FROM tg),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY classes DESC, size DESC, md5('42:' || g), g) AS rn FROM gr),
+st AS (SELECT 0::BIGINT AS rn, NULL::VARCHAR AS g, false AS took, 0::BIGINT AS u0, 0::BIGINT AS u3, 0::BIGINT AS u4, 0::BIGINT AS u5, 0::BIGINT AS n
+  UNION ALL SELECT rk.rn, rk.g, f.ok, u0 + CASE WHEN f.ok THEN n0 ELSE 0 END, u3 + CASE WHEN f.ok THEN n3 ELSE 0 END, u4 + CASE WHEN f.ok THEN n4 ELSE 0 END, u5 + CASE WHEN f.ok THEN n5 ELSE 0 END, n + f.ok::BIGINT
+  FROM st JOIN rk ON rk.rn = st.rn + 1, lm, tt, LATERAL (SELECT n < lm.most AND ((n0 > 0 AND u0 < t0) OR (n3 > 0 AND u3 < t3) OR (n4 > 0 AND u4 < t4) OR (n5 > 0 AND u5 < t5)) AS ok) f),
+fold AS MATERIALIZED (SELECT g, took FROM st WHERE g IS NOT NULL), nt AS (SELECT count(*) FILTER (WHERE took) AS n FROM fold),
+up AS (SELECT g, row_number() OVER (ORDER BY md5('42:' || g), g) AS r FROM fold WHERE NOT took)
+SELECT fold.g AS "group", CASE WHEN took OR up.r <= (SELECT most FROM lm) - (SELECT n FROM nt) THEN 'calibration' ELSE 'locked_final_test' END AS split FROM fold LEFT JOIN up ON up.g = fold.g""")
 def l07_calibration_split(spark: SparkSession, d: str) -> DataFrame:
     """Half of the base names, each of up to three exports of one frame, with the evaluated classes of their images."""
     held = F.array_compact(F.collect_set(F.when(F.col("class_id").isin(*catalog.EVALUATED), F.col("class_id"))))

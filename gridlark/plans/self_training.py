@@ -16,19 +16,21 @@ from gridlark.operators import decisions, metrics
 
 
 def class_thresholds(ap: dict[int, float], classes: Sequence[int], spark) -> dict[int, float]:
+    """By the average precision, to nine decimals."""
     rows = spark.createDataFrame([(c, ap.get(c)) for c in classes], "class_id int, ap double")
-    return {r["class_id"]: r["t"] for r in rows.select("class_id", dynamic_threshold(F.col("ap")).alias("t")).collect()}
+    return {r["class_id"]: r["t"] for r in rows.select("class_id", F.round(dynamic_threshold(F.col("ap")), 9).alias("t")).collect()}
 
 
 def rounds(predictions: DataFrame, truth: DataFrame, classes: Sequence[int], count: int = 2) -> DataFrame:
     """round, image_id, pred_idx, class_id, quality_score of the boxes accepted in each round.
 
-    predictions have expected and support. A round's thresholds come from the average precision of the boxes that
-    the round before accepted (at first: of all predictions).
+    predictions have expected and support. A round's thresholds come from the average precision, over all overlap
+    thresholds, of the boxes that the round before accepted (at first: of all predictions).
     """
     spark, current, out = predictions.sparkSession, predictions, None
     for number in range(count):
-        ap = {r["class_id"]: r["ap50"] for r in metrics.evaluate(current, truth, classes).where("class_id is not null").select("class_id", "ap50").collect()}
+        rows = metrics.evaluate(current, truth, classes).where("class_id is not null").select("class_id", "ap50_95").collect()
+        ap = {r["class_id"]: r["ap50_95"] for r in rows}
         thresholds = class_thresholds(ap, classes, spark)
         floor = F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv])
         rows = predictions.where(F.col("class_id").isin(*classes)).withColumn("threshold", floor[F.col("class_id")])
