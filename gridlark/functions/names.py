@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridlark.functions.catalog import normalized_name
+
 # Words in paths of an image-level dataset that name a class, tried in this order.
 PATH_CLASSES = {"damaged": 0, "empty": 1, "overripe": 2, "unripe": 5, "ripe": 3}
+# Words of a title that name a class.
+TITLE_WORDS = (("abnormal", 0), ("kurang masak", 4), ("mentah", 5), ("terlalu masak", 2), ("overripe", 2))
 # What is taken off a stem, in this order, to get its scene; and what is replaced in a lower-case stem
 # to get its base name.
 SCENE_PATTERNS = (r"(?i)(?:frame|img|image|copy)[_-]?\d+$", r"(?i)[_-]?(?:jpg|jpeg|png|bmp)$", r"--\d+.*$", r"\d+$")
@@ -78,14 +82,21 @@ def path_split(path: Column) -> Column:
 
 
 def weak_classes(name: Column) -> Column:
-    """Class ids named anywhere in a title; several may be."""
-    text = F.lower(name)
-    words = {"abnormal": 0, "empty": 1, "overripe": 2, "under ripe": 4, "underripe": 4, "unripe": 5}
-    ids = [F.when(F.contains(text, F.lit(w)), F.lit(i)) for w, i in words.items()]
-    ripe = F.when(F.rlike(text, F.lit(r"(^|[^a-z])ripe")) & ~F.contains(text, F.lit("under ripe")), F.lit(3))
+    """Class ids named anywhere in a title; several may be. The word for ripe inside that for under-ripe names none."""
+    text = F.btrim(F.regexp_replace(F.translate(F.lower(name), "_", " "), r"\s+", " "))
+    ids = [F.when(F.contains(text, F.lit(w)), F.lit(i)) for w, i in TITLE_WORDS]
+    ripe = F.when(F.rlike(F.regexp_replace(text, "kurang masak", ""), F.lit(r"\bmasak\b")), F.lit(3))
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*ids, ripe))))
 
 
+def scene_folder(path: Column, root: str, normalized: bool = True) -> Column:
+    """The first folder below the root; ``root_scene`` for files in the root itself or outside of it."""
+    base = root.rstrip("/") + "/"
+    below = F.filter(F.split(F.substring(path, len(base) + 1, 1 << 20), "/"), lambda p: p != "")
+    first = F.get(below, F.lit(0))
+    return F.when(F.startswith(path, F.lit(base)) & (F.size(below) > 1), normalized_name(first) if normalized else first).otherwise("root_scene")
+
+
 def slug(text: Column, most: int = 90) -> Column:
     return F.substring(F.btrim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "_"), F.lit("_")), 1, most)
 

@@ -39,6 +39,20 @@ def ratio_split(rows: DataFrame, key: str, seed: int | str, train: float = 0.8,
     return ranked.withColumn("split", F.when(at <= low, "train").when(at <= high, "valid").otherwise("test")).drop("_n", "_at")
 
 
+def with_pseudo(original: DataFrame, pseudo: DataFrame, seed: int = 42) -> DataFrame:
+    """original (split, name) and pseudo-labelled images (source_idx from 1, name, valid lines): one table of both.
+
+    Each pseudo source is cut at 80 and 90 % of its images in random order, whatever their labels; then those without a
+    valid line go. Names get the source's prefix, and a number where the split has the name already.
+    """
+    lots = F.concat_ws(":", "source_idx", "name")
+    keyed = pseudo.withColumns({"_source": F.col("source_idx"), "_lots": lots})
+    cut = ratio_split(keyed, "_lots", seed, within="_source", cuts=(0.8, 0.9)).where("valid > 0")
+    named = cut.select("split", F.concat(F.lit("pseudo"), F.col("source_idx").cast("string"), F.lit("_"), F.col("name")).alias("name"), F.lit(1).alias("_pseudo"))
+    both = original.select("split", "name", F.lit(0).alias("_pseudo")).unionByName(named)
+    return unique_names(both, "split", "name", ["_pseudo", "name"]).select("split", "sample_name", (F.col("_pseudo") == 1).alias("pseudo"))
+
+
 def group_split(rows: DataFrame, group: str, test_share: float = 0.25, valid_share: float = 0.15) -> DataFrame:
     """group, n, split: whole groups; the smallest ones test, the next valid, the rest train. Three groups at least."""
     counts = rows.groupBy(group).agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.functions.catalog import CLASSES, IMAGE_EXTENSIONS, class_id
-from gridlark.functions.names import extension, parent, parts, stem
+from gridlark.functions.names import extension, file_name, parent, parts, stem
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -124,3 +124,40 @@ def official_list(paths: DataFrame, listed: DataFrame) -> DataFrame:
     if lost.limit(1).count():
         raise FileNotFoundError(f"listed without a file: {[r[0] for r in lost.limit(5).collect()]}")
     return rows.join(names, F.col("_name") == F.col("_listed"), "left_semi").drop("_name")
+
+
+def label_candidates(path: Column, root: str) -> Column:
+    """Where an image's label file may lie, first choice first: beside it, with a folder ``images`` (each in turn) as
+    ``labels``, in the root's labels, in the labels of the root's first folder."""
+    to_text = lambda p: F.concat(F.regexp_replace(p, r"(?<=[^/])\.[^./]*$", ""), F.lit(".txt"))
+    pieces = F.split(path, "/")
+    at = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: F.lower(F.get(pieces, i)) == "images")
+    swapped = F.transform(at, lambda i: to_text(F.array_join(F.transform(pieces, lambda p, j: F.when(j == i, "labels").otherwise(p)), "/")))
+    base = root.rstrip("/")
+    below = F.split(F.substring(path, len(base) + 2, 1 << 20), "/")
+    name = to_text(file_name(path))
+    inside = F.startswith(path, F.lit(base + "/"))
+    own = F.array_compact(F.array(
+        F.when(inside, F.concat(F.lit(f"{base}/labels/"), name)),
+        F.when(inside & (F.size(below) > 1), F.concat(F.lit(f"{base}/"), F.get(below, F.lit(0)), F.lit("/labels/"), name)),
+    ))
+    return F.concat(F.array(to_text(path)), swapped, own)
+
+
+def with_label_file(images_: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """images (path) with label_path: the first candidate among the files (path), null if there is none."""
+    tried = images_.select("path", F.posexplode(label_candidates(F.col("path"), root)).alias("_rank", "_candidate"))
+    there = tried.join(files.select(F.col("path").alias("_candidate")).distinct(), "_candidate", "left_semi")
+    first = there.groupBy("path").agg(F.min_by("_candidate", "_rank").alias("label_path"))
+    return images_.join(first, "path", "left")
+
+
+def source_masks_of(images_: DataFrame, masks: DataFrame, classes: int = 6) -> DataFrame:
+    """images (name) with mask: that of the source numbered in a name ``src<k>_..``, all ones without one.
+
+    masks (source, observed, declared as arrays of numbers): the observed mask counts, else the declared one, else ones.
+    """
+    ones = F.array(*[F.lit(1.0)] * classes)
+    number = F.nullif(F.regexp_extract("name", r"(?i)^src(\d+)_", 1), F.lit("")).cast("int")
+    known = masks.select(F.col("source").alias("_source"), F.coalesce("observed", "declared").cast("array<double>").alias("_mask"))
+    return images_.withColumn("_number", number).join(known, F.col("_number") == F.col("_source"), "left").withColumn("mask", F.coalesce("_mask", ones)).drop("_number", "_source", "_mask")
