@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("chat", "decontaminate", "language", "media", "merkle", "mixing", "neardup", "secrets", "sharding", "substrings", "toxicity")
+MODULES = ("alignment", "chat", "decontaminate", "language", "media", "merkle", "mixing", "neardup", "packing", "secrets", "sharding", "substrings", "toxicity")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
