@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import Workspace, arrow_map, ordered_prefix, prepare
-from gridlark.llm.tokens import Chunks, at_spaces, byte_tokenizer, cut, default_path, flattened, runs_of_texts
+from gridlark.llm.tokens import Chunks, WordIds, at_spaces, cut, default_path, runs_of_texts
 
 CAPACITY = 4096
 END = 2
@@ -73,8 +73,8 @@ def filled(docs: DataFrame, tokenizer: str, end: int = END, capacity: int = CAPA
     lengths = np.array(class_lengths(capacity)[::-1])
 
     def run(batches):
-        made = byte_tokenizer(tokenizer, special=True)
-        chunks = Chunks(at_spaces, lambda new: {"ids": flattened([e.ids for e in made.encode_batch_fast(new, add_special_tokens=False)])})
+        made = WordIds(tokenizer)
+        chunks = Chunks(at_spaces, lambda new: {"ids": made(new)})
         held: dict[int, list] = defaultdict(list)
         number, kind = BY_TASK * TaskContext.get().partitionId(), pa.null()
         for batch in batches:

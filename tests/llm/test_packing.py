@@ -94,3 +94,24 @@ def test_classes():
     assert max(len(packing.cuts(n, 4096, up)) for n in range(1, 4097)) <= 5
     assert max(4096 % v for v in lengths) < 64
     assert packing.powers_of_two(13) == [8, 4, 1] and packing.powers_of_two(0) == []
+
+
+def test_word_ids_are_the_library_s():
+    rng = random.Random(1)
+    made, library = tokens.WordIds(PATH), tokens.byte_tokenizer(PATH, special=True)
+    marks = [chr(c) for c in [*range(1, 0x180), 0x301, 0x3A3, 0x130, 0x2028, 0x3000, 0x1F642, 0xAC00, 0x1100] if chr(c) != " "] + ["'s", "'LL", "<|endoftext|>", "<|startoftext|>", "the", "ing"]
+    chunks = ["", "aaaaaaa", "AAAA'S'LLx", "a" * 3000, *["".join(rng.choices(marks, k=rng.randint(1, 12))) for _ in range(3000)], *["".join(rng.choices("abcdefé'.1", k=rng.randint(1, 15))) for _ in range(3000)]]
+    for some in (chunks, chunks[:2], [], ["\u0130"], ["x"]):
+        ids, count = made(some)
+        at = tokens.cut(count)
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(some))] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+
+
+def test_merges_of_a_byte_level_file():
+    rng = random.Random(1)
+    path = tokens.default_path("byte_bpe_50k.json")
+    library = tokens.byte_tokenizer(path, special=False)
+    words = [" " + "".join(rng.choices("aabetinrs", k=rng.randint(1, 30))) for _ in range(2000)] + ["a", "aa", "aaa" * 50]
+    ids, count = tokens.Merges(path).ids([w.encode() for w in words], 300)
+    at = tokens.cut(count)
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(words))] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
