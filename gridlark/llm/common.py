@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-import tempfile
+import os
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -18,6 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from gridlark.tables import fresh, shared_dir
 
 SLICE_BYTES = 1 << 19
 BATCH_BYTES = 4 << 20
@@ -25,19 +28,6 @@ BATCH_BYTES = 4 << 20
 
 # ---------------------------------------------------------------- tables on the shared folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. A local session without one gets a temporary folder, a cluster an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gridlark-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 def prepare(spark: SparkSession) -> None:
     """Settings of the session that the queries and pipeline stages make: Arrow batches of at most BATCH_BYTES, so that
     rows of long texts can't fill a task's memory, and workers that find this package where the driver did."""
@@ -47,7 +37,7 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), home]))
 
 
-def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """df.mapInArrow in workers that give memory back after each task."""
 
     def bounded(batches):
@@ -61,6 +51,11 @@ def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(bounded, schema)
 
 
+def with_fields(df: DataFrame, more: str) -> StructType:
+    """The schema of df, whatever its names, and further fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 class Workspace:
     """Written tables of one operator call: each cuts the lineage and outlives lost executors."""
 
@@ -91,16 +86,29 @@ def doubtful_ids(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count() > 0
 
 
-def numbered(ws: Workspace, docs: DataFrame) -> DataFrame:
-    """docs with _key, a number of each row: by id, null last, rows of one id by their contents.
+def numbered(ws: Workspace, docs: DataFrame, key: str) -> DataFrame:
+    """docs with a number of each row in the column ``key``, a name that docs don't have: by id, null last, rows of one id by their contents.
 
     Rows are dealt by range, so rows of one id, or without, span many tasks. Rows alike in all columns are
     interchangeable.
     """
-    alike = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    told = docs.withColumns({"_like": alike, "_n": F.monotonically_increasing_id(), "_one": F.lit(1).cast("long")})
-    order = [F.col("doc_id").asc_nulls_last(), F.col("_like"), F.col("_n")]
-    return ws.table(ordered_prefix(ws, told, order, [], {"_key": "_one"}).select(*[F.col(f"`{c}`") for c in docs.columns], "_key"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    told = docs.select(F.struct(*own).alias("row"), F.xxhash64(*own).alias("like"), F.monotonically_increasing_id().alias("n"), F.lit(1).cast("long").alias("one"))
+    order = [F.col("row")["doc_id"].asc_nulls_last(), F.col("like"), F.col("n")]
+    placed = ordered_prefix(ws, told, order, [], {"key": "one"})
+    return ws.table(placed.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("key").alias(key)))
+
+
+def packed_up(docs: DataFrame, needed: list[str]) -> tuple[DataFrame, str]:
+    """docs with the needed columns and all others in one struct, so that no name made later can meet one of theirs."""
+    rest, = fresh(docs.columns, "_rest")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, (F.struct(*others) if others else F.lit(None).cast("int")).alias(rest)), rest
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, needed: list[str], rest: str) -> DataFrame:
+    """The columns of docs, in their order, of rows that were packed up."""
+    return rows.select(*[F.col(c) if c in needed else F.col(rest)[c].alias(c) for c in docs.columns])
 
 
 # ---------------------------------------------------------------- global order without one task
@@ -114,18 +122,21 @@ def ordered_prefix(ws: Workspace, df: DataFrame, order: list[Column], group: lis
     """
     spark = ws.spark
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = df.repartitionByRange(parts, *[F.col(c) for c in group], *order).withColumn("_part", F.spark_partition_id())
+    number, = fresh([*df.columns, *sums], "_part")
+    quoted = lambda c, of="": F.col(f"{of}`{c}`")
+    dealt = df.repartitionByRange(parts, *[quoted(c) for c in group], *order).withColumn(number, F.spark_partition_id())
     dealt = ws.table(dealt)
-    keys = [*group, "_part"]
-    part = dealt.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select(*keys, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_off_{k}") for k in sums])
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    run = dealt.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_in_{k}") for k, v in sums.items()])
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
+    keys = [*group, number]
+    part = dealt.groupBy(*[quoted(c) for c in keys]).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    before = Window.partitionBy(*[quoted(c) for c in group]).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(*[quoted(c) for c in keys], *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"off_{k}") for k in sums])
+    inside = Window.partitionBy(*[quoted(c) for c in keys]).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    taken = fresh(dealt.columns, *[f"in_{k}" for k in sums])
+    run = dealt.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(c) for c, v in zip(taken, sums.values(), strict=True)])
+    same = [quoted(c, "a.").eqNullSafe(quoted(c, "b.")) for c in keys]
     joined = run.alias("a").join(part.alias("b"), same, "left")
-    own = [F.col(f"a.{c}") for c in dealt.columns if c != "_part"]
-    return joined.select(*own, *[(F.col(f"_off_{k}") + F.col(f"_in_{k}")).alias(k) for k in sums])
+    own = [quoted(c, "a.") for c in dealt.columns if c != number]
+    return joined.select(*own, *[(F.col(f"b.off_{k}") + quoted(c, "a.")).alias(k) for c, k in zip(taken, sums, strict=True)])
 
 
 # ---------------------------------------------------------------- text in numpy
@@ -200,7 +211,8 @@ _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of byte runs: their 8-byte pieces are mixed in one after another; BLAKE2b for runs of over LONG_WORD bytes.
 
-    Unlike a polynomial modulo 2^64 this has no family of texts with one value.
+    Unlike a polynomial modulo 2^64 this has no family of texts with one value, but as all of it is known, single runs of one
+    value can be made: what is found by it has to be compared byte by byte.
     """
     size = end - start
     h = mix(size.astype(np.uint64) + _U(seed * 0x632BE59BD9B4E019 % 2**64))
@@ -218,6 +230,38 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     return h
 
 
+def secret() -> tuple[int, int]:
+    """A key of 128 bits for keyed_hashes, drawn anew for each run, so that no table can be made to fit it."""
+    raw = os.urandom(16)
+    return int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:], "little")
+
+
+def keyed_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: tuple[int, int]) -> np.ndarray:
+    """64-bit hashes of byte runs under a secret key: two lanes of 64 bits, each begun from the key, take in every 8-byte
+    piece, and a lane's step depends on the other; keyed BLAKE2b for runs of over LONG_WORD bytes.
+
+    A step can only be undone by who knows the key, so unlike runs of one value can't be written down before the run.
+    """
+    size = end - start
+    n = size.astype(np.uint64)
+    a, b = mix(n + _U(key[0])), mix(n * _U(0xA24BAED4963EE407) ^ _U(key[1]))
+    at = pieces_of_8(data)
+    live = np.flatnonzero(size <= LONG_WORD)
+    for j in range(0, LONG_WORD, 8):
+        live = live[size[live] > j]
+        if not len(live):
+            break
+        piece = at[start[live] + j] & _FIRST[np.minimum(size[live] - j, 8)]
+        one, two = a[live], b[live]
+        a[live] = mix((one ^ piece) * _U(0x9FB21C651E98DF25) + two)
+        b[live] = mix((two + piece) * _U(0xD6E8FEB86659FD93) ^ one)
+    h = mix(a + (b << _U(1) | b >> _U(63)))
+    long_key = key[0].to_bytes(8, "little") + key[1].to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=long_key).digest(), "little")
+    return h
+
+
 def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether size[i] bytes of a from a_start[i] equal those of b from b_start[i]."""
     same = np.ones(len(size), bool)

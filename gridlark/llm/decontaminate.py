@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import LOWER, NOT_ALNUM, Workspace, arrow_map, ordered_prefix, prepare, same_bytes, slices, word_hashes, words
+from gridlark.llm.common import LOWER, NOT_ALNUM, Workspace, arrow_map, ordered_prefix, prepare, same_bytes, slices, word_hashes, words, with_fields
+from gridlark.tables import fresh
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
@@ -313,7 +314,8 @@ def blocks(bench: DataFrame, window: int, most: int, piece: int = PIECE_BYTES) -
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, finish=None, schema: str | None = None) -> DataFrame:
-    """docs with _n_words, _items (sorted ids whose windows occur) and _spans (byte ranges of runs of hit words).
+    """docs with _n_words, _items (sorted ids whose windows occur) and _spans (byte ranges of runs of hit words), with more
+    underscores where docs have such columns.
 
     Further blocks of a large benchmark add to the spans and items of those before. ``finish`` turns the last
     block's batches into those of ``schema`` in the same Python workers.
@@ -321,7 +323,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
     spark = docs.sparkSession
     span = "array<struct<start:long,end:long>>"
     out = docs
-    names = docs.columns
+    names, new = docs.columns, fresh(docs.columns, "_n_words", "_items", "_spans")
     ahead = blocks(bench, window, block_bytes)
     items, number = next(ahead, []), 0
     while items is not None:
@@ -341,9 +343,9 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
                         spans = [merged([(x["start"], x["end"]) for x in a] + b) for a, b in zip(part.column(width + 2).to_pylist(), spans, strict=True)]
                     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                     rows = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(n_words, pa.int64()), pa.array([sorted(x) for x in ids], pa.list_(pa.string())), rows], [*names, "_n_words", "_items", "_spans"])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(n_words, pa.int64()), pa.array([sorted(x) for x in ids], pa.list_(pa.string())), rows], [*names, *new])
 
-        fields = ", ".join([*[f"`{c}` {t}" for c, t in docs.dtypes], "_n_words long", "_items array<string>", f"_spans {span}"])
+        fields = with_fields(docs, ", ".join(f"{c} {t}" for c, t in zip(new, ("long", "array<string>", span), strict=True)))
         if finish is not None and following is None:
             out = arrow_map(out, lambda batches, run=run: finish(run(batches)), schema)
         else:
@@ -409,7 +411,7 @@ def cleaned(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
             arrays = [pa.array(text, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep, pa.bool_()))
 
-    return contamination(docs, bench, finish=finish, schema=", ".join(f"`{c}` {t}" for c, t in docs.dtypes), **options)
+    return contamination(docs, bench, finish=finish, schema=docs.schema, **options)
 
 
 def _one(text: str) -> tuple[np.ndarray, np.ndarray]:

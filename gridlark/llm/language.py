@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import SLICE_BYTES, arrow_map, prepare, slices
+from gridlark.llm.common import SLICE_BYTES, arrow_map, prepare, slices, with_fields
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -154,8 +154,11 @@ def infer(key: np.ndarray, count: np.ndarray, logs: np.ndarray, rows: int) -> tu
 
 
 def identify(docs: DataFrame, langs: list[str], logs: np.ndarray, text: str = "text") -> DataFrame:
-    """docs and lang_pred, lang_score, and lang_mix: the languages of the chosen set and their proportions, largest first."""
-    names, kinds = docs.columns, docs.dtypes
+    """docs and lang_pred, lang_score, and lang_mix: the languages of the chosen set and their proportions, largest first.
+
+    Columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "lang_score", "lang_mix")
+    names = docs.columns
     column = names.index(text)
     sent = docs.sparkSession.sparkContext.broadcast((langs, logs))
 
@@ -177,7 +180,7 @@ def identify(docs: DataFrame, langs: list[str], logs: np.ndarray, text: str = "t
                     mixes.append([{"lang": langs[c], "share": float(row[c])} for c in first[:n].tolist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixes, MIX)], [*names, "lang_pred", "lang_score", "lang_mix"])
 
-    return arrow_map(docs, run, ", ".join([*[f"`{c}` {t}" for c, t in kinds], "lang_pred string", "lang_score double", "lang_mix array<struct<lang:string,share:double>>"]))
+    return arrow_map(docs, run, with_fields(docs, "lang_pred string, lang_score double, lang_mix array<struct<lang:string,share:double>>"))
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -187,12 +190,12 @@ def fold(doc_id: Column, n: int) -> Column:
 def training_sample(docs: DataFrame, rows: Column, per_language: int = TRAIN_DOCS) -> DataFrame:
     """(text, lang) of at most per_language different documents of each language among ``rows``, least hash first.
 
-    A threshold of the hash, from the language's number of ids, leaves about twice as many as wanted, so that
+    A threshold of the hash, from the language's number of different texts and ids, leaves about twice as many as wanted, so that
     the sample alone is ordered within languages, however many documents one of them has.
     """
     known = docs.where(rows & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id")).alias("n")).collect()  # a row per language
     known = known.where(F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("_h").alias("n")).collect()  # a row per language
     if counts:
         below = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * per_language / max(r["n"], 1)))])
         known = known.where(F.pmod("_h", F.lit(1 << 31)) < below[F.col("lang")] * float(1 << 31))

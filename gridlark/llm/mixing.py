@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import Workspace, doubtful_ids, numbered, ordered_prefix, prepare
+from gridlark.tables import fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
@@ -80,20 +81,21 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return best.select("doc_id", weight.alias("quality_weight"))
 
 
-def sized(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, source, size, digest, quality_weight of whole documents, and _key if there."""
+def sized(docs: DataFrame, labels: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, source, size, digest, quality_weight of whole documents, and key: the column of that name, if one is given."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("digest"), *[c for c in docs.columns if c == "_key"])
+    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("digest"), *([F.col(key).alias("key")] if key else []))
     return rows.join(quality_weights(labels), "doc_id", "left").withColumn("quality_weight", F.coalesce("quality_weight", F.lit(1.0)))
 
 
 def mixed(ws: Workspace, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, each as often as the mix takes it."""
-    known = numbered(ws, docs) if doubtful_ids(docs) else docs.withColumn("_key", F.col("doc_id"))
-    taken = mix(ws, sized(known, labels)).where("taken > 0")
-    taken = ws.table(taken.select("_key", F.expr("taken div size").alias("_copies")))
+    key, copies, copy = fresh(docs.columns, "_key", "_copies", "_copy")
+    known = numbered(ws, docs, key) if doubtful_ids(docs) else docs.withColumn(key, F.col("doc_id"))
+    taken = mix(ws, sized(known, labels, key)).where("taken > 0")
+    taken = ws.table(taken.select(F.col("key").alias(key), F.expr("taken div size").alias(copies)))
     # the taken ids grow with the documents, so they are never broadcast, whatever their size here
-    rows = known.join(taken.hint("merge"), "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    rows = known.join(taken.hint("merge"), key).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

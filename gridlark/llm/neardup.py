@@ -18,7 +18,8 @@ compared with them on full sets, and the pivots leave. Waves go on until no buck
 shares a band is compared, connected already, or proven too far apart.
 
 Sets hold 52-bit hashes of the shingles (of three hundred words: chance of a false match in a pair about 1e-10) over
-64-bit hashes of the words; equal sets are told by 128 bits.
+64-bit hashes of the words under a key that every run draws anew, so no unlike documents can be written that are alike by
+it; equal sets are told by 128 bits. The result is that of the full sets whatever the key.
 
 Null or wordless texts have the empty set and stay alone. Rows are judged by their texts: where ids are missing or
 repeated, each row is numbered, and rows without an id come after all others. A component is named by its least id,
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import LOWER, SPACE, Workspace, arrow_map, distinct, doubtful_ids, mix, numbered, prepare, shingles, slices, word_hashes, words
+from gridlark.llm.common import LOWER, SPACE, Workspace, arrow_map, distinct, doubtful_ids, keyed_hashes, mix, numbered, prepare, secret, shingles, slices, words
 from gridlark.llm.graph import components
 
 BINS = 128
@@ -44,11 +45,11 @@ PIVOTS = 256
 _U = np.uint64
 
 
-def token_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def token_sets(data: np.ndarray, at: np.ndarray, k: int, key: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """(row, token) of the distinct k-word shingles of each row, sorted."""
     low = LOWER[data]
     start, end, row = words(low, at, SPACE)
-    return distinct(*shingles(word_hashes(low, start, end, 1), row, len(at) - 1, k))
+    return distinct(*shingles(keyed_hashes(low, start, end, key), row, len(at) - 1, k))
 
 
 def sketch(row: np.ndarray, token: np.ndarray, rows: int, bins: int = BINS) -> np.ndarray:
@@ -83,7 +84,7 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return acc
 
 
-def sketched(docs: DataFrame, k: int) -> DataFrame:
+def sketched(docs: DataFrame, k: int, key: tuple[int, int]) -> DataFrame:
     """docs (key, text) -> key, n_shingles, set_a, set_b (128 bits that tell sets apart), bands."""
     kind = dict(docs.dtypes)["key"]
     names = ["key", "n_shingles", "set_a", "set_b", "bands"]
@@ -92,7 +93,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for i, j, data, at in slices(batch.column(1)):
                 n = j - i
-                row, token = token_sets(data, at, k)
+                row, token = token_sets(data, at, k, key)
                 count = np.bincount(row, minlength=n)
                 ends = np.concatenate([[0], np.cumsum(count)])
                 total = lambda v: np.concatenate([np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)])
@@ -106,14 +107,14 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
     return arrow_map(docs.select("key", "text"), run, f"key {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
+def full_sets(docs: DataFrame, k: int, key: tuple[int, int]) -> DataFrame:
     """rep, tokens (binary of sorted 64-bit numbers) of docs (key, text)."""
     kind = dict(docs.dtypes)["key"]
 
     def run(batches):
         for batch in batches:
             for i, j, data, at in slices(batch.column(1)):
-                row, token = token_sets(data, at, k)
+                row, token = token_sets(data, at, k, key)
                 ends = np.searchsorted(row, np.arange(j - i + 1))
                 sets = [token[ends[r] : ends[r + 1]].tobytes() for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["rep", "tokens"])
@@ -142,7 +143,8 @@ def compared(pairs: DataFrame, percent: int) -> DataFrame:
 
 def linked(ws: Workspace, docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> DataFrame:
     """docs (key, text), keys unique -> key, n_shingles, component (least key reachable)."""
-    flat = ws.table(sketched(docs, k))
+    key = secret()
+    flat = ws.table(sketched(docs, k, key))
     some = flat.where("n_shingles > 0")
     same = ["n_shingles", "set_a", "set_b"]
     classes = ws.table(some.groupBy(*same).agg(F.min("key").alias("rep")))
@@ -152,7 +154,7 @@ def linked(ws: Workspace, docs: DataFrame, k: int = 5, percent: int = SIMILARITY
     members = ws.table(keyed.join(shared, "bucket"))
     out = flat.select("key", *same).join(classes, same, "left")
     if members.limit(1).count():
-        labels = _links(ws, docs, members, bands.select("rep", "bands"), k, percent)
+        labels = _links(ws, docs, members, bands.select("rep", "bands"), k, percent, key)
         if labels is not None:
             out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
             return out.select("key", "n_shingles", F.coalesce("component", "rep", "key").alias("component"))
@@ -165,7 +167,7 @@ def near_duplicates(ws: Workspace, docs: DataFrame, k: int = 5, percent: int = S
     if not doubtful_ids(docs):
         found = linked(ws, docs.withColumnRenamed("doc_id", "key"), k, percent)
         return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
-    rows = numbered(ws, docs).withColumnRenamed("_key", "key")
+    rows = numbered(ws, docs, "key")
     found = linked(ws, rows.select("key", "text"), k, percent)
     ids = rows.select("key", "doc_id")
     # rows without an id have the last keys, so the least key has the least id
@@ -174,10 +176,10 @@ def near_duplicates(ws: Workspace, docs: DataFrame, k: int = 5, percent: int = S
     return found.join(ids, "key").join(named, "component").select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
-def _links(ws: Workspace, docs: DataFrame, members: DataFrame, bands: DataFrame, k: int, percent: int) -> DataFrame | None:
+def _links(ws: Workspace, docs: DataFrame, members: DataFrame, bands: DataFrame, k: int, percent: int, key: tuple[int, int]) -> DataFrame | None:
     """node, component of the classes that are linked; None if there is no link. members: bucket, rep, size, n."""
     nodes = members.select(F.col("rep").alias("key")).distinct()
-    sets = ws.table(full_sets(docs.join(nodes, "key", "left_semi"), k))
+    sets = ws.table(full_sets(docs.join(nodes, "key", "left_semi"), k, key))
     central = members.groupBy("rep").agg(F.sum("n").alias("company"))
     first = members.join(central, "rep").groupBy("bucket").agg(F.max(F.struct("company", "rep", "size")).alias("p"))
     first = ws.table(first.select("bucket", F.col("p.rep").alias("p"), F.col("p.size").alias("p_size")))

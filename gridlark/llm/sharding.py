@@ -101,9 +101,12 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
 
 
-def write(placed: DataFrame, path: str) -> None:
-    """One folder and file per shard in the order of the slots, so that readers prune files by each dimension's range."""
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write(placed: DataFrame, path: str, files: int = 1) -> None:
+    """One folder per shard and about ``files`` files in it, each a run of slots in their order, so that readers prune files by each
+    dimension's range and no task sorts more than one file's rows."""
+    shards = max(placed.select("shard").distinct().count(), 1)
+    dealt = placed.repartition("shard") if files == 1 else placed.repartitionByRange(shards * files, "shard", "slot")
+    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

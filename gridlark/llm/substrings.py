@@ -332,26 +332,22 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[at], end[np.append(at[1:], len(start)) - 1] if len(at) else end
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key: the doc_id if all are there and differ, otherwise with a digest of the text."""
-    doubt = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count()
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("")))) if doubt else F.col("doc_id")
-    return docs.select(key.alias("key"), "doc_id", "text")
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs (key, doc_id, text), and whether the key is the doc_id: it is if all are there and differ, otherwise a digest of the text goes with it."""
+    doubt = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").limit(1).count() > 0
+    own = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-"))
+    key = F.concat_ws(":", own, F.md5(F.coalesce("text", F.lit("")))) if doubt else F.col("doc_id")
+    return docs.select(key.alias("key"), "doc_id", "text"), not doubt
 
 
 def without_repeats(ws: Workspace, docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, group: int = GROUP, piece: int = PIECE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, spans (removed byte ranges), kept (the other bytes)."""
-    docs = keyed(docs.select("doc_id", "text"))
+    docs, plain = keyed(docs.select("doc_id", "text"))
     spans = repeats(ws, docs, length, k, group, piece).groupBy("key").agg(F.collect_list("start").alias("s"), F.collect_list("end").alias("e"))
     kind = dict(docs.dtypes)["doc_id"]
-    texts = packed(docs)
-    ids = docs.select("key", "doc_id")
-    whole = texts.join(spans, "key", "left")
-    if dict(docs.dtypes)["key"] == "string" and kind != "string":
-        whole = whole.join(ids.distinct(), "key").drop("key")
-        # copies of a row are one key; each gives its row again
-    else:
-        whole = whole.withColumnRenamed("key", "doc_id")
+    whole = packed(docs).join(spans, "key", "left")
+    # copies of a row are one key; each gives its row again
+    whole = whole.withColumnRenamed("key", "doc_id") if plain else whole.join(docs.select("key", "doc_id").distinct(), "key").drop("key")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()

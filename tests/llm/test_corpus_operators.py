@@ -387,7 +387,7 @@ def test_hilbert_curve_is_one(spark):
 
 def test_shards(spark, ws):
     rows = corpus(n=100) + corpus(n=100)[:5] + [(None, "no id", None, None, 1)]
-    docs = frame(spark, rows).withColumn("shard", F.lit("clash")).drop("shard")
+    docs = frame(spark, rows).withColumns({c: F.lit("clash") for c in ("shard", "slot", "hilbert", "size", "text_crc32", "_rank", "_tie", "_hash", "_all", "_code", "_value")})
     got = sharding.shard(ws, sharding.measured(docs)).collect()
     assert len(got) == len(rows)
     by: dict = {}
@@ -421,7 +421,7 @@ def test_ordered_prefix(spark, ws):
 
 def test_rows_are_numbered(spark, ws):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, None)], "doc_id long, text string")
-    rows = sorted((r._key, r.doc_id) for r in numbered(ws, df).collect())
+    rows = sorted((r._key, r.doc_id) for r in numbered(ws, df, "_key").collect())
     assert [k for k, _ in rows] == list(range(5)) and [d for _, d in rows] == [1, 1, 1, None, None]
 
 
