@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm import decontaminate, language, mixing, neardup, sharding
-from gridlark.llm.common import Workspace, doubtful_ids, numbered, prepare
+from gridlark.llm.common import Workspace, doubtful_ids, numbered, packed_up, prepare, unpacked
+from gridlark.tables import fresh
+
+#: Columns that stages look at; others go along as one.
+NEEDED = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +27,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     langs, logs = language.learned(docs.select("doc_id", "text", "lang"))
     if not langs:
         return docs.where(F.rlike("text", F.lit(r"\p{L}")))
-    return language.identify(docs, langs, logs).where("lang_pred <> 'und'").select(*docs.columns)
+    needed = [c for c in docs.columns if c in NEEDED]
+    packed, rest = packed_up(docs, needed)
+    return unpacked(language.identify(packed, langs, logs).where("lang_pred <> 'und'"), docs, needed, rest)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,28 +40,34 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     prepare(spark)
     ws = Workspace(spark, "neardup")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     if not doubtful_ids(docs):
         found = neardup.linked(ws, docs.select(F.col("doc_id").alias("key"), "text"), k=5)
         gone = ws.table(found.where("key <> component").select(F.col("key").alias("doc_id")))
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    keyed = numbered(ws, docs)
-    found = neardup.linked(ws, keyed.select(F.col("_key").alias("key"), "text"), k=5)
-    gone = found.where("key <> component").select(F.col("key").alias("_key"))
+        return docs.join(gone, "doc_id", "left_anti").select(*columns)
+    name, = fresh(docs.columns, "_key")
+    keyed = numbered(ws, docs, name)
+    found = neardup.linked(ws, keyed.select(F.col(name).alias("key"), "text"), k=5)
+    gone = found.where("key <> component").select("key")
     # texts without a word are linked to nothing; of those of one id, equal ones are one document
-    bare = found.where("n_shingles = 0").select(F.col("key").alias("_key"))
-    text = [F.coalesce("text", F.lit("")).alias("_text"), F.col("text").isNull().alias("_none")]
-    bare = keyed.where("doc_id is not null").join(bare, "_key").select("doc_id", "_key", *text)
-    first = bare.groupBy("doc_id", "_text", "_none").agg(F.min("_key").alias("_first"))
-    again = bare.join(first, ["doc_id", "_text", "_none"]).where("_key <> _first").select("_key")
+    bare = found.where("n_shingles = 0").select("key")
+    text = [F.coalesce("text", F.lit("")).alias("shown"), F.col("text").isNull().alias("none")]
+    bare = keyed.where("doc_id is not null").select("doc_id", F.col(name).alias("key"), *text).join(bare, "key")
+    first = bare.groupBy("doc_id", "shown", "none").agg(F.min("key").alias("first"))
+    again = bare.join(first, ["doc_id", "shown", "none"]).where("key <> first").select("key")
     gone = ws.table(gone.unionByName(again))
-    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
+    return keyed.join(gone.withColumnRenamed("key", name), name, "left_anti").select(*columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages leave the texts; documents of nothing else go."""
     prepare(spark)
-    clean = decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else clean
+    needed = [c for c in docs.columns if c in NEEDED]
+    packed, rest = packed_up(docs, needed)
+    clean = decontaminate.cleaned(packed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    if "n_chars" in needed:
+        clean = clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return unpacked(clean, docs, needed, rest)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
