@@ -17,6 +17,9 @@ count as often as they are there. An empty table gives no rows. Only doc_id and
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +27,50 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import Workspace, arrow_map, prepare
-from gridlark.llm.tokens import Chunks, before_spaces, byte_tokenizer, cut, default_path, flattened, runs_of_texts, spread, sums
+from gridlark.llm.tokens import Chunks, Merges, before_spaces, byte_letters, byte_tokenizer, cut, default_path, flattened, runs_of_texts, spread, sums
 
 _BIT = np.int64(32)
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The characters by which byte-level vocabularies write bytes: printable ones as they are, others from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+# How byte-level vocabularies of this kind split, and the same within Latin-1.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼½¾]+| ?[^\sA-Za-z0-9ªµºÀ-ÖØ-öø-ÿ²³¹¼½¾]+|\s+(?!\S)|\s+")
+_SIMPLE = re.compile("[!-~¡-¬®-ÿ]+")
+
+
+class ByteIds:
+    """Ids of chunks (with their space) by a byte-level tokenizer, special tokens' strings as plain text.
+
+    Chunks of Latin-1 without white space inside are split here and merged many at a time, all others by the library.
+    """
+
+    def __init__(self, path: str):
+        self.library = byte_tokenizer(path, special=False)
+        made = json.loads(Path(path).read_text(encoding="utf-8"))
+        kind = made["pre_tokenizer"] or {}
+        plain = made["normalizer"] is None and kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space")
+        merges = Merges(path)
+        lead = lambda new: (np.fromiter((w[0] == " " for w in new), np.int64, len(new)), np.ones(len(new), np.int64))
+        self.parts = Chunks(None, lambda new: {"ids": merges.ids([w.encode() for w in new]), "lead": lead(new)}) if plain else None
+
+    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of " " + chunk of all chunks in one row, and how many each has."""
+        simple = np.zeros(len(chunks), bool)
+        if self.parts is not None:
+            all_simple = "" not in chunks and _SIMPLE.fullmatch("".join(chunks))
+            simple = ~simple if all_simple else np.fromiter((_SIMPLE.fullmatch(c) is not None for c in chunks), bool, len(chunks))
+        plain = chunks if simple.all() else [chunks[i] for i in np.flatnonzero(simple).tolist()]
+        other = [f" {chunks[i]}" for i in np.flatnonzero(~simple).tolist()]
+        ids, count = flattened([e.ids for e in self.library.encode_batch_fast(other, add_special_tokens=False)] if other else [])
+        if not plain:
+            return ids, count
+        # a chunk's first part alone begins with a space: no simple chunk has one inside
+        found = self.parts.numbered(_PARTS.findall(f" {' '.join(plain)}"))
+        first = np.flatnonzero(self.parts.flat["lead"][found])
+        own, own_count = self.parts.row("ids", found, np.diff(np.concatenate([first, [len(found)]])))
+        order = np.argsort(np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)]), kind="stable")
+        count = np.concatenate([own_count, count])[order]
+        return np.concatenate([own, ids])[spread(np.concatenate([cut(own_count)[:-1], len(own) + cut(count[~simple])[:-1]])[order], count)], count
 
 
 class Pair:
@@ -41,9 +79,9 @@ class Pair:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.a = byte_tokenizer(a_path, special=False)
-        letters = byte_alphabet()
-        vocabulary = self.a.get_vocab()
+        self.a = ByteIds(a_path)
+        letters = {c: b for b, c in enumerate(byte_letters())}
+        vocabulary = self.a.library.get_vocab()
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
@@ -53,18 +91,27 @@ class Pair:
         self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
 
-    def encoded(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of " " + chunk by A and of chunk by B, and whether B gives the bytes back. A chunk without them has no ids."""
-        a = [e.ids for e in self.a.encode_batch_fast([f" {c}" for c in chunks], add_special_tokens=False)]
-        b = self.b.encode(chunks, num_threads=1)
+    def encoded(self, chunks: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """Ids of " " + chunk by A and of chunk by B in rows with counts, and whether both give the bytes back. A chunk without them has no ids."""
+        a, n_a = self.a(chunks)
+        lists = self.b.encode(chunks, num_threads=1)
+        for i in [i for i, c in enumerate(chunks) if not c]:
+            lists[i] = [self.space]
+        b, n_b = flattened(lists)
+        raw = [f" {c}".encode() for c in chunks]
+        whole = b"".join(raw)
+        both = [b"".join(map(of.__getitem__, ids.tolist())) for of, ids in ((self.a_bytes, a), (self.b_bytes, b))]
         good = np.ones(len(chunks), bool)
-        for i, c in enumerate(chunks):
-            if not c:
-                b[i] = [self.space]
-            raw = f" {c}".encode()
-            if b"".join(map(self.b_bytes.__getitem__, b[i])) != raw or b"".join(map(self.a_bytes.__getitem__, a[i])) != raw:
-                good[i], a[i], b[i] = False, [], []
-        return a, b, good
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        sizes = [np.array_equal(sums(s[ids], n), size) for s, ids, n in ((self.a_size, a, n_a), (self.b_size, b, n_b))]
+        if both != [whole, whole] or not all(sizes):
+            for (ids, n), of in (((a, n_a), self.a_bytes), ((b, n_b), self.b_bytes)):
+                ends = cut(n).tolist()
+                for i, r in enumerate(raw):
+                    good[i] &= b"".join(map(of.__getitem__, ids[ends[i] : ends[i + 1]].tolist())) == r
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+        return (a, n_a), (b, n_b), good
 
 
 def owners(a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,10 +126,10 @@ def owners(a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Aligned(Chunks):
-    """Chunks with the ids of A and B, cuts in bytes, overlaps, and links as a << 32 | b."""
+    """Chunks with the ids of A and B, cuts in bytes, overlaps, links as a << 32 | b, and the groups' names if asked for."""
 
-    def __init__(self, pair: Pair, forget=None):
-        self.pair = pair
+    def __init__(self, pair: Pair, fields: tuple[str, ...], forget=None, named: bool = False):
+        self.pair, self.fields, self.named = pair, fields, named
         super().__init__(before_spaces, self._encode, forget)
 
     def _empty(self) -> None:
@@ -90,8 +137,7 @@ class Aligned(Chunks):
         self.groups: list[str] = []
 
     def _encode(self, new: list[str]) -> dict:
-        lists_a, lists_b, good = self.pair.encoded(new)
-        (a, n_a), (b, n_b) = flattened(lists_a), flattened(lists_b)
+        (a, n_a), (b, n_b), good = self.pair.encoded(new)
         a_size, b_size = self.pair.a_size[a], self.pair.b_size[b]
         over_a, over_b, cuts = owners(a_size, b_size)
         a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
@@ -99,23 +145,33 @@ class Aligned(Chunks):
         size = sums(a_size, n_a)
         place = lambda at, ends: np.searchsorted(ends, at, "right") - 1
         chunk_of_cut = np.searchsorted(np.cumsum(size), cuts)
-        chunk_of_over = place(over_a, cut(n_a)[:-1]) if len(over_a) else over_a
         per = lambda chunk: np.bincount(chunk, minlength=len(new)).astype(np.int64)
-        self._name_groups(a, b, last_a, last_b, per(chunk_of_cut))
-        return {
-            "a": (a, n_a), "b": (b, n_b), "bytes": (size, np.ones(len(new), np.int64)), "bad": ((~good).astype(np.int64), np.ones(len(new), np.int64)),
-            "cuts": (cuts - cut(size)[:-1][chunk_of_cut], per(chunk_of_cut)),
-            "links": (a[last_a] << _BIT | b[last_b], per(chunk_of_cut)),
-            "over_a": (over_a - cut(n_a)[:-1][chunk_of_over], per(chunk_of_over)), "over_b": (over_b - cut(n_b)[:-1][chunk_of_over], per(chunk_of_over)),
+        if self.named:
+            self._name_groups(a, b, last_a, last_b, per(chunk_of_cut))
+        made = {
+            "a": lambda: (a, n_a), "b": lambda: (b, n_b), "bytes": lambda: (size, np.ones(len(new), np.int64)),
+            "cuts": lambda: (cuts - cut(size)[:-1][chunk_of_cut], per(chunk_of_cut)),
+            "links": lambda: (a[last_a] << _BIT | b[last_b], per(chunk_of_cut)),
+            "counts": lambda: (np.column_stack([n_a, n_b]).ravel(), np.full(len(new), 2)),
+            "over_a": lambda: (over_a - cut(n_a)[:-1][place(over_a, cut(n_a)[:-1])], per(place(over_a, cut(n_a)[:-1]))),
+            "over_b": lambda: (over_b - cut(n_b)[:-1][place(over_b, cut(n_b)[:-1])], per(place(over_b, cut(n_b)[:-1]))),
         }
+        return {"bad": ((~good).astype(np.int64), np.ones(len(new), np.int64))} | {f: made[f]() for f in self.fields}
 
     def _name_groups(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, cuts_per_chunk: np.ndarray) -> None:
         """The groups of each chunk as ``a1,a2|b1;a3|b2``."""
-        a, b, named, i, j = list(map(str, a.tolist())), list(map(str, b.tolist())), [], 0, 0
-        for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
-            named.append(f"{a[i] if x == i + 1 else ','.join(a[i:x])}|{b[j] if y == j + 1 else ','.join(b[j:y])}")
-            i, j = x, y
-        ends = cut(cuts_per_chunk).tolist()
+        first_a, first_b = np.concatenate([[0], last_a[:-1] + 1]), np.concatenate([[0], last_b[:-1] + 1])
+        # a group of one and one token is written once for all its occurrences
+        single = (first_a == last_a) & (first_b == last_b)
+        pairs, back = np.unique(a[last_a[single]] << _BIT | b[last_b[single]], return_inverse=True)
+        texts = np.array([f"{p >> 32}|{p & 0xFFFFFFFF}" for p in pairs.tolist()], object)
+        named = np.empty(len(last_a), object)
+        named[single] = texts[back]
+        where = np.flatnonzero(~single)
+        row_a, row_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        for g, i, x, j, y in zip(*(v.tolist() for v in (where, first_a[where], last_a[where] + 1, first_b[where], last_b[where] + 1)), strict=True):
+            named[g] = f"{','.join(row_a[i:x])}|{','.join(row_b[j:y])}"
+        named, ends = named.tolist(), cut(cuts_per_chunk).tolist()
         self.groups += [";".join(named[s:e]) for s, e in zip(ends, ends[1:], strict=False)]
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +188,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     pairs = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches):
-        made = Aligned(Pair(a_path, b_path))
+        made = Aligned(Pair(a_path, b_path), ("a", "b", "bytes", "cuts", "over_a", "over_b"))
         for batch in batches:
             for first, texts in runs_of_texts(batch.column(1)):
                 chunks, per_text, _ = made.texts(texts)
@@ -172,7 +228,7 @@ def link_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 out.append(pa.RecordBatch.from_arrays([pa.array(link[n > 0]), pa.array(n[n > 0])], ["link", "n"]))
             times = np.zeros(0, np.int64)
 
-        made = Aligned(Pair(a_path, b_path), flush)
+        made = Aligned(Pair(a_path, b_path), ("links",), flush)
         for batch in batches:
             for _, texts in runs_of_texts(batch.column(1)):
                 chunks, _, _ = made.texts(texts)
@@ -200,7 +256,7 @@ def digests(ws: Workspace, docs: DataFrame, a_path: str, b_path: str) -> DataFra
 
     def run(batches):
         link, n, best = shared.value
-        made = Aligned(Pair(a_path, b_path))
+        made = Aligned(Pair(a_path, b_path), ("counts", "links"), named=True)
         for batch in batches:
             for first, texts in runs_of_texts(batch.column(1)):
                 chunks, per_text, _ = made.texts(texts)
@@ -211,7 +267,8 @@ def digests(ws: Workspace, docs: DataFrame, a_path: str, b_path: str) -> DataFra
                     used, back = np.unique(chunks, return_inverse=True)
                     links, count = made.flat["links"], made.count["links"][used]
                     at = np.searchsorted(link, links[spread(made.start["links"][used], count)])
-                    of_chunk = [made.count["a"][used], made.count["b"][used], count, count, sums(best[at], count), sums(n[at], count)]
+                    n_a, n_b = made.flat["counts"].reshape(-1, 2)[used].T
+                    of_chunk = [n_a, n_b, count, count, sums(best[at], count), sums(n[at], count)]
                     values = [sums(v[back], per_text) for v in of_chunk]
                 chunks = chunks.tolist()
                 named = [hashlib.sha256(";".join(map(made.groups.__getitem__, chunks[s:e])).encode()).hexdigest() if e > s else "" for s, e in zip(ends, ends[1:], strict=False)]

@@ -18,8 +18,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 
-MOST = 300_000
-MOST_BYTES = 16 << 20
+MOST = 600_000
+MOST_BYTES = 32 << 20
 #: Bytes of text that are looked at together.
 LOOK = 1 << 20
 

@@ -31,7 +31,7 @@ def loops(pair, text):
     none = [], [], [], [], [], []
     if not text:
         return none
-    a, b = pair.a.encode(f" {text}", add_special_tokens=False).ids, pair.b.encode(text)
+    a, b = pair.a.library.encode(f" {text}", add_special_tokens=False).ids, pair.b.encode(text)
     raw = f" {text}".encode()
     if b"".join(pair.a_bytes[i] for i in a) != raw or b"".join(pair.b_bytes[i] for i in b) != raw:
         return none
@@ -98,3 +98,14 @@ def test_null_ids_and_empty_tables(spark):
     assert sorted((r.doc_id is None, r.n_a, r.groups_sha256 != "") for r in rows) == [(False, 0, False), (True, 2, True), (True, 2, True)]
     assert alignment.digests(Workspace(spark, "align"), docs.where("false"), A, B).count() == 0
     assert alignment.alignments(docs.where("false"), A, B).count() == 0
+
+
+def test_byte_ids_are_the_library_s():
+    rng = random.Random(1)
+    made = alignment.ByteIds(A)
+    marks = [chr(c) for c in [*range(1, 0x180), 0x301, 0x2028, 0x3000, 0x1F642] if chr(c) != " "] + ["'s", "'LL", "<|endoftext|>", "the", "ing", "12"]
+    chunks = ["", "aaaaaaa", "it's'll", " x", "a" * 3000, *["".join(rng.choices(marks, k=rng.randint(1, 12))) for _ in range(3000)], *["".join(rng.choices("abcDEFé'.1²", k=rng.randint(1, 15))) for _ in range(3000)]]
+    for some in (chunks, chunks[:2], [], ["x"]):
+        ids, count = made(some)
+        at = tokens.cut(count)
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(some))] == [e.ids for e in made.library.encode_batch([f" {c}" for c in some], add_special_tokens=False)]
