@@ -114,31 +114,3 @@ def image_summary(decisions: DataFrame) -> DataFrame:
 def reason_counts(decisions: DataFrame) -> DataFrame:
     """reason, n over all boxes."""
     return decisions.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
-
-
-def class_quota(decisions: DataFrame, images_per_class: int = 0, boxes_per_class: int = 0) -> DataFrame:
-    """image_id, group, selected: images by mean quality, admitted while every class in them has quota left.
-
-    The choice is sequential by nature, so it folds over one array per group (scene). The array has a small struct
-    per image, and an image that can't fit even alone is left out of it.
-    """
-    good = decisions.where("accepted")
-    counts = F.array(*[F.count_if(F.col("class_id") == c).cast("int") for c in CLASSES])
-    image = good.groupBy("group", "image_id").agg(F.avg("quality_score").alias("mean"), counts.alias("boxes"))
-    # mean quality is rounded for the order, so that equal images tie whatever the order of their sums
-    item = F.struct((-F.bround("mean", 9)).alias("order"), "image_id", "boxes", F.transform("boxes", lambda n: F.least(n, F.lit(1))).alias("images"))
-    lists = image.groupBy("group").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    zero = F.array(*[F.lit(0)] * len(CLASSES))
-    start = F.struct(zero.alias("images"), zero.alias("boxes"), F.array().cast("array<bigint>").alias("chosen"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = F.lit(False)
-        for quota, kind in ((images_per_class, "images"), (boxes_per_class, "boxes")):
-            if quota > 0:
-                full |= F.exists(F.zip_with(acc[kind], x[kind], lambda used, more: (more > 0) & (used + more > quota)), lambda over: over)
-        add = lambda kind: F.zip_with(acc[kind], x[kind], lambda used, more: used + more).alias(kind)
-        new = F.struct(add("images"), add("boxes"), F.concat(acc["chosen"], F.array(x["image_id"])).alias("chosen"))
-        return F.when(full, acc).otherwise(new)
-
-    chosen = lists.select("group", F.explode(F.aggregate("items", start, step, lambda acc: acc["chosen"])).alias("image_id")).withColumn("_in", F.lit(True))
-    return image.select("group", "image_id").join(chosen, ["group", "image_id"], "left").select("group", "image_id", F.coalesce("_in", F.lit(False)).alias("selected"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.functions.catalog import CLASSES
+from gridlark.operators.naming import unique_names
 from gridlark.operators.ranking import lot, running
 
 
@@ -43,14 +44,15 @@ def with_pseudo(original: DataFrame, pseudo: DataFrame, seed: int = 42) -> DataF
     """original (split, name) and pseudo-labelled images (source_idx from 1, name, valid lines): one table of both.
 
     Each pseudo source is cut at 80 and 90 % of its images in random order, whatever their labels; then those without a
-    valid line go. Names get the source's prefix, and a number where the split has the name already.
+    valid line go. Names get the source's prefix, and a number where the split has the name already: originals come first,
+    then the pseudo sources in turn, by name.
     """
     lots = F.concat_ws(":", "source_idx", "name")
     keyed = pseudo.withColumns({"_source": F.col("source_idx"), "_lots": lots})
     cut = ratio_split(keyed, "_lots", seed, within="_source", cuts=(0.8, 0.9)).where("valid > 0")
-    named = cut.select("split", F.concat(F.lit("pseudo"), F.col("source_idx").cast("string"), F.lit("_"), F.col("name")).alias("name"), F.lit(1).alias("_pseudo"))
-    both = original.select("split", "name", F.lit(0).alias("_pseudo")).unionByName(named)
-    return unique_names(both, "split", "name", ["_pseudo", "name"]).select("split", "sample_name", (F.col("_pseudo") == 1).alias("pseudo"))
+    named = cut.select("split", F.concat(F.lit("pseudo"), F.col("source_idx").cast("string"), F.lit("_"), F.col("name")).alias("name"), F.col("source_idx").cast("long").alias("_pseudo"))
+    both = original.select("split", "name", F.lit(0).cast("long").alias("_pseudo")).unionByName(named)
+    return unique_names(both, "split", "name", ["_pseudo", "name"]).select("split", "sample_name", (F.col("_pseudo") > 0).alias("pseudo"))
 
 
 def group_split(rows: DataFrame, group: str, test_share: float = 0.25, valid_share: float = 0.15) -> DataFrame:
@@ -248,14 +250,6 @@ def capped_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[Colu
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_r") <= cap).drop("_r")
 
 
-def unique_names(rows: DataFrame, within: str, name: str, order: Sequence[str]) -> DataFrame:
-    """rows with sample_name: the name, or name_1, name_2 for later ones of equal letters (case aside)."""
-    at = F.row_number().over(Window.partitionBy(within, F.lower(name)).orderBy(*order)) - 1
-    dot = F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    bare = F.regexp_replace(name, r"\.[^.]*$", "")
-    return rows.withColumn("sample_name", F.when(at == 0, F.col(name)).otherwise(F.concat(bare, F.lit("_"), at.cast("string"), dot)))
-
-
 def even_indices(count: Column, n: int, central: float = 0.8) -> Column:
     """n evenly spaced indices over the central share of 0 .. count - 1; the middle one for n = 1."""
     if n == 1:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlark.functions import boxes as B
 from gridlark.functions import catalog, hashes, names
-from gridlark.operators import decisions, duplicates, matching, metrics, profile, rollups, splits
+from gridlark.operators import decisions, duplicates, matching, metrics, profile, quota, rollups, splits
 from gridlark.plans import fixtures as fx
 from gridlark.sources import labels, sinks
 
@@ -427,7 +427,7 @@ st AS (
 )
 SELECT scene AS "group", image_id, sel AS selected FROM st WHERE image_id IS NOT NULL""")
 def l11_class_quota(spark: SparkSession, d: str) -> DataFrame:
-    return decisions.class_quota(_decided(spark, d).withColumnRenamed("scene", "group"), images_per_class=50)
+    return quota.class_quota(_decided(spark, d).withColumnRenamed("scene", "group"), images_per_class=50)
 
 
 @query(f"""SELECT class_id, count(*)::BIGINT AS n, count(*) FILTER (WHERE confidence < 0.5)::BIGINT AS low_confidence,
@@ -540,14 +540,24 @@ def w09_top_and_random(spark: SparkSession, d: str) -> DataFrame:
     return splits.top_and_random(rows, "class_id", "k", [F.col("confidence").desc()], 100, 42).select("class_id", "k", "chosen_by")
 
 
-_NAMED = "(SELECT p_partkey AS k, p_brand AS split, CASE WHEN p_partkey % 2 = 0 THEN 'IMG_' ELSE 'img_' END || (p_size % 5)::VARCHAR || '.jpg' AS name FROM part)"
+def named_sql(rows: str, order: str) -> str:
+    """Rows (split, name, more) with sample_name, given out one after another within families of names that can meet."""
+    return f"""(WITH RECURSIVE b AS (SELECT *, regexp_extract(name, '^.+(\\.[^.]+)$', 1) AS ext FROM {rows}),
+c AS (SELECT *, substr(name, 1, length(name) - length(ext)) AS bare FROM b),
+n AS (SELECT *, row_number() OVER (PARTITION BY split, family ORDER BY {order}) AS r FROM (SELECT *, regexp_replace(lower(bare), '^(.+?)((_[1-9][0-9]*)*)$', '\\1') || lower(ext) AS family FROM c) f),
+s AS (SELECT DISTINCT split, family, 0::BIGINT AS r, []::VARCHAR[] AS used, NULL::VARCHAR AS given FROM n
+UNION ALL SELECT s.split, s.family, n.r, list_append(s.used, lower(g.given)), g.given FROM s JOIN n ON n.split = s.split AND n.family = s.family AND n.r = s.r + 1,
+LATERAL (SELECT CASE WHEN NOT list_contains(s.used, lower(n.name)) THEN n.name ELSE list_filter(list_transform(range(1, len(s.used) + 2), lambda i: n.bare || '_' || i::VARCHAR || n.ext), lambda x: NOT list_contains(s.used, lower(x)))[1] END AS given) g)
+SELECT n.* EXCLUDE (ext, bare, family, r), s.given AS sample_name FROM n JOIN s ON n.split = s.split AND n.family = s.family AND n.r = s.r)"""
 
 
-@query(f"SELECT k, split, CASE WHEN r = 0 THEN name ELSE replace(name, '.jpg', '') || '_' || r::VARCHAR || '.jpg' END AS sample_name FROM (SELECT *, row_number() OVER (PARTITION BY split, lower(name) ORDER BY k) - 1 AS r FROM {_NAMED} z) x")
+# Names that meet in letter case, and names that carry numbers which others would be given.
+_NAME = "concat(CASE WHEN p_partkey % 2 = 0 THEN 'IMG_' ELSE 'img_' END, CAST(p_size % 5 AS STRING), CASE WHEN p_partkey % 7 = 0 THEN '_1' WHEN p_partkey % 11 = 0 THEN '_1_1' WHEN p_partkey % 13 = 0 THEN '_3' ELSE '' END, '.jpg')"
+
+
+@query(f"SELECT k, split, sample_name FROM {named_sql(f'(SELECT p_partkey AS k, p_brand AS split, {_NAME} AS name FROM part)', 'k')} z")
 def w10_unique_names(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    name = F.concat(F.when(k % 2 == 0, "IMG_").otherwise("img_"), (F.col("p_size") % 5).cast("string"), F.lit(".jpg"))
-    rows = spark.read.parquet(f"{d}/part.parquet").select(k.alias("k"), F.col("p_brand").alias("split"), name.alias("name"))
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("split"), F.expr(_NAME).alias("name"))
     return splits.unique_names(rows, "split", "name", ["k"]).select("k", "split", "sample_name")
 
 

@@ -9,7 +9,7 @@ from gridlark.functions import names
 from gridlark.operators import decisions, splits
 from gridlark.plans import fixtures as fx
 from gridlark.plans.more_queries import ORACLES, QUERIES
-from gridlark.plans.queries import _P, query
+from gridlark.plans.queries import _P, named_sql, query
 from gridlark.sources import labels
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -59,15 +59,21 @@ def p22_title_classes(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/part.parquet").select(k.alias("k"), F.array_join(names.weak_classes(title).cast("array<string>"), ",").alias("classes"))
 
 
-@query("""WITH p AS (SELECT o_orderkey % 3 + 1 AS s, 'img' || (o_orderkey % 5000)::VARCHAR || '_' || o_orderkey::VARCHAR || '.jpg' AS name, o_orderkey % 11 AS valid FROM orders WHERE o_orderkey % 2 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5('42:' || s::VARCHAR || ':' || name), s::VARCHAR || ':' || name) AS r, count(*) OVER (PARTITION BY s) AS n FROM p)
-SELECT CASE o_orderkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split, 'old' || o_orderkey::VARCHAR || '.jpg' AS sample_name, false AS pseudo FROM orders WHERE o_orderkey % 2 = 1
-UNION ALL SELECT CASE WHEN r <= floor(n * 0.8) THEN 'train' WHEN r <= floor(n * 0.9) THEN 'valid' ELSE 'test' END, 'pseudo' || s::VARCHAR || '_' || name, true FROM r WHERE valid > 0""")
+# Some originals have the name that a pseudo-labelled image will get, or the one with a number after it.
+_OLD = """CASE WHEN o_orderkey % 10 = 1 THEN concat('PSEUDO', CAST((o_orderkey - 1) % 3 + 1 AS STRING), '_img', CAST((o_orderkey - 1) % 5000 AS STRING), '_', CAST(o_orderkey - 1 AS STRING), '.JPG')
+WHEN o_orderkey % 10 = 3 THEN concat('pseudo', CAST((o_orderkey - 3) % 3 + 1 AS STRING), '_img', CAST((o_orderkey - 3) % 5000 AS STRING), '_', CAST(o_orderkey - 3 AS STRING), '_1.jpg') ELSE concat('old', CAST(o_orderkey AS STRING), '.jpg') END"""
+_BOTH = f"""(SELECT CASE o_orderkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split, {_OLD} AS name, 0 AS s FROM orders WHERE o_orderkey % 2 = 1
+UNION ALL SELECT CASE WHEN r <= floor(n * 0.8) THEN 'train' WHEN r <= floor(n * 0.9) THEN 'valid' ELSE 'test' END, 'pseudo' || s::VARCHAR || '_' || name, s FROM (
+SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5('42:' || s::VARCHAR || ':' || name), s::VARCHAR || ':' || name) AS r, count(*) OVER (PARTITION BY s) AS n FROM
+(SELECT o_orderkey % 3 + 1 AS s, 'img' || (o_orderkey % 5000)::VARCHAR || '_' || o_orderkey::VARCHAR || '.jpg' AS name, o_orderkey % 11 AS valid FROM orders WHERE o_orderkey % 2 = 0) p) q WHERE valid > 0)"""
+
+
+@query(f"SELECT split, sample_name, s > 0 AS pseudo FROM {named_sql(_BOTH, 's, name')} z")
 def u02_with_pseudo(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     rows = spark.read.parquet(f"{d}/orders.parquet")
     split = F.when(k % 3 == 0, "train").when(k % 3 == 1, "valid").otherwise("test")
-    original = rows.where(k % 2 == 1).select(split.alias("split"), F.concat(F.lit("old"), k.cast("string"), F.lit(".jpg")).alias("name"))
+    original = rows.where(k % 2 == 1).select(split.alias("split"), F.expr(_OLD).alias("name"))
     name = F.concat(F.lit("img"), (k % 5000).cast("string"), F.lit("_"), k.cast("string"), F.lit(".jpg"))
     pseudo = rows.where(k % 2 == 0).select((k % 3 + 1).alias("source_idx"), name.alias("name"), (k % 11).alias("valid"))
     return splits.with_pseudo(original, pseudo)

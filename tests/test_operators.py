@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.operators import decisions, duplicates, matching, metrics, ranking, rollups, splits
+from gridlark.operators import decisions, duplicates, matching, metrics, quota, ranking, rollups, splits
 from gridlark.sources import labels, sinks
 
 BOX = "class_id int, xc double, yc double, w double, h double"
@@ -138,7 +138,7 @@ def test_label_files_round_trip(spark, tmp_path):
 def test_quota_admits_by_quality(spark):
     rows = [(0, 1, 3, 0.9), (0, 2, 3, 0.8), (0, 2, 4, 0.8), (0, 3, 4, 0.7)]
     df = spark.createDataFrame([(g, i, c, q, True) for g, i, c, q in rows], "group long, image_id long, class_id int, quality_score double, accepted boolean")
-    got = {r.image_id: r.selected for r in decisions.class_quota(df, images_per_class=1).collect()}
+    got = {r.image_id: r.selected for r in quota.class_quota(df, images_per_class=1).collect()}
     assert got == {1: True, 2: False, 3: True}
 
 
