@@ -19,7 +19,8 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 def label_lines(spark: SparkSession, folder: str) -> DataFrame:
     """image_id (the file's stem), line_no, line of all label files below a folder."""
-    text = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(f"{folder}").select(F.col("_metadata.file_path").alias("path"), "value")
+    # read.text() would set wholetext anew
+    text = spark.read.format("text").option("recursiveFileLookup", True).option("wholetext", True).load(folder).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line_no", "line")
     return text.where(F.col("value") != "").select(stem(F.col("path")).alias("image_id"), lines)
 
