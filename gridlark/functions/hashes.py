@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,16 +45,72 @@ def hamming(left: list[Column], right: list[Column]) -> Column:
     return total
 
 
-def bands(limbs: list[Column], distance: int, width: int = 32) -> Column:
-    """distance + 1 disjoint pieces of the bits; hashes within the distance agree in one of them at least."""
-    n, total = distance + 1, width * len(limbs)
-    out = []
-    for k in range(n):
-        low, high = total * k // n, total * (k + 1) // n
-        pieces = []
-        for i, limb in enumerate(limbs):
-            a, b = max(low, width * i), min(high, width * (i + 1))
-            if a < b:
-                pieces.append(F.shiftright(limb, a - width * i).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).cast("string"))
-        out.append(F.concat_ws(":", F.lit(str(k)), *pieces))
-    return F.array(*out)
+class Piece(NamedTuple):
+    """Bits low .. high - 1 of a hash, in which hashes within the whole distance differ by at most ``radius`` in one piece at least."""
+
+    low: int
+    high: int
+    radius: int
+
+    @property
+    def half(self) -> int:
+        """Bits of the piece's lower half."""
+        return (self.high - self.low) // 2
+
+    def share(self) -> float:
+        """Of pairs of random hashes, those within the radius."""
+        width = self.high - self.low
+        return sum(comb(width, k) for k in range(self.radius + 1)) / 2**width
+
+    def flips(self, upper: bool) -> list[int]:
+        """What one side flips in its own half, with both halves' numbers of flips in the high bits: every own choice meets the
+        other side's once, so pairs within the radius have one key in common and others none."""
+        width, own = self.high - self.low, range(self.half, self.high - self.low) if upper else range(self.half)
+        rest = self.half if upper else width - self.half
+        out = []
+        for n in range(min(self.radius, len(own)) + 1):
+            for chosen in combinations(own, n):
+                for other in range(min(self.radius - n, rest) + 1):
+                    low, high = (other, n) if upper else (n, other)
+                    out.append((low * 32 + high) << 32 | sum(1 << b for b in chosen))
+        return out
+
+
+def pieces(distance: int, bits: int = 64, share: float = 0.01, rows: int = 4096) -> list[Piece]:
+    """The cut into the most pieces by which at most ``share`` of the pairs of random hashes are looked at, with at most ``rows`` keys for
+    a hash; if there is none, the cut of the least share. Radii and pieces add up to distance + 1, so no pair is missed; a radius of
+    -1 asks nothing of its piece."""
+    best: list[Piece] = []
+    least = -(-bits // 32)  # a piece's value has 32 bits at most
+    for n in range(max(distance + 1, least), least - 1, -1):
+        each, more = divmod(distance + 1, n)
+        cut = [Piece(bits * k // n, bits * (k + 1) // n, each - 1 + (k < more)) for k in range(n)]
+        keys = max(sum(sum(comb(h, i) * (p.radius - i + 1) for i in range(p.radius + 1)) for p in cut for h in [p.half if side else p.high - p.low - p.half]) for side in (0, 1))
+        if best and keys > rows:
+            continue
+        if not best or sum(p.share() for p in cut) < sum(p.share() for p in best):
+            best = cut
+        if sum(p.share() for p in best) <= share:
+            break
+    return best
+
+
+def piece_value(limbs: list[Column], piece: Piece, width: int = 32) -> Column:
+    out = F.lit(0).cast("long")
+    for i, limb in enumerate(limbs):
+        a, b = max(piece.low, width * i), min(piece.high, width * (i + 1))
+        if a < b:
+            part = F.shiftright(limb, a - width * i).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
+            out = out.bitwiseOR(F.shiftleft(part, a - piece.low))
+    return out
+
+
+def probes(limbs: list[Column], cut: list[Piece], upper: bool) -> Column:
+    """The keys of a hash on one side; two hashes of different sides within the distance share one at least."""
+
+    def keys(k: int, piece: Piece) -> Column:
+        value = piece_value(limbs, piece)
+        flips = ",".join(str(k << 42 | f) for f in piece.flips(upper))
+        return F.transform(F.split(F.lit(flips), ",").cast("array<long>"), lambda f: f.bitwiseXOR(value))
+
+    return F.concat(*[keys(k, p) for k, p in enumerate(cut) if p.radius >= 0])

@@ -455,20 +455,19 @@ def j10_name_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BITS = "list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + {o}] > 0 THEN (1::BIGINT << i::INT) ELSE 0 END))::BIGINT"
-# Four vectors in a row share a hash but for planted flips: none, 3 bits, 5 bits, 6 bits. Their datasets take turns.
-_FLIPS = ("CASE vec_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 7 WHEN 2 THEN 28 ELSE 2016 END", "CASE vec_id % 4 WHEN 2 THEN 6 ELSE 0 END")
-PLANTED = f"""SELECT e.vec_id, e.label, e.vec_id % 3 AS dataset, xor({_BITS.format(o=1).replace("embedding", "l.embedding")}, ({_FLIPS[0].replace("vec_id", "e.vec_id")})::BIGINT) AS h0, xor({_BITS.format(o=33).replace("embedding", "l.embedding")}, ({_FLIPS[1].replace("vec_id", "e.vec_id")})::BIGINT) AS h1
-FROM embeddings e JOIN (SELECT vec_id AS lead, embedding FROM embeddings) l ON l.lead = e.vec_id - e.vec_id % 4"""
+# Every vector and a copy of it with planted flips: none, 3, 5, 6, 9 or 12 bits; copies are in another dataset.
+_FLIPS = ("CASE vec_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 7 WHEN 2 THEN 28 WHEN 3 THEN 2016 WHEN 4 THEN 511 ELSE 65520 END", "CASE vec_id % 6 WHEN 2 THEN 6 ELSE 0 END")
+PLANTED = f"""SELECT vec_id * 2 AS vec_id, label, vec_id % 3 AS dataset, {_BITS.format(o=1)} AS h0, {_BITS.format(o=33)} AS h1 FROM embeddings
+UNION ALL SELECT vec_id * 2 + 1, label, (vec_id + 1) % 3, xor({_BITS.format(o=1)}, ({_FLIPS[0]})::BIGINT), xor({_BITS.format(o=33)}, ({_FLIPS[1]})::BIGINT) FROM embeddings"""
 
 
 def planted_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """image_id, label, dataset, h0, h1."""
-    a, b = hashes.sign_hash(F.col("embedding"))
-    rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    leads = rows.where("vec_id % 4 = 0").select(F.col("vec_id").alias("_lead"), a.alias("_a"), b.alias("_b"))
-    joined = rows.select(F.col("vec_id"), "label").join(leads, F.col("vec_id") - F.col("vec_id") % 4 == F.col("_lead"))
-    flipped = [F.col(c).bitwiseXOR(F.expr(f).cast("long")).alias(h) for c, f, h in zip(("_a", "_b"), _FLIPS, ("h0", "h1"), strict=True)]
-    return joined.select(F.col("vec_id").alias("image_id"), "label", (F.col("vec_id") % 3).alias("dataset"), *flipped)
+    """image_id (even: a vector, odd: its copy), label, dataset, h0, h1."""
+    h0, h1 = hashes.sign_hash(F.col("embedding"))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").withColumns({"h0": h0, "h1": h1})
+    own = rows.select((F.col("vec_id") * 2).alias("image_id"), "label", (F.col("vec_id") % 3).alias("dataset"), "h0", "h1")
+    flipped = [F.col(h).bitwiseXOR(F.expr(f).cast("long")).alias(h) for f, h in zip(_FLIPS, ("h0", "h1"), strict=True)]
+    return own.unionByName(rows.select((F.col("vec_id") * 2 + 1).alias("image_id"), "label", ((F.col("vec_id") + 1) % 3).alias("dataset"), *flipped))
 
 
 @query(f"""WITH h AS ({PLANTED})
@@ -478,6 +477,13 @@ def j11_hash_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.by_hash(planted_hashes(spark, d), ["h0", "h1"], 5)
 
 
+@query(f"""WITH h AS ({PLANTED})
+SELECT a.vec_id AS left_id, b.vec_id AS right_id, (bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id AND a.dataset <> b.dataset
+WHERE bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) <= 12""")
+def j11_far_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.by_hash(planted_hashes(spark, d), ["h0", "h1"], 12)
+
+
 # ---------------------------------------------------------------- splits and samples
 
 

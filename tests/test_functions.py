@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,8 +59,25 @@ def test_parsers(spark):
     assert one(spark, names.parsed_numbers(F.lit("0.1, 0.2,"))) == [0.1, 0.2]
 
 
-def test_hash_bands_meet_within_distance(spark):
-    rows = spark.createDataFrame([(0b1010, 0), (0b1000, 0)], "h0 long, h1 long")
-    bands = [r[0] for r in rows.select(hashes.bands([F.col("h0"), F.col("h1")], 1)).collect()]
-    assert set(bands[0]) & set(bands[1])
+def test_probes_meet_once_a_piece_within_its_radius(spark):
+    rng = random.Random(6)
+    for distance, bits in ((0, 64), (1, 64), (5, 64), (8, 64), (12, 64), (3, 32)):
+        cut = hashes.pieces(distance, bits)
+        assert sum(p.radius + 1 for p in cut) == distance + 1 and cut[0].low == 0 and cut[-1].high == bits
+        pairs = []
+        for _ in range(40):
+            a = rng.getrandbits(bits)
+            pairs.append((a, a ^ sum(1 << k for k in rng.sample(range(bits), rng.randint(0, min(bits, distance + 6))))))
+        limbs = lambda x: [x >> 32 * i & 0xFFFFFFFF for i in range(bits // 32)]
+        names = [f"{s}{i}" for s in "lr" for i in range(bits // 32)]
+        rows = spark.createDataFrame([(*limbs(a), *limbs(b)) for a, b in pairs], ", ".join(f"{n} long" for n in names))
+        sides = [hashes.probes([F.col(n) for n in names if n[0] == s], cut, s == "r") for s in "lr"]
+        for (a, b), r in zip(pairs, rows.select(*sides).collect(), strict=True):
+            near = sum(bin((a ^ b) >> p.low & (1 << p.high - p.low) - 1).count("1") <= p.radius for p in cut)
+            assert len(set(r[0]) & set(r[1])) == near and (near > 0 or bin(a ^ b).count("1") > distance)
+            assert len(set(r[0])) == len(r[0]) and len(set(r[1])) == len(r[1])
+    assert sum(p.share() for p in hashes.pieces(12)) < 0.01
+
+
+def test_hash_distance(spark):
     assert one(spark, hashes.hamming([F.lit(10)], [F.lit(8)])) == 1

@@ -161,21 +161,22 @@ def test_choose_groups_is_disjoint():
     assert test and valid and not set(test) & set(valid)
 
 
-def test_hash_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("limit", [0, 5, 12])
+def test_hash_duplicates_match_brute_force(spark, limit):
     rng = random.Random(2)
     base = [rng.getrandbits(62) for _ in range(12)]
     rows = []
     for i in range(60):
         h = rng.choice(base)
-        for _ in range(rng.randint(0, 4)):
+        for _ in range(rng.randint(0, 9)):
             h ^= 1 << rng.randint(0, 61)
         rows.append((i, i % 3, h & 0xFFFFFFFF, h >> 32))
-    got = {(r.left_id, r.right_id, r.distance) for r in duplicates.by_hash(spark.createDataFrame(rows, "image_id long, dataset int, h0 long, h1 long"), ["h0", "h1"], 5).collect()}
+    got = {(r.left_id, r.right_id, r.distance) for r in duplicates.by_hash(spark.createDataFrame(rows, "image_id long, dataset int, h0 long, h1 long"), ["h0", "h1"], limit).collect()}
     want = set()
     for a in rows:
         for b in rows:
             d = bin((a[2] ^ b[2]) | ((a[3] ^ b[3]) << 32)).count("1")
-            if a[0] < b[0] and a[1] != b[1] and d <= 5:
+            if a[0] < b[0] and a[1] != b[1] and d <= limit:
                 want.add((a[0], b[0], d))
     assert got == want
 
