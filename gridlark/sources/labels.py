@@ -9,6 +9,8 @@ from gridlark.functions.catalog import CLASSES, IMAGE_EXTENSIONS, class_id
 from gridlark.functions.names import extension, file_name, parent, parts, stem
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: The same for an SQL text, whose strings know backslashes.
+NUMBER_SQL = NUMBER.replace("\\", "\\\\")
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,6 +27,21 @@ def label_lines(spark: SparkSession, folder: str) -> DataFrame:
     return text.where(F.col("value") != "").select(stem(F.col("path")).alias("image_id"), lines)
 
 
+def register_label_boxes(spark: SparkSession, name: str = "label_boxes") -> None:
+    """An SQL function of a label text, for ``SELECT .. FROM (SELECT *, label_boxes(value) AS boxes FROM files), LATERAL inline(boxes)``: line_no, class_id, xc, yc,
+    w, h of each line of five numbers of a known class, as ``lenient`` gives them.
+
+    It is an expression that the plan around it takes in: rows are made where the text is read, without a join or a shuffle.
+    """
+    number = lambda i: f"CASE WHEN get(t, {i}) RLIKE '{NUMBER_SQL}' THEN try_cast(get(t, {i}) AS DOUBLE) END"
+    fields = ", ".join(f"'{c}', {number(i + 1)}" for i, c in enumerate(("xc", "yc", "w", "h")))
+    known = " AND ".join(f"b.{c} IS NOT NULL" for c in ("xc", "yc", "w", "h"))
+    spark.sql(rf"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(label_text STRING) RETURNS ARRAY<STRUCT<line_no: INT, class_id: INT, xc: DOUBLE, yc: DOUBLE, w: DOUBLE, h: DOUBLE>>
+    RETURN filter(transform(transform(split(regexp_replace(label_text, r'\n$', ''), r'\n'), l -> split(regexp_replace(l, r'^\s+|\s+$', ''), r'\s+')),
+      (t, i) -> CASE WHEN size(t) = 5 THEN named_struct('line_no', i, 'class_id', CAST({number(0)} AS INT), {fields}) END),
+      b -> b IS NOT NULL AND b.class_id IN ({", ".join(map(str, CLASSES))}) AND {known})""")
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """lines with class_id, xc, yc, w, h (null where a line isn't five numbers of a known class) and blank."""
     tokens = F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), r"\s+")

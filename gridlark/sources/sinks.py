@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,27 @@ def union_of_columns(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def header(rows: DataFrame) -> DataFrame:
+    """key, place (from 0) of ragged rows (row, cells as an array of key and value): keys in the order in which they are first seen."""
+    seen = rows.select("row", F.posexplode("cells").alias("at", "cell")).groupBy(F.col("cell.key").alias("key")).agg(F.min(F.struct("row", "at")).alias("first"))
+    # a row per column
+    return seen.select("key", (F.row_number().over(Window.orderBy("first")) - 1).alias("place"))
+
+
+def from_ragged(rows: DataFrame) -> DataFrame:
+    """row and a text column for every key of ragged rows, in the order in which keys are first seen; a cell that a row lacks is empty,
+    of a key that a row has twice the last value counts."""
+    keys = [r["key"] for r in header(rows).orderBy("place").collect()]  # the columns of the table to come
+    cells = rows.select("row", F.map_from_entries(F.expr("filter(cells, (c, i) -> not exists(slice(cells, i + 2, size(cells)), d -> d.key = c.key))")).alias("m"))
+    return cells.select("row", *[F.coalesce(F.try_element_at("m", F.lit(k)), F.lit("")).alias(k) for k in keys])
+
+
+def csv_line(columns: list[str]) -> Column:
+    """Columns as one line of CSV: quotes around what has a quote, a comma or a line end."""
+    quoted = lambda c: F.when(F.col(c).rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(c), F.lit("")))
+    return F.concat_ws(",", *[quoted(f"`{c}`") for c in columns])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
 
