@@ -1,8 +1,8 @@
 """Media columns: payloads as WAV, short-time Fourier transforms and spectral-peak pair fingerprints.
 
 ``encode_wav`` adds a column of whole WAV files (mono, 8 bit, made and read by the wave module), ``fingerprint``
-reads such a column back. A fingerprint is an array of (time, code): spectral peaks are the local maxima of the
-STFT magnitude over a neighbourhood of frames and bins; each peak is paired with the next ones within a span of
+reads such a column back. A fingerprint is an array of (time, code): spectral peaks are the strongest local maxima over the bins of a frame
+of the STFT magnitude, above the mean of the frame; each peak is paired with the next ones within a span of
 frames, and a pair's code packs both bins and the distance, stored at the first peak's frame.
 
 Every document is handled by itself inside its batch: nothing is shuffled, and memory is bounded by the longest
