@@ -72,3 +72,8 @@ def against_reference(images: DataFrame, reference: DataFrame, limbs: Sequence[s
 def leakage(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that both tables hold: an intersection that has to be empty for disjoint splits."""
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi")
+
+
+def unknown(used: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Keys in use that aren't known, once each."""
+    return used.select(key).distinct().join(known.select(key), key, "left_anti")

@@ -173,3 +173,16 @@ def top_per_image(predictions: DataFrame, n: int = 1, by: Sequence[Column] | Non
     order = list(by) if by else [F.col("confidence").desc()]
     w = Window.partitionBy("image_id").orderBy(*order, "pred_idx")
     return predictions.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def side_by_side(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Per image, the boxes of two models: how many, and their classes by confidence. Images that one model leaves out have none of it."""
+
+    def own(predictions: DataFrame, name: str) -> DataFrame:
+        ranked = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "pred_idx", "class_id")))
+        classes = F.array_join(F.transform(ranked, lambda b: b["class_id"].cast("string")), ",")
+        return predictions.groupBy("image_id").agg(F.count("*").alias(f"{name}_boxes"), classes.alias(f"{name}_classes"))
+
+    both = own(first, "first").join(own(second, "second"), "image_id", "full")
+    filled = lambda n: [F.coalesce(f"{n}_boxes", F.lit(0)).alias(f"{n}_boxes"), F.coalesce(f"{n}_classes", F.lit("")).alias(f"{n}_classes")]
+    return both.select("image_id", *filled("first"), *filled("second"))

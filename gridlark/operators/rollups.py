@@ -33,6 +33,18 @@ def guardrails(rows: DataFrame, exact: Sequence[str], slack: Sequence[str], allo
     return rows.withColumn("passes", ok)
 
 
+def seed_results(scene: DataFrame, locked: DataFrame) -> DataFrame:
+    """Measures of both evaluations of each (seed, stage) that has both, as scene_<measure> and locked_<measure>."""
+    key = ["seed", "stage"]
+    own = lambda df, name: df.select(*key, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in key])
+    return own(scene, "scene").join(own(locked, "locked"), key)
+
+
+def counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """n by all keys, by each shorter run of them from the first, and of all rows, where the keys left out are null."""
+    return rows.rollup(*keys).agg(F.count("*").alias("n"))
+
+
 def joined_reports(base: DataFrame, *reports: DataFrame, key: str = "model") -> DataFrame:
     """The base table with the columns of every report of its model, where there is one."""
     for r in reports:

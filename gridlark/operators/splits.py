@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -105,6 +106,21 @@ def choose_groups(counts: list[tuple[str, dict[int, int]]], images: Mapping[str,
     return choice
 
 
+def pooled(tables: Mapping[str, DataFrame], leave_out: Sequence[str] = ()) -> DataFrame:
+    """The rows of splits in one table, with the split that each is from; splits in ``leave_out`` give none."""
+    kept = [t.withColumn("split", F.lit(name)) for name, t in tables.items() if name not in leave_out]
+    return reduce(lambda a, b: a.unionByName(b), kept)
+
+
+def held_out(rows: DataFrame, group: str, names: Sequence) -> DataFrame:
+    """rows with held_out: whether the group is one of the names. If that would hold out every row, none is."""
+    hit = F.coalesce(F.col(group).isin(*names), F.lit(False)) if names else F.lit(False)
+    others = rows.where(~hit).limit(1).select(F.lit(True).alias("_others"))
+    some = rows.select(F.lit(1).alias("_one")).limit(1).join(F.broadcast(others), F.lit(True), "left").select(F.col("_others").isNotNull().alias("_some"))
+    # one row
+    return rows.crossJoin(F.broadcast(some)).withColumn("held_out", hit & F.col("_some")).drop("_some")
+
+
 def with_split(rows: DataFrame, splits: DataFrame, group: str) -> DataFrame:
     """rows with the split of their group; the split table has a row per group."""
     return rows.join(splits.select(group, "split"), group)
