@@ -103,7 +103,7 @@ def slug(text: Column, most: int = 90) -> Column:
 
 def parsed_map(text: Column) -> Column:
     """``a=0.5, b=0.6`` as a map from trimmed lower-case names to numbers; empty text is an empty map."""
-    entries = F.filter(F.transform(F.split(text, ","), F.trim), lambda e: e != "")
+    entries = F.filter(F.transform(F.split(text, ","), lambda e: F.trim(e)), lambda e: e != "")
     pairs = F.transform(entries, lambda e: F.struct(F.lower(F.trim(F.substring_index(e, "=", 1))).alias("k"), F.trim(F.substring_index(e, "=", -1)).try_cast("double").alias("v")))
     return F.map_from_entries(pairs)
 

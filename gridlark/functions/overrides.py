@@ -9,7 +9,7 @@ from gridlark.functions.catalog import class_id
 
 
 def _items(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda e: e != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda e: F.trim(e)), lambda e: e != "")
 
 
 def _wrong(what: str, item: Column) -> Column:

@@ -84,24 +84,42 @@ def greedy_match(predictions: DataFrame, truth: DataFrame, thresholds: Sequence[
     return joined.select(*[every[c] for c in every.columns], matched.alias("is_tp"), F.coalesce("iou", F.lit(0.0)).alias("best_iou"), F.when(matched, F.col("gt_idx")).alias("gt_idx"), F.when(matched, F.col("gt_class")).alias("gt_class"))
 
 
+def _hits_of_fold(pairs: Column, preds: Column, boxes: Column, every: int) -> Column:
+    """The greedy fold for all thresholds at once: pred_idx and hits of each prediction.
+
+    A pair is its prediction's best at the thresholds, as bits, at which the prediction is open and the box free; it takes the
+    box at those that its overlap reaches. The state is a number for each prediction and box.
+    """
+    zeros = lambda of: F.transform(of, lambda _: F.lit(0))
+    start = F.struct(zeros(boxes).alias("taken"), zeros(preds).alias("done"), zeros(preds).alias("hits"))
+
+    def step(acc: Column, x: Column) -> Column:
+        box, pred = F.array_position(boxes, x["gt_idx"]).cast("int") - 1, F.array_position(preds, x["pred_idx"]).cast("int") - 1
+        open_ = F.bitwise_not(F.get(acc["taken"], box).bitwiseOR(F.get(acc["done"], pred))).bitwiseAND(F.lit(every))
+        won = open_.bitwiseAND(x["bits"])
+        add = lambda name, at, more: F.transform(acc[name], lambda v, i: F.when(i == at, v.bitwiseOR(more)).otherwise(v)).alias(name)
+        return F.when(open_ == 0, acc).otherwise(F.struct(add("taken", box, won), add("done", pred, open_), add("hits", pred, won)))
+
+    return F.aggregate(pairs, start, step, lambda acc: F.zip_with(preds, acc["hits"], lambda p, h: F.struct(p.alias("pred_idx"), h.alias("hits"))))
+
+
 def hit_masks(predictions: DataFrame, truth: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """predictions with hits: bit i is set if the prediction is a match of its class at the i-th overlap threshold.
 
     As greedy_match for each threshold, but each image's pairs and each prediction are one row for all thresholds. In an
-    image without a contested box a prediction's overlap says it all; only others are folded, once per threshold.
+    image without a contested box a prediction's overlap says it all; only others are folded, once for all thresholds.
     """
     pairs = overlaps(predictions, truth, least=min(thresholds))
     keys = ["image_id", "pred_class"]
-    item = F.struct((-F.col("confidence")).alias("order"), "pred_idx", (-F.col("iou")).alias("far"), "gt_idx", "iou", "gt_class")
+    bits = sum((F.when(F.col("iou") >= t, 1 << i).otherwise(0) for i, t in enumerate(thresholds)), F.lit(0)).cast("int")
+    item = F.struct((-F.col("confidence")).alias("order"), "pred_idx", (-F.col("iou")).alias("far"), "gt_idx", bits.alias("bits"))
     groups = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("pairs"), F.count("*").alias("n"))
-    lone = (F.size(F.array_distinct("pairs.pred_idx")) == F.col("n")) & (F.size(F.array_distinct("pairs.gt_idx")) == F.col("n"))
-    bits = lambda iou: sum((F.when(iou >= t, 1 << i).otherwise(0) for i, t in enumerate(thresholds)), F.lit(0))
-    plain = F.transform("pairs", lambda x: F.struct(x["pred_idx"].alias("pred_idx"), bits(x["iou"]).alias("hits")))
-    won = lambda i, t: F.transform(F.filter(_greedy(F.col("pairs"), F.lit(float(t))), lambda m: m["tp"]), lambda m: F.struct(m["pred_idx"].alias("pred_idx"), F.lit(1 << i).alias("hits")))
-    folded = F.flatten(F.array(*[won(i, t) for i, t in enumerate(thresholds)]))
+    groups = groups.withColumns({"_preds": F.array_distinct("pairs.pred_idx"), "_boxes": F.array_distinct("pairs.gt_idx")})
+    lone = (F.size("_preds") == F.col("n")) & (F.size("_boxes") == F.col("n"))
+    plain = F.transform("pairs", lambda x: F.struct(x["pred_idx"].alias("pred_idx"), x["bits"].alias("hits")))
+    folded = _hits_of_fold(F.col("pairs"), F.col("_preds"), F.col("_boxes"), (1 << len(thresholds)) - 1)
     one = lambda df, found: df.select(*keys, F.explode(found).alias("m")).select(*keys, "m.pred_idx", "m.hits")
-    groups = groups.withColumn("_lone", lone)
-    found = one(groups, F.when(F.col("_lone"), plain).otherwise(folded)).groupBy(*keys, "pred_idx").agg(F.sum("hits").cast("int").alias("hits"))
+    found = one(groups, F.when(lone, plain).otherwise(folded)).where("hits <> 0")
     found = found.select(F.col("image_id").alias("_image"), F.col("pred_class").alias("_class"), F.col("pred_idx").alias("_pred"), "hits")
     on = (F.col("image_id") == F.col("_image")) & (F.col("class_id") == F.col("_class")) & (F.col("pred_idx") == F.col("_pred"))
     return predictions.join(found, on, "left").drop("_image", "_class", "_pred").withColumn("hits", F.coalesce("hits", F.lit(0)))

@@ -322,7 +322,7 @@ def _of_darknet(found: DataFrame, pictures: DataFrame, labels: DataFrame, small:
     lists = small.where(file_name(F.col("path")) == "_darknet.labels").withColumn("home", folder_of(F.col("path")))
     above = folder_of(F.col("home"))
     lists = lists.withColumn("split", F.coalesce(darknet_split(file_name(F.col("home"))), darknet_split(file_name(above)))).where("split is not null")
-    known = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda n: n != "")
+    known = F.filter(F.transform(F.split("value", r"\r?\n"), lambda e: F.trim(e)), lambda n: n != "")
     names = F.map_from_arrays(F.sequence(F.lit(0), F.size("names") - 1), F.col("names"))
     lists = lists.withColumn("names", known).where(F.size("names") > 0).select("home", "split", class_mapping(names).alias("mapping"))
     images = pictures.join(found.where("format = 'darknet'").select("dataset"), "dataset", "left_semi").join(lists, "home")
