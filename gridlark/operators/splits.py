@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridlark.functions.catalog import CLASSES
 from gridlark.operators.naming import unique_names
 from gridlark.operators.ranking import lot, running
+from gridlark.tables import Written
 
 
 def random_order(seed: int | str, key: Column) -> Column:
@@ -59,11 +60,13 @@ def with_pseudo(original: DataFrame, pseudo: DataFrame, seed: int = 42) -> DataF
 def group_split(rows: DataFrame, group: str, test_share: float = 0.25, valid_share: float = 0.15) -> DataFrame:
     """group, n, split: whole groups; the smallest ones test, the next valid, the rest train. Three groups at least."""
     counts = rows.groupBy(group).agg(F.count("*").alias("n"))
-    every = Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(every.orderBy(F.col("n").desc(), group))
-    total = F.count("*").over(every)
-    share = lambda s: F.greatest(F.lit(1), F.bround(total * s).cast("int"))
-    ranked = counts.withColumns({"_rank": rank, "_total": total, "_test": share(test_share), "_valid": share(valid_share)})
+    ws = Written(rows.sparkSession, "groups")
+    # the order as one of numbers, so that groups, which may be many, are ranked over bins and not in one task
+    placed = ws.table(counts.orderBy(F.col("n").desc(), F.col(group)).withColumn("_t", F.monotonically_increasing_id()))
+    ranked = running(placed.withColumn("_one", F.lit(1).cast("long")), [], F.shiftright("_t", 13), [F.col("_t")], {"_rank": "_one"})
+    total = placed.agg(F.count("*").alias("_total"))
+    share = lambda s: F.greatest(F.lit(1), F.bround(F.col("_total") * s).cast("int"))
+    ranked = ranked.crossJoin(F.broadcast(total)).withColumns({"_test": share(test_share), "_valid": share(valid_share)})  # one row
     kind = F.when(F.col("_rank") > F.col("_total") - F.col("_test"), "test").when(F.col("_rank") > F.col("_total") - F.col("_test") - F.col("_valid"), "valid").otherwise("train")
     few = F.when(F.col("_total") < 3, F.raise_error(F.lit("a disjoint split needs three groups"))).otherwise(kind)
     return ranked.select(group, "n", few.alias("split"))

@@ -167,3 +167,23 @@ def p17_held_out_scenes(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.truth(spark, d)
     out = splits.held_out(rows, "scene", [2, 5, 99])
     return out.select("image_id", "gt_idx", F.when(F.col("held_out"), "test").otherwise("train").alias("split"))
+
+
+# Groups of images by number; a group shows the classes up to its own number.
+_SEEN = "class_id <= image_id % 7"
+
+
+@query(f"""WITH i AS (SELECT DISTINCT image_id, image_id % 7 AS k FROM ({_T}) t), b AS (SELECT image_id % 7 AS k, bit_or(1 << class_id) AS c FROM ({_T}) t WHERE {_SEEN} GROUP BY 1),
+g AS (SELECT i.k, count(*) AS n, any_value(coalesce(c, 0)) AS c FROM i LEFT JOIN b ON b.k = i.k GROUP BY i.k),
+m AS (SELECT m, count(*) AS s, sum(n) AS n, bit_or(c) AS c, string_agg(k::VARCHAR, ',' ORDER BY k) AS names FROM range(1, 128) r(m) JOIN g ON (m >> k) & 1 = 1 GROUP BY m),
+best AS (SELECT a.m AS test, v.m AS valid FROM m a JOIN m v ON a.m & v.m = 0 WHERE a.s <= 4 AND v.s <= 3
+ORDER BY bit_count(a.c) DESC, bit_count(v.c) DESC, least(a.n, 1200) DESC, least(v.n, 800) DESC, abs(a.n - 0.2::DOUBLE * (SELECT sum(n) FROM g)), a.s, a.names, v.s, v.names LIMIT 1)
+SELECT k::VARCHAR AS "group", CASE WHEN (test >> k) & 1 = 1 THEN 'test' WHEN (valid >> k) & 1 = 1 THEN 'valid' ELSE 'train' END AS split FROM g, best""")
+def l06_chosen_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups chosen for the classes and images that they hold: what each holds is counted in Spark, the choice is among a few groups."""
+    t = fx.truth(spark, d).withColumn("g", (F.col("image_id") % 7).cast("string"))
+    images = t.select("image_id", "g").distinct()
+    counts, sizes = splits.group_counts(images, t.where(_SEEN).select("image_id", "class_id"), "g")
+    test, valid = splits.choose_groups(counts, sizes)
+    split = F.when(F.col("g").isin(*test), "test").when(F.col("g").isin(*valid), "valid").otherwise("train")
+    return images.select("g").distinct().select(F.col("g").alias("group"), split.alias("split"))
