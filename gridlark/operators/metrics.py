@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridlark.functions.boxes import ratio, rounded
 from gridlark.operators.matching import IOU_STEPS, hit_masks
 from gridlark.operators.ranking import by_confidence, running
+from gridlark.tables import Written
 
 # Confidence thresholds of the global and the class-wise sweep, and the precision asked for.
 THRESHOLDS = (0.05, 0.10, 0.20, 0.25, 0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90)
@@ -120,7 +121,8 @@ def evaluate(predictions: DataFrame, truth: DataFrame, classes: Sequence[int]) -
     truth, predictions = inside(truth), inside(predictions)
     counts = class_counts(truth, classes)
     masks = hit_masks(predictions.select("image_id", "pred_idx", "class_id", "confidence", "xc", "yc", "w", "h"), truth, IOU_STEPS)
-    ap = average_precision(masks.select("image_id", "pred_idx", "class_id", "confidence", "hits").persist(), counts, IOU_STEPS)
+    masks = Written(masks.sparkSession, "masks").table(masks.select("image_id", "pred_idx", "class_id", "confidence", "hits"))
+    ap = average_precision(masks, counts, IOU_STEPS)
     at_half = F.col("iou_thr") == IOU_STEPS[0]
     rows = ap.groupBy("class_id", "gt").agg(*[F.max(F.when(at_half, F.col(c))).alias(n) for c, n in (("precision", "precision"), ("recall", "recall"), ("ap", "ap50"))], F.avg("ap").alias("ap50_95"))
     macro = rows.agg(F.lit(None).cast("int").alias("class_id"), F.sum("gt").alias("gt"), *[F.avg(c).alias(c) for c in ("precision", "recall", "ap50", "ap50_95")])

@@ -136,7 +136,7 @@ def calibration_split(groups: DataFrame, quota: int, seed: int | str) -> DataFra
     classes and more images come first, ties in random order. A group is taken if it holds a class below its quota.
     """
     counts = F.map_from_entries(F.transform(F.array_distinct("classes"), lambda c: F.struct(c, F.col("size").cast("bigint"))))
-    ranked = _ranked(groups.select("group", "size", counts.alias("counts")), seed).persist()
+    ranked = Written(groups.sparkSession, "groups").table(_ranked(groups.select("group", "size", counts.alias("counts")), seed))
     classes = [r[0] for r in ranked.select(F.explode(F.map_keys("counts"))).distinct().collect()]
     return _labelled(ranked, _taken(ranked, dict.fromkeys(classes, quota), None))
 
@@ -155,7 +155,7 @@ def calibration_fraction_split(images: DataFrame, fraction: float, seed: int | s
     held = held.groupBy("group", "c").agg(F.count("*").alias("n"))
     counts = F.map_from_entries(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", "n"))))
     groups = held.groupBy("group").agg(F.max(F.when(F.col("c").isNull(), F.col("n"))).alias("size"), counts.alias("counts"))
-    ranked = _ranked(groups, seed).persist()
+    ranked = Written(images.sparkSession, "groups").table(_ranked(groups, seed))
     totals = {r[0]: r[1] for r in ranked.select(F.explode("counts")).groupBy("key").agg(F.sum("value")).collect()}
     limit = max(1, round(ranked.count() * fraction))
     return _labelled(ranked, _taken(ranked, {c: max(1, round(n * fraction)) for c, n in totals.items()}, limit))

@@ -11,7 +11,9 @@ from gridlark.operators import duplicates, matching, profile, rollups, splits
 from gridlark.plans import fixtures as fx
 from gridlark.plans.queries import _BEST, _P, _T, _truth, query
 from gridlark.plans.report_queries import ORACLES, QUERIES
-from gridlark.sources import sinks
+from gridlark.plans.source_queries import _images
+from gridlark.sources import pool, sinks
+from gridlark.tables import shared_dir
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -187,3 +189,24 @@ def l06_chosen_groups(spark: SparkSession, d: str) -> DataFrame:
     test, valid = splits.choose_groups(counts, sizes)
     split = F.when(F.col("g").isin(*test), "test").when(F.col("g").isin(*valid), "valid").otherwise("train")
     return images.select("g").distinct().select(F.col("g").alias("group"), split.alias("split"))
+
+
+# Two batches of images: the second brings those of the first again, and further ones, some for places that are filled.
+_NEW = "concat('/new/', CASE o_orderkey % 3 WHEN 0 THEN 'ripe' WHEN 1 THEN 'unripe' ELSE 'empty' END, '/', CAST(o_orderkey % 7 AS STRING), '/i', CAST(o_custkey AS STRING), CASE o_orderkey % 50 WHEN 49 THEN '.txt' ELSE '.jpg' END)"
+
+
+@query(f"""WITH f AS (SELECT o_orderkey % 4 < 3 AS early, CASE o_orderkey % 3 WHEN 0 THEN 'ripe' WHEN 1 THEN 'unripe' ELSE 'empty' END AS place, 'i' || o_custkey::VARCHAR || '.jpg' AS name, {_NEW} AS path FROM orders WHERE o_orderkey % 50 <> 49),
+a AS (SELECT place, name, min(path) AS path FROM f WHERE early GROUP BY ALL), b AS (SELECT place, name, min(path) AS path FROM f GROUP BY ALL)
+SELECT *, '1' AS batch FROM a UNION ALL SELECT *, '2' FROM b WHERE (place, name) NOT IN (SELECT (place, name) FROM a)""")
+def s23_growing_pool(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr(_NEW).alias("path"))
+    place = f"{shared_dir(spark)}/pool-{spark.sql('select uuid()').first()[0]}"
+    for batch, own in (("1", rows.where("o_orderkey % 4 < 3")), ("2", rows), ("1", rows.where("o_orderkey % 4 < 3"))):
+        pool.append(spark, pool.candidates(own, "/new"), place, batch)
+    return pool.ledger(spark, place)
+
+
+@query("""SELECT CASE o_orderkey % 4 WHEN 1 THEN 'Scene-A' WHEN 2 THEN 'b c' ELSE 'root_scene' END AS scene, count(*)::BIGINT AS images, min(p) AS first, max(p) AS last
+FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'pool/' WHEN 1 THEN 'pool/Scene-A/images/' WHEN 2 THEN 'pool/b c/' ELSE 'other/x/' END || 'img' || o_orderkey::VARCHAR || '.jpg' AS p FROM orders) x GROUP BY 1""")
+def s18_scenes(spark: SparkSession, d: str) -> DataFrame:
+    return pool.scenes(_images(spark, d), "pool")
