@@ -70,6 +70,7 @@ def operating_points(rows: DataFrame, target: float = TARGET_PRECISION) -> DataF
     case = lambda a, b: F.when(enough, a).otherwise(b)
     order = Window.partitionBy("class_id").orderBy(enough.desc(), case(F.col("recall"), F.col("f1")).desc(), case(F.col("f1"), F.col("precision")).desc(), "threshold")
     picked = rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    # fixed values: how the two rules are named in reports
     rule = F.when(enough, F.lit(f"max_recall_with_precision>={target:.2f}")).otherwise("fallback_max_f1_no_threshold_met_target_precision")
     return picked.withColumn("selection_rule", rule)
 

@@ -20,6 +20,7 @@ from gridlark.functions.catalog import CLASSES
 from gridlark.operators.ranking import running
 from gridlark.tables import Written
 
+#: Fixed value: the reason in reports.
 REASON = "balanced_class_quota"
 _BIN = 13
 

@@ -183,6 +183,7 @@ def catalogs(files: DataFrame) -> DataFrame:
 def catalog_text(root: Column, classes: dict[int, str] | None = None) -> Column:
     """The text of a catalog of a root whose splits lie in train, valid and test."""
     names = classes or CLASSES
+    # fixed values: keys and folders of such a catalog
     tail = "\n".join(["train: train/images", "val: valid/images", "test: test/images", "", f"nc: {len(names)}", "names:", *[f"  {i}: {names[i]}" for i in sorted(names)]])
     return F.concat(F.lit("path: "), root, F.lit(f"\n{tail}\n"))
 

@@ -22,7 +22,7 @@ def test_entry_runs(spark):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["a12_threshold_sweep", "p06_decisions", "j05_confusion_pairs", "s02_strict_label_counts", "l11_class_quota"])
+@pytest.mark.parametrize("name", ["a12_threshold_sweep", "p06_decisions", "j05_confusion_pairs", "s02_strict_label_counts", "l11_class_quota", "l11_box_quota", "w10_unique_names", "s10_harmonized_datasets", "j11_far_hashes"])
 def test_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
