@@ -33,7 +33,8 @@ def near_hashes(left: DataFrame, right: DataFrame, limbs: Sequence[str], distanc
     l = l.withColumn("_key", F.explode(probes(lcols, cut, False)))  # noqa: E741
     r = r.withColumn("_key", F.explode(probes(rcols, cut, True)))
     near = hamming(lcols, rcols)
-    pairs = l.join(r, "_key").where(near <= distance).withColumn("distance", near)
+    # by sort-merge at every size: the optimizer takes a side with its keys for as small as the hashes alone, and would broadcast it
+    pairs = l.join(r.hint("merge"), "_key").where(near <= distance).withColumn("distance", near)
     return pairs.drop("_key").distinct()
 
 
