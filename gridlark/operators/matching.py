@@ -7,13 +7,15 @@ filter; only pairs that overlap reach the greedy fold, so a fold's array holds o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.functions.boxes import Box, corners
+from gridlark.tables import fresh
 
+_SIDES = ("x1", "y1", "x2", "y2", "area")
 IOU_STEPS = tuple(0.50 + 0.05 * i for i in range(10))
 
 
@@ -35,15 +37,18 @@ def _sides(name: str) -> list[Column]:
     b = Box(*[F.col(c) for c in ("xc", "yc", "w", "h")])
     x1, y1, x2, y2 = corners(b)
     area = F.greatest(F.lit(0.0), x2 - x1) * F.greatest(F.lit(0.0), y2 - y1)
-    return [c.alias(f"{name}_{n}") for c, n in zip((x1, y1, x2, y2, area), ("x1", "y1", "x2", "y2", "area"), strict=True)]
+    return [c.alias(f"{name}_{n}") for c, n in zip((x1, y1, x2, y2, area), _SIDES, strict=True)]
 
 
 def _share(a: str, b: str) -> Column:
     """The overlap of boxes given by _sides: as iou()."""
-    c = lambda s, n: F.col(f"{s}_{n}")
-    wide = F.greatest(F.lit(0.0), F.least(c(a, "x2"), c(b, "x2")) - F.greatest(c(a, "x1"), c(b, "x1")))
-    common = wide * F.greatest(F.lit(0.0), F.least(c(a, "y2"), c(b, "y2")) - F.greatest(c(a, "y1"), c(b, "y1")))
-    return F.coalesce(F.try_divide(common, c(a, "area") + c(b, "area") - common), F.lit(0.0))
+    return _overlap(*[{n: F.col(f"{s}_{n}") for n in _SIDES} for s in (a, b)])
+
+
+def _overlap(a: Mapping[str, Column], b: Mapping[str, Column]) -> Column:
+    wide = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]))
+    common = wide * F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
+    return F.coalesce(F.try_divide(common, a["area"] + b["area"] - common), F.lit(0.0))
 
 
 def _greedy(pairs: Column, threshold: Column) -> Column:
@@ -165,14 +170,17 @@ def missed(predictions: DataFrame, truth: DataFrame, target: int, confusing: Seq
 def view_support(predictions: DataFrame, views: DataFrame, threshold: float = 0.60, allowed: Sequence[int] | None = None) -> DataFrame:
     """predictions with support: one more than the views (or teachers) holding a box that overlaps enough, of the
     prediction's class or, if given, of an allowed class."""
-    p = predictions.select("image_id", "pred_idx", F.col("class_id").alias("p_class"), *_sides("p"))
-    v = views.select(F.col("image_id").alias("_image"), "view_id", F.col("class_id").alias("v_class"), *_sides("v"))
-    on = F.col("image_id") == F.col("_image")
-    on &= F.col("p_class") == F.col("v_class") if allowed is None else F.col("v_class").isin(*allowed)
-    near = p.join(v, on & (_share("p", "v") >= threshold)).drop("_image")
-    votes = near.groupBy(F.col("image_id").alias("_image"), F.col("pred_idx").alias("_pred")).agg(F.countDistinct("view_id").alias("_votes"))
-    joined = predictions.join(votes, (F.col("image_id") == F.col("_image")) & (F.col("pred_idx") == F.col("_pred")), "left")
-    return joined.withColumn("support", (F.coalesce("_votes", F.lit(0)) + 1).cast("int")).drop("_image", "_pred", "_votes")
+    # an image's view boxes are one array, so each table is dealt by image once, or not at all if it is already
+    boxes, image = fresh([*predictions.columns, *views.columns], "_boxes", "_image")
+    v = views if allowed is None else views.where(F.col("class_id").isin(*allowed))
+    v = v.where("view_id is not null").select(F.col("image_id").alias(image), F.struct("view_id", "class_id", *_sides("v")).alias(boxes))
+    v = v.groupBy(image).agg(F.collect_list(boxes).alias(boxes))
+    sides = fresh([*predictions.columns, boxes, image], *[f"_p_{n}" for n in _SIDES])
+    joined = predictions.withColumns(dict(zip(sides, _sides("p"), strict=True))).join(v, F.col("image_id") == F.col(image), "left")
+    share = lambda x: _overlap(dict(zip(_SIDES, map(F.col, sides), strict=True)), {n: x[f"v_{n}"] for n in _SIDES}) >= threshold
+    near = F.filter(boxes, lambda x: ((x["class_id"] == F.col("class_id")) & share(x)) if allowed is None else share(x))
+    votes = F.size(F.array_distinct(F.transform(near, lambda x: x["view_id"])))
+    return joined.withColumn("support", F.when(F.col(boxes).isNull(), 1).otherwise(votes + 1).cast("int")).drop(boxes, image, *sides)
 
 
 def confusion_pairs(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Detection tables derived from the driver's tables by integer formulas, the same text for Spark and the oracle."""
+"""Detection tables derived from the driver's tables by integer formulas. The texts are SQL for the oracle and for Spark; predictions and
+views are made by Spark in one pass over the ordered lines of an image, where their texts take a pass for each of their parts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROWS = """
 SELECT *, l_partkey AS pk, l_suppkey AS sk, CAST(l_linenumber AS BIGINT) AS ln,
@@ -66,13 +68,36 @@ def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 
+# Fixed value: lines of a part. Parts follow the number of lines, so what a task holds of the rows made from its lines doesn't grow with the table.
+_LINES_OF_PART = 250_000
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines with their place in their image, whole images to a part; what is joined or grouped by image alone is shuffled no more."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    parts = lines.count() // _LINES_OF_PART + 1  # from the files' footers
+    return spark.sql(_ROWS, lineitem=lines.repartition(parts, "l_orderkey"))
+
+
+def _made(rows: DataFrame, columns: str) -> DataFrame:
+    return rows.sparkSession.sql(f"SELECT {columns} FROM {{rows}}", rows=rows)
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, TRUTH)
+    return _made(_rows(spark, sf_dir), f"l_orderkey AS image_id, idx AS gt_idx, CAST(pk % 6 AS INT) AS class_id, CAST({_X} AS DOUBLE) / 1000 AS xc, CAST({_Y} AS DOUBLE) / 1000 AS yc, {_SIZE}, {_SPLIT}")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, PREDICTIONS)
+    """As PREDICTIONS: up to two boxes (n = 0, 1) of each line."""
+    rows = _rows(spark, sf_dir).withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).where("CASE n WHEN 0 THEN ln <> 7 ELSE pk % 11 = 0 END")
+    xc = f"CAST({_X} + CASE n WHEN 0 THEN (sk * 13) % 41 - 20 ELSE (sk * 5) % 23 - 11 END AS DOUBLE) / 1000 AS xc"
+    yc = f"CAST({_Y} + CASE n WHEN 0 THEN (pk * 7) % 31 - 15 ELSE 0 END AS DOUBLE) / 1000 AS yc"
+    confidence = f"CASE n WHEN 0 THEN {_CONFIDENCE} ELSE CAST((pk * 31 + sk * 17) % 500 AS DOUBLE) / 1000 END AS confidence"
+    return _made(rows, f"l_orderkey AS image_id, idx * 2 + n AS pred_idx, CASE n WHEN 0 THEN {_PREDICTED} ELSE CAST(pk % 6 AS INT) END AS class_id, {xc}, {yc}, {_SIZE}, {confidence}, {_SPLIT}")
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, VIEWS)
+    """As VIEWS: up to four boxes (k = 1 .. 4) of each line."""
+    rows = _rows(spark, sf_dir).where("ln <> 7").withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(1, 5)]))).where("(pk + k) % 5 <> 0")
+    xc = f"CAST({_X} + (sk * 13) % 41 - 20 + (sk * (13 + k)) % 61 - 30 AS DOUBLE) / 1000 AS xc"
+    return _made(rows, f"l_orderkey AS image_id, k AS view_id, idx * 2 AS pred_idx, {_PREDICTED} AS class_id, {xc}, CAST({_Y} + (pk * 7) % 31 - 15 AS DOUBLE) / 1000 AS yc, {_SIZE}")

@@ -1,10 +1,17 @@
 """Plans and steps that have to hold at any size of the tables."""
 
 import re
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from gridlark.operators import duplicates
+import __spark_entry__ as entry
+from gridlark.operators import duplicates, matching
+from gridlark.plans import fixtures as fx
+
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
 
 def _plan(df) -> str:
@@ -16,3 +23,37 @@ def test_keys_of_hashes_are_never_broadcast(spark):
     found = duplicates.near_hashes(hashes, hashes, ["h0", "h1"], 12)
     joins = [line for line in _plan(found).splitlines() if re.search(r"Join \[_key#\d+L?\]", line)]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+@needs_tables
+@pytest.mark.parametrize("made, text", [(fx.truth, fx.TRUTH), (fx.predictions, fx.PREDICTIONS), (fx.views, fx.VIEWS)])
+def test_tables_made_in_one_pass_are_those_of_their_texts(spark, made, text):
+    got, want = made(spark, SF), fx.table(spark, SF, text)
+    assert got.dtypes == want.dtypes and want.count() > 0
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+@needs_tables
+def test_parts_follow_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(fx, "_LINES_OF_PART", 1000)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert fx.views(spark, SF).select(F.spark_partition_id().alias("p")).distinct().count() >= lines // 1000
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["j06_view_support", "p06_decisions", "w05_capped_boxes", "a21_image_summary"])
+def test_boxes_made_of_lines_are_not_shuffled(spark, monkeypatch, name):
+    """What is shuffled is lines, once for predictions and once for views, not the boxes made of them."""
+    monkeypatch.setattr(fx, "_LINES_OF_PART", 1000, raising=False)
+    found = entry.queries()[name](spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?<!Reused)Exchange hashpartitioning", plan.split("== Initial Plan ==")[-1])) == 2
+
+
+def test_support_of_missing_and_repeated_views(spark):
+    box = "image_id long, pred_idx long, class_id int, xc double, yc double, w double, h double"
+    p = spark.createDataFrame([(1, 0, 3, 0.5, 0.5, 0.2, 0.2), (1, 0, 3, 0.5, 0.5, 0.2, 0.2), (1, 1, None, 0.5, 0.5, 0.2, 0.2), (2, 0, 3, 0.5, 0.5, 0.2, 0.2), (None, 0, 3, 0.5, 0.5, 0.2, 0.2), (3, 0, 3, 0.5, 0.5, 0.0, 0.0)], box)
+    v = spark.createDataFrame([(1, 7, 3, 0.5, 0.5, 0.2, 0.2), (1, 7, 3, 0.5, 0.5, 0.2, 0.2), (1, 8, 4, 0.5, 0.5, 0.2, 0.2), (1, 9, 3, 0.9, 0.9, 0.1, 0.1), (1, None, 3, 0.5, 0.5, 0.2, 0.2), (None, 7, 3, 0.5, 0.5, 0.2, 0.2), (3, 7, 3, 0.5, 0.5, 0.0, 0.0)], box.replace("pred_idx", "view_id"))
+    rows = lambda df: sorted((str(r["image_id"]), r["pred_idx"], r["support"]) for r in df.collect())
+    assert rows(matching.view_support(p, v)) == [("1", 0, 2), ("1", 0, 2), ("1", 1, 1), ("2", 0, 1), ("3", 0, 1), ("None", 0, 1)]
+    assert rows(matching.view_support(p, v, allowed=(3, 4))) == [("1", 0, 3), ("1", 0, 3), ("1", 1, 3), ("2", 0, 1), ("3", 0, 1), ("None", 0, 1)]
