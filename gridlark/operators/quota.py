@@ -38,7 +38,8 @@ def class_quota(decisions: DataFrame, images_per_class: int = 0, boxes_per_class
     if not limits:
         return images.select("group", "image_id", F.lit(True).alias("selected"))
     ws = Written(decisions.sparkSession, "quota")
-    images = ws.table(images.orderBy("group", F.col("mean").desc(), "image_id").withColumn("t", F.monotonically_increasing_id()))
+    # written before it is ordered, since the order's ranges are found by a pass of their own
+    images = ws.table(ws.table(images).orderBy("group", F.col("mean").desc(), "image_id").withColumn("t", F.monotonically_increasing_id()))
     # every image carries what its group has used so far
     ahead, chosen = images.select("group", "t", *limits, *[F.lit(0).cast("long").alias(f"u_{k}") for k in limits]), None
     while ahead.limit(1).count():
