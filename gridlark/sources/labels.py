@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 from gridlark.functions.catalog import CLASSES, IMAGE_EXTENSIONS, class_id
 from gridlark.functions.names import extension, file_name, parent, parts, stem
+from gridlark.tables import fresh
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: A line of five such numbers between white space, and nothing else.
+FIVE = r"^\s*{0}(?:\s+{0}){{4}}\s*\z".format(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
 #: The same for an SQL text, whose strings know backslashes.
-NUMBER_SQL = NUMBER.replace("\\", "\\\\")
+FIVE_SQL = FIVE.replace("\\", "\\\\")
+_SPACE = "\t\n\x0b\f\r"
+
+
+def fields(line: Column) -> Column:
+    """What stands between white space."""
+    return F.array_remove(F.split(F.translate(line, _SPACE, " " * len(_SPACE)), " "), "")
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,31 +37,32 @@ def label_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def register_label_boxes(spark: SparkSession, name: str = "label_boxes") -> None:
-    """An SQL function of a label text, for ``SELECT .. FROM (SELECT *, label_boxes(value) AS boxes FROM files), LATERAL inline(boxes)``: line_no, class_id, xc, yc,
-    w, h of each line of five numbers of a known class, as ``lenient`` gives them.
+    """An SQL function of a label text, for ``SELECT .. FROM (SELECT *, label_boxes(value) AS boxes FROM files), LATERAL inline_outer(boxes) WHERE line_no IS NOT NULL``:
+    line_no, class_id, xc, yc, w, h of each line of five numbers of a known class, as ``lenient`` gives them. (With ``inline``, Spark adds a filter of the array's
+    size, and parses each text once more for it.)
 
     It is an expression that the plan around it takes in: rows are made where the text is read, without a join or a shuffle.
     """
-    number = lambda i: f"CASE WHEN get(t, {i}) RLIKE '{NUMBER_SQL}' THEN try_cast(get(t, {i}) AS DOUBLE) END"
-    fields = ", ".join(f"'{c}', {number(i + 1)}" for i, c in enumerate(("xc", "yc", "w", "h")))
-    known = " AND ".join(f"b.{c} IS NOT NULL" for c in ("xc", "yc", "w", "h"))
+    number = lambda i: f"try_cast(get(t, {i}) AS DOUBLE)"
+    values = ", ".join(f"'{c}', {number(i + 1)}" for i, c in enumerate(("xc", "yc", "w", "h")))
+    spaces = r"'\t\n\u000b\u000c\r'"
     spark.sql(rf"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(label_text STRING) RETURNS ARRAY<STRUCT<line_no: INT, class_id: INT, xc: DOUBLE, yc: DOUBLE, w: DOUBLE, h: DOUBLE>>
-    RETURN filter(transform(transform(split(regexp_replace(label_text, r'\n$', ''), r'\n'), l -> split(regexp_replace(l, r'^\s+|\s+$', ''), r'\s+')),
-      (t, i) -> CASE WHEN size(t) = 5 THEN named_struct('line_no', i, 'class_id', CAST({number(0)} AS INT), {fields}) END),
-      b -> b IS NOT NULL AND b.class_id IN ({", ".join(map(str, CLASSES))}) AND {known})""")
+    RETURN filter(transform(transform(split(regexp_replace(label_text, r'\n$', ''), r'\n'), l -> CASE WHEN l RLIKE '{FIVE_SQL}' THEN array_remove(split(translate(l, {spaces}, '     '), ' '), '') END),
+      (t, i) -> CASE WHEN t IS NOT NULL THEN named_struct('line_no', i, 'class_id', CAST({number(0)} AS INT), {values}) END),
+      b -> b.class_id IN ({", ".join(map(str, CLASSES))}))""")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
     """lines with class_id, xc, yc, w, h (null where a line isn't five numbers of a known class) and blank."""
-    tokens = F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), r"\s+")
-    number = lambda i: F.when(F.get(tokens, F.lit(i)).rlike(NUMBER), F.get(tokens, F.lit(i)).try_cast("double"))
-    five = F.size(tokens) == 5
-    for i in range(5):
-        five &= number(i).isNotNull()
+    # one match of the whole line, and tokens in a column of their own that nothing is pushed through, so that both are made once a line
+    numbers = F.filter(F.array(F.when(F.col("line").rlike(FIVE), fields(F.col("line")))), lambda t: t.isNotNull())
+    (tokens,) = fresh(lines.columns, "_tokens")
+    rows = lines.withColumn(tokens, F.explode_outer(numbers))
+    number = lambda i: F.get(tokens, F.lit(i)).try_cast("double")
     raw = number(0).cast("int")  # truncates
-    known = five & raw.isin(*CLASSES)
+    known = raw.isin(*CLASSES)
     cols = {"class_id": F.when(known, raw), "blank": F.trim("line") == ""}
-    return lines.withColumns(cols | {c: F.when(known, number(i + 1)) for i, c in enumerate(("xc", "yc", "w", "h"))})
+    return rows.withColumns(cols | {c: F.when(known, number(i + 1)) for i, c in enumerate(("xc", "yc", "w", "h"))}).drop(tokens)
 
 
 def valid(row: DataFrame | None = None) -> Column:
