@@ -60,7 +60,7 @@ def t06_label_function(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.truth(spark, d)
     text = sinks.label_text(rows).withColumn("value", F.when(F.col("image_id") % 5 == 0, F.regexp_replace("text", r"^\S+", "ripe")).otherwise(F.col("text")))
     labels.register_label_boxes(spark)
-    found = spark.sql("SELECT image_id, b.* FROM (SELECT image_id, label_boxes(value) AS boxes FROM {files}) f, LATERAL inline(f.boxes) b", files=text)
+    found = spark.sql("SELECT image_id, b.* FROM (SELECT image_id, label_boxes(value) AS boxes FROM {files}) f, LATERAL inline_outer(f.boxes) b WHERE b.line_no IS NOT NULL", files=text)
     return found.select("image_id", F.col("line_no").cast("long").alias("line_no"), "class_id", F.round("xc", 6).alias("xc"), F.round("w", 6).alias("w"))
 
 

@@ -40,7 +40,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def label_text(boxes: DataFrame) -> DataFrame:
     """image_id, text: a line ``class xc yc w h`` of six decimals for each box, in the order of gt_idx."""
-    number = lambda c: F.regexp_replace(F.format_number(F.bround(c, 6), 6), ",", "")
+    number = lambda c: F.replace(F.format_number(F.bround(c, 6), 6), F.lit(","), F.lit(""))
     line = F.concat_ws(" ", F.col("class_id").cast("string"), *[number(c) for c in ("xc", "yc", "w", "h")])
     return boxes.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gt_idx", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 
