@@ -1,7 +1,7 @@
 """The self-training loop over a predictions table: thresholds and accepted boxes carried from round to round.
 
-What is carried is a map of one number per class and the rounds' accepted boxes, so no lineage grows: each round
-starts from the input tables. Training a detector between rounds is outside; its predictions are the input.
+What is carried is a map of one number per class and the rounds' accepted boxes, written to the shared folder like the
+predictions themselves, so no lineage grows: each round starts from written tables. Training a detector between rounds is outside; its predictions are the input.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridlark.functions.boxes import dynamic_threshold
 from gridlark.operators import decisions, metrics
+from gridlark.tables import Written
 
 
 def class_thresholds(ap: dict[int, float], classes: Sequence[int], spark) -> dict[int, float]:
@@ -27,15 +28,18 @@ def rounds(predictions: DataFrame, truth: DataFrame, classes: Sequence[int], cou
     predictions have expected and support. A round's thresholds come from the average precision, over all overlap
     thresholds, of the boxes that the round before accepted (at first: of all predictions).
     """
-    spark, current, out = predictions.sparkSession, predictions, None
+    spark, out = predictions.sparkSession, None
+    ws = Written(spark, "rounds")
+    # every round reads them twice
+    current = predictions = ws.table(predictions)
     for number in range(count):
         rows = metrics.evaluate(current, truth, classes).where("class_id is not null").select("class_id", "ap50_95").collect()
         ap = {r["class_id"]: r["ap50_95"] for r in rows}
         thresholds = class_thresholds(ap, classes, spark)
         floor = F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv])
         rows = predictions.where(F.col("class_id").isin(*classes)).withColumn("threshold", floor[F.col("class_id")])
-        decided = decisions.decide(decisions.scored(rows))
-        current = decided.where("accepted").select(*predictions.columns)
-        part = decided.where("accepted").select(F.lit(number).alias("round"), "image_id", "pred_idx", "class_id", "quality_score")
+        accepted = ws.table(decisions.decide(decisions.scored(rows)).where("accepted").select(*predictions.columns, "quality_score"))
+        current = accepted.select(*predictions.columns)
+        part = accepted.select(F.lit(number).alias("round"), "image_id", "pred_idx", "class_id", "quality_score")
         out = part if out is None else out.unionByName(part)
     return out
