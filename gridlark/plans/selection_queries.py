@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridlark.operators import quota
 from gridlark.plans.queries import _DECIDED, _decided, query
 from gridlark.plans.source_queries import ORACLES, QUERIES
+from gridlark.tables import Written
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -30,6 +31,7 @@ st AS (
 SELECT dc.image_id, pred_idx, accepted AND no.image_id IS NULL AS accepted, array_to_string(CASE WHEN no.image_id IS NULL THEN reasons ELSE list_append(reasons, 'balanced_class_quota') END, '|') AS reasons
 FROM dc LEFT JOIN no ON no.image_id = dc.image_id AND no.scene = dc.scene""")
 def l11_box_quota(spark: SparkSession, d: str) -> DataFrame:
-    rows = _decided(spark, d).withColumnRenamed("scene", "group")
+    rows = _decided(spark, d).select(F.col("scene").alias("group"), "image_id", "pred_idx", "class_id", "quality_score", "accepted", "reasons")
+    rows = Written(spark, "decided").table(rows)  # read by the quota and by what follows from it
     chosen = quota.class_quota(rows, 60, 90, {0: 30, 3: 0})
     return quota.with_quota(rows, chosen, earlier_rejects=True).select("image_id", "pred_idx", "accepted", F.array_join("reasons", "|").alias("reasons"))
